@@ -24,6 +24,17 @@ FROM (SELECT vec_id, label, posexplode(embedding) AS (i, e) FROM {{embeddings}})
        CAST(greatest(0, least(255, floor((CAST(embedding[i+1] AS DOUBLE)+0.5)*256))) AS INT) AS v
 FROM embeddings, (SELECT unnest(range(0,64)) AS i)""",
     ),
+    "rgb_pixels": (
+        "embeddings",
+        "SELECT image_id, row_no, col_no, " + ", ".join(
+            f"CAST(greatest(0, least(255, floor((CAST(e{k} AS DOUBLE)+0.5)*256))) AS INT) AS {c}" for k, c in enumerate("rgb"))
+        + """ FROM (SELECT vec_id AS image_id, CAST(floor(i/8) AS INT) AS row_no, CAST(i % 8 AS INT) AS col_no, embedding[i] AS e0,
+        embedding[(i+1)%64] AS e1, embedding[(i+2)%64] AS e2 FROM (SELECT vec_id, embedding, explode(sequence(0,63)) AS i FROM {embeddings}))""",
+        "SELECT image_id, row_no, col_no, " + ", ".join(
+            f"CAST(greatest(0, least(255, floor((CAST(e{k} AS DOUBLE)+0.5)*256))) AS INT) AS {c}" for k, c in enumerate("rgb"))
+        + """ FROM (SELECT vec_id AS image_id, CAST(i//8 AS INT) AS row_no, CAST(i % 8 AS INT) AS col_no, embedding[i+1] AS e0,
+        embedding[(i+1)%64+1] AS e1, embedding[(i+2)%64+1] AS e2 FROM embeddings, (SELECT unnest(range(0,64)) AS i))""",
+    ),
     "activations": (
         "embeddings",
         """SELECT vec_id AS image_id, CAST(floor(i/16) AS INT) AS ch, CAST(floor(i%16/4) AS INT) AS h, CAST(i%4 AS INT) AS w,
