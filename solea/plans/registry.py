@@ -16,6 +16,9 @@ ORACLES: dict[str, str] = {}
 EXTRA_CHECK_VIEWS: dict[str, str] = {}
 
 
+CHECK_ONCE: set[str] = set()
+
+
 class Inputs:
     """Lazy access to the tables and views of one data folder."""
 
@@ -59,7 +62,8 @@ def _with_views(body: str, columns: list[tuple[str, str]]) -> str:
                 needed.append(name)
                 pending.append(texts[name])
     ordered = [n for n in texts if n in needed]
-    parts = [f"{n} AS ({texts[n]})" for n in ordered] + [f"answer AS ({body})"]
+    # a view that feeds a recursive one is computed once, not in every recursion step
+    parts = [f"{n} AS {'MATERIALIZED ' if n in CHECK_ONCE else ''}({texts[n]})" for n in ordered] + [f"answer AS ({body})"]
     return f"WITH RECURSIVE {', '.join(parts)} SELECT {', '.join(_check_column(n, k) for n, k in columns)} FROM answer"
 
 
