@@ -34,16 +34,17 @@ def batch_outcome(results: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def scan_image_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+# group/patient_sex/...L|R.ext; a folder named key=value and a part file inside a named folder are accepted too
+_TREE = r"/(?:grp=)?([A-Za-z0-9]+)/(?:folder=)?([A-Za-z0-9]+)_([MF])/(?:file=)?(?:[^/]*_)?([LR])\.[A-Za-z]+(?:/part-[^/]*)?$"
+
+
+def scan_image_tree(spark: SparkSession, root: str) -> DataFrame:
     """One row per image file of a group/patient/foot tree. Only L and R files count; file content is not read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-        .select("path", "length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    part = lambda i: F.regexp_extract("path", _TREE, i)
+    return files.filter(F.col("path").rlike(_TREE)).select(
+        "path", part(1).alias("grp"), part(2).alias("patient"), part(3).alias("sex"), part(4).alias("foot"), "length"
     )
-    name = F.regexp_extract("path", r"/([A-Za-z0-9]+)/([A-Za-z0-9]+)_([MF])/[^/]*?_?([LR])\.[A-Za-z]+$", 0)
-    found = files.withColumn("__hit", name).filter(F.col("__hit") != "")
-    part = lambda i: F.regexp_extract("path", r"/([A-Za-z0-9]+)/([A-Za-z0-9]+)_([MF])/[^/]*?_?([LR])\.[A-Za-z]+$", i)
-    return found.select("path", part(1).alias("grp"), part(2).alias("patient"), part(3).alias("sex"), part(4).alias("foot"), "length")
 
 
 def decode_images(spark: SparkSession, root: str) -> DataFrame:
