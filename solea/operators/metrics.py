@@ -180,8 +180,9 @@ def youden_threshold(preds: DataFrame, by: list[str], score: str = "p") -> DataF
 
 def mean_threshold_compare(preds: DataFrame, run: str, fold: str, score: str = "p", default: float = 0.5) -> DataFrame:
     """Sensitivity and specificity at the default and at the run's mean fold threshold, mean and spread over folds."""
+    # 12 places: the cut must not move with the order in which the folds are added up
     cut = youden_threshold(preds, [run, fold], score).groupBy(run).agg(
-        F.avg("threshold").alias("mean_thr"), F.stddev_pop("threshold").alias("std_thr")
+        F.round(F.avg("threshold"), 12).alias("mean_thr"), F.stddev_pop("threshold").alias("std_thr")
     )
     hist = score_histogram(preds, [run, fold], score).join(cut, run)
 

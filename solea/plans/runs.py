@@ -38,7 +38,7 @@ EXTRA_CHECK_VIEWS.update({
         SELECT run_no, fold, max(mt) AS mt, max(st) AS st,
           coalesce(count(*) FILTER (y=1 AND p_a>=0.5)/nullif(sum(y),0),0) AS sd, coalesce(count(*) FILTER (y=0 AND p_a<0.5)/nullif(sum(1-y),0),0) AS pd,
           coalesce(count(*) FILTER (y=1 AND p_a>=mt)/nullif(sum(y),0),0) AS sy, coalesce(count(*) FILTER (y=0 AND p_a<mt)/nullif(sum(1-y),0),0) AS py
-        FROM preds JOIN (SELECT run_no, avg(threshold) AS mt, stddev_pop(threshold) AS st FROM youden GROUP BY run_no) USING (run_no)
+        FROM preds JOIN (SELECT run_no, round(avg(threshold), 12) AS mt, stddev_pop(threshold) AS st FROM youden GROUP BY run_no) USING (run_no)
         GROUP BY run_no, fold) GROUP BY run_no""",
 })
 
