@@ -58,43 +58,33 @@ def auc(preds: DataFrame, by: list[str], score: str = "p") -> DataFrame:
 
     Pairs are counted inside (group, score slot), then across slots, so a hot group is spread over its slots.
     """
-    return auc_of_histogram(score_histogram(preds, by, score), by, score)
+    return _rank_sums(score_histogram(preds, by, score), by, score, 0.5).select(*by, "auc", "n_pos", "n_neg")
 
 
-def auc_of_histogram(hist: DataFrame, by: list[str], score: str) -> DataFrame:
+def _rank_sums(hist: DataFrame, by: list[str], score: str, threshold: float) -> DataFrame:
+    """AUC, class totals and confusion counts of a score histogram in one flow, without a join."""
     hist = hist.withColumn("slot", score_slot(F.col(score)))
     inside = Window.partitionBy(*by, "slot").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(inside), F.lit(0)).cast("double")
+    hit = F.col(score) >= threshold
     slots = (
         hist.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2.0))
         .groupBy(*by, "slot")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("wins").alias("wins"))
+        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("wins").alias("wins"),
+             F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"))
     )
     before = Window.partitionBy(*by).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum("neg").over(before), F.lit(0)).cast("double")
-    return (
-        slots.withColumn("wins", F.col("wins") + F.col("pos") * earlier)
-        .groupBy(*by)
-        .agg(
-            F.try_divide(F.sum("wins"), F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"),
-            F.sum("pos").alias("n_pos"),
-            F.sum("neg").alias("n_neg"),
-        )
+    sums = slots.withColumn("wins", F.col("wins") + F.col("pos") * earlier).groupBy(*by).agg(
+        F.try_divide(F.sum("wins"), F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"),
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
     )
+    return sums.withColumns({"fn": F.col("n_pos") - F.col("tp"), "tn": F.col("n_neg") - F.col("fp")})
 
 
 def fold_metrics(preds: DataFrame, by: list[str], score: str = "p", threshold: float = 0.5) -> DataFrame:
-    """Counts, ratio metrics and AUC per group from one pass over the raw rows (the score histogram)."""
-    hist = score_histogram(preds, by, score)
-    hit = F.col(score) >= threshold
-    zero = F.lit(0)
-    counts = hist.groupBy(*by).agg(
-        F.sum(F.when(hit, F.col("pos")).otherwise(zero)).alias("tp"),
-        F.sum(F.when(~hit, F.col("pos")).otherwise(zero)).alias("fn"),
-        F.sum(F.when(~hit, F.col("neg")).otherwise(zero)).alias("tn"),
-        F.sum(F.when(hit, F.col("neg")).otherwise(zero)).alias("fp"),
-    )
-    return binary_metrics(counts).join(auc_of_histogram(hist, by, score).select(*by, "auc"), by)
+    """Counts, ratio metrics and AUC per group from one pass over the raw rows."""
+    return binary_metrics(_rank_sums(score_histogram(preds, by, score), by, score, threshold).drop("n_pos", "n_neg"))
 
 
 def fold_summary(per_fold: DataFrame, by: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from solea.functions.running import running
 from solea.functions.scalars import binomial_half_cdf, chi2_1_tail, normal_two_sided, score_slot
 from solea.operators.metrics import score_histogram
+from solea.session import cut_lineage
 
 SIX = ("sens", "spec", "ppv", "npv", "f1", "auc")
 
@@ -121,7 +122,7 @@ def bootstrap_ci(preds: DataFrame, by: list[str], score: str = "p", threshold: f
     block = 500
     keys = dict(preds.dtypes)
     key_schema = "".join(f"{c} {keys[c]}, " for c in by)
-    hist = score_histogram(preds, by, score).withColumn("slot", score_slot(F.col(score)))
+    hist = cut_lineage(score_histogram(preds, by, score).withColumn("slot", score_slot(F.col(score))))  # read several times
     slots = hist.groupBy(*by, "slot").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count(F.lit(1)).alias("scores"),
         F.max((F.col(score) >= threshold).cast("int")).alias("hit"),
@@ -164,13 +165,18 @@ def bootstrap_ci(preds: DataFrame, by: list[str], score: str = "p", threshold: f
             out[c] = key[i]
         return out[[*by, "block", "pos", "neg", "tp", "fp", "wins"]]
 
-    many = hist.join(slots.filter("scores > 1").select(*by, "slot"), [*by, "slot"], "left_semi")
-    refined = (
-        drawn.filter(F.col("slot").isNotNull()).groupBy(*by, "slot").cogroup(many.groupBy(*by, "slot"))
-        .applyInPandas(inside_slot, f"{key_schema}block int, {arrays}")
-    )
     cols = [*by, "block", "pos", "neg", "tp", "fp", "wins"]
-    parts = drawn.filter(F.col("slot").isNull()).select(cols).unionByName(refined.select(cols))
+    shared = slots.filter("scores > 1").select(*by, "slot")
+    if shared.isEmpty():
+        parts = drawn.select(cols)
+    else:
+        drawn = cut_lineage(drawn)
+        many = hist.join(shared, [*by, "slot"], "left_semi")
+        refined = (
+            drawn.filter(F.col("slot").isNotNull()).groupBy(*by, "slot").cogroup(many.groupBy(*by, "slot"))
+            .applyInPandas(inside_slot, f"{key_schema}block int, {arrays}")
+        )
+        parts = drawn.filter(F.col("slot").isNull()).select(cols).unionByName(refined.select(cols))
     reps = (
         parts.select(*by, "block", F.posexplode(F.arrays_zip("pos", "neg", "tp", "fp", "wins")).alias("at", "v"))
         .groupBy(*by, "block", "at")

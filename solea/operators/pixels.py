@@ -207,7 +207,7 @@ def resize_bilinear(df: DataFrame, target: int = 224, key: list[str] = IMAGE, va
                 return F.struct((acc["s"] + w * F.get(line, j).cast("double")).alias("s"), (acc["w"] + w).alias("w"))
 
             done = F.aggregate(F.sequence(first, F.greatest(last - 1, first)), start, add)
-            return F.floor(F.round(done["s"] / done["w"], 9) + 0.5).cast("int")
+            return F.floor(done["s"] / done["w"] + (0.5 + 1e-9)).cast("int")
 
         return F.transform(F.sequence(F.lit(0), F.lit(target - 1)), one)
 
@@ -243,24 +243,28 @@ def clahe(df: DataFrame, clip: Column | float = 3.5, tiles: int = 8, key: list[s
         F.count(F.lit(1)).cast("int").alias("n"), F.first(F.col("tile_h") * F.col("tile_w")).alias("area"), F.first("__clip").alias("__clip")
     )
     counts = counts.withColumn("cap", F.greatest((F.col("__clip") * F.col("area") / 256).cast("int"), F.lit(1)))
-    tile = counts.groupBy(*key, "ty", "tx").agg(
-        F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("m"), F.first("area").alias("area"), F.first("cap").alias("cap"),
-        F.sum(F.greatest(F.col("n") - F.col("cap"), F.lit(0))).cast("int").alias("excess"),
+    order = Window.partitionBy(*key, "ty", "tx").orderBy("v")  # at most 256 grey levels
+    kept = F.least("n", "cap")
+    steps = counts.select(
+        *key, "ty", "tx", "v", "area", (F.col("n") - kept).alias("over"), F.sum(kept).over(order).cast("int").alias("upto"),
+        (F.coalesce(F.lead("v").over(order), F.lit(256)) - F.col("v")).alias("span"),
+    )
+    tile = steps.groupBy(*key, "ty", "tx").agg(
+        F.sort_array(F.collect_list(F.struct("v", "upto", "span"))).alias("steps"), F.first("area").alias("area"), F.sum("over").cast("int").alias("excess"),
     )
     # the clipped excess goes evenly to all levels, what is left to every stride-th level
     share, rest = F.floor(F.col("excess") / 256).cast("int"), F.col("excess") % 256
     stride = F.greatest(F.floor(F.lit(256) / F.greatest(rest, F.lit(1))).cast("int"), F.lit(1))
-    levels = F.sequence(F.lit(0), F.lit(255))
     scale = 255.0 / F.col("area")
-    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+    upto = F.concat(
+        F.array_repeat(F.lit(0), F.get("steps", F.lit(0))["v"]), F.flatten(F.transform("steps", lambda s: F.array_repeat(s["upto"], s["span"])))
+    )
 
-    def level(acc: Column, i: Column) -> Column:
-        extra = ((i % stride == 0) & (F.floor(i / stride) < rest)).cast("int")
-        total = acc["sum"] + F.least(F.coalesce(F.try_element_at("m", i), F.lit(0)), F.col("cap")) + share + extra
-        value = F.least(F.bround(total * scale, 0), F.lit(255.0)).cast("int")
-        return F.struct(total.cast("int").alias("sum"), F.array_append(acc["out"], value).alias("out"))
+    def level(c: Column, i: Column) -> Column:
+        total = c + share * (i + 1) + F.least(rest, F.floor(i / stride) + 1)
+        return F.least(F.rint(total * scale), F.lit(255.0)).cast("int")
 
-    lut = F.aggregate(levels, start, level)["out"]
+    lut = F.transform(upto, level)
     luts = tile.select(*key, "ty", "tx", lut.alias("lut")).groupBy(*key, "ty").agg(
         F.map_from_entries(F.collect_list(F.struct("tx", "lut"))).alias("luts")
     )
@@ -279,7 +283,7 @@ def clahe(df: DataFrame, clip: Column | float = 3.5, tiles: int = 8, key: list[s
         at = lambda y, t: F.coalesce(F.get(F.try_element_at(f"lut_{y}", t), v), v).cast("double")
         top = at("y1", x1) * (1 - xa) + at("y1", x2) * xa
         low = at("y2", x1) * (1 - xa) + at("y2", x2) * xa
-        return F.bround(F.round(top * (1 - F.col("ya")) + low * F.col("ya"), 9), 0).cast("int")
+        return F.rint(top * (1 - F.col("ya")) + low * F.col("ya")).cast("int")
 
     return rows.select(*key, "row_no", F.posexplode(F.transform("__line", blend)).alias("col_no", "v"))
 

@@ -4,37 +4,38 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from solea.operators.boxes import points_in_box
 from solea.operators.pixels import _both_axes
+from solea.session import cut_lineage
 
 _EPS = 1e-8
 
 
-def _weighted_map(acts: DataFrame, weights: DataFrame) -> DataFrame:
+# A map has a fixed number of cells and a channel holds one value per cell, so these windows stay small.
+def _channel() -> WindowSpec:
+    return Window.partitionBy("image_id", "ch")
+
+
+def _weighted_map(weighted: DataFrame) -> DataFrame:
     """ReLU of the channel-weighted sum, scaled by the image maximum."""
-    cam = acts.join(weights, ["image_id", "ch"]).groupBy("image_id", "h", "w").agg(
+    cam = weighted.groupBy("image_id", "h", "w").agg(
         F.greatest(F.sum(F.col("act") * F.col("weight")), F.lit(0.0)).alias("cam")
     )
-    top = cam.groupBy("image_id").agg((F.max("cam") + _EPS).alias("top"))
-    return cam.join(top, "image_id").select("image_id", "h", "w", (F.col("cam") / F.col("top")).alias("cam"))
+    return cam.withColumn("cam", F.col("cam") / (F.max("cam").over(Window.partitionBy("image_id")) + _EPS))
 
 
 def grad_cam(maps: DataFrame) -> DataFrame:
-    return _weighted_map(maps, maps.groupBy("image_id", "ch").agg(F.avg("grad").alias("weight")))
+    return _weighted_map(maps.withColumn("weight", F.avg("grad").over(_channel())))
 
 
 def grad_cam_pp(maps: DataFrame) -> DataFrame:
     g = F.col("grad")
-    sums = maps.groupBy("image_id", "ch").agg(F.sum("act").alias("total"))
-    den = 2.0 * g * g + F.col("total") * g * g * g
-    den = F.when(F.abs(den) > _EPS, den).otherwise(_EPS)
-    weights = maps.join(sums, ["image_id", "ch"]).groupBy("image_id", "ch").agg(
-        F.sum(g * g / den * F.greatest(g, F.lit(0.0))).alias("weight")
-    )
-    return _weighted_map(maps, weights)
+    den = 2.0 * g * g + F.sum("act").over(_channel()) * g * g * g
+    part = g * g / F.when(F.abs(den) > _EPS, den).otherwise(_EPS) * F.greatest(g, F.lit(0.0))
+    return _weighted_map(maps.withColumn("__part", part).withColumn("weight", F.sum("__part").over(_channel())))
 
 
 def eigen_cam(maps: DataFrame) -> DataFrame:
@@ -85,6 +86,7 @@ def pointing_game(cams: dict[str, DataFrame], boxes: DataFrame, target: int = 22
     """Hit per method and annotated box: does any high-activation pixel fall inside the expanded box?"""
     out = None
     for method, cam in cams.items():
+        cam = cut_lineage(cam)  # small maps, read several times below
         high = high_activation(upsample_map(cam, target)).select("image_id", "row_no", "col_no")
         hit = points_in_box(high, boxes).select("box_id").distinct().withColumn("hit", F.lit(1))
         seen = boxes.select("box_id", "image_id").join(cam.select("image_id").distinct(), "image_id", "left_semi")

@@ -6,7 +6,7 @@ A camera has a bounded set of temperature steps, which bounds the rows of one (i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Class temperatures, bin bounds, zones and statistics in feature order.
@@ -61,8 +61,14 @@ def zone_features(temps: DataFrame, by: list[str]) -> DataFrame:
         for i, (lo, hi) in enumerate(zip(BIN_BOUNDS, BIN_BOUNDS[1:]))
     }
     mean_shift = F.sum(shifted * n) / F.sum(n)
-    per = temp_counts(temps, by).groupBy(*by).agg(
-        F.sum(n).alias("pixels"), (mean_shift + 30.0).alias("mean"), F.percentile("temp", 0.5, F.col("n")).alias("median"),
+    # Running counts over the distinct temperatures give the exact median inside plain hash aggregation; the grouping
+    # below reuses the window's partitioning.
+    order = Window.partitionBy(*by).orderBy("temp").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = temp_counts(temps, by).withColumns({"__upto": F.sum("n").over(order), "__all": F.sum("n").over(Window.partitionBy(*by))})
+    middle = lambda k: F.min(F.when(F.col("__upto") > k, t))
+    low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
+    per = ranked.groupBy(*by).agg(
+        F.sum(n).alias("pixels"), (mean_shift + 30.0).alias("mean"), ((middle(low) + middle(high)) / 2.0).alias("median"),
         F.sqrt(F.greatest(F.sum(shifted * shifted * n) / F.sum(n) - mean_shift * mean_shift, F.lit(0.0))).alias("sd"),
         F.max("temp").alias("hottest"), _class_counts().alias("__counts"), *[c.alias(k) for k, c in bins.items()],
     )

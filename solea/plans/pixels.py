@@ -159,8 +159,8 @@ def _(t):
 def _resize_sql(target: int) -> str:
     return f"""WITH t AS (SELECT o, j, greatest(0.0E0, 1-abs((j-(o+0.5E0)*8/{target}+0.5E0)/greatest(8/{target}.0E0,1.0E0))) AS w FROM (SELECT unnest(range({target})) AS o), (SELECT unnest(range(8)) AS j)),
           k AS (SELECT o, j, w/sum(w) OVER (PARTITION BY o) AS w FROM t WHERE w > 0),
-          h AS (SELECT image_id, row_no, o AS col_no, floor(round(sum(w*v),9)+0.5) AS v FROM pixels JOIN k ON k.j=col_no GROUP BY ALL),
-          u AS (SELECT image_id, o AS row_no, col_no, floor(round(sum(w*v),9)+0.5) AS v FROM h JOIN k ON k.j=row_no GROUP BY ALL) SELECT * FROM u"""
+          h AS (SELECT image_id, row_no, o AS col_no, floor(sum(w*v)+0.500000001E0) AS v FROM pixels JOIN k ON k.j=col_no GROUP BY ALL),
+          u AS (SELECT image_id, o AS row_no, col_no, floor(sum(w*v)+0.500000001E0) AS v FROM h JOIN k ON k.j=row_no GROUP BY ALL) SELECT * FROM u"""
 
 
 @query("resize_bilinear", RC + "v:i", _resize_sql(20))
@@ -182,7 +182,7 @@ def _(t):
           lut AS (SELECT image_id, ty, tx, bin, least(255, round_even(sum(n) OVER (PARTITION BY image_id,ty,tx ORDER BY bin)*(255.0E0/16),0)) AS val FROM d),
           p AS (SELECT *, row_no/4.0E0-0.5E0 AS fy, col_no/4.0E0-0.5E0 AS fx FROM pixels),
           q AS (SELECT *, fy-floor(fy) AS ya, fx-floor(fx) AS xa, greatest(floor(fy),0) AS y1, least(floor(fy)+1,1) AS y2, greatest(floor(fx),0) AS x1, least(floor(fx)+1,1) AS x2 FROM p)
-          SELECT q.image_id, row_no, col_no, CAST(round_even(round((a.val*(1-xa)+b.val*xa)*(1-ya)+(c.val*(1-xa)+e.val*xa)*ya,9),0) AS INT) AS v FROM q
+          SELECT q.image_id, row_no, col_no, CAST(round_even((a.val*(1-xa)+b.val*xa)*(1-ya)+(c.val*(1-xa)+e.val*xa)*ya,0) AS INT) AS v FROM q
           JOIN lut a ON a.image_id=q.image_id AND a.ty=y1 AND a.tx=x1 AND a.bin=v JOIN lut b ON b.image_id=q.image_id AND b.ty=y1 AND b.tx=x2 AND b.bin=v
           JOIN lut c ON c.image_id=q.image_id AND c.ty=y2 AND c.tx=x1 AND c.bin=v JOIN lut e ON e.image_id=q.image_id AND e.ty=y2 AND e.tx=x2 AND e.bin=v""")
 def _(t):
