@@ -32,8 +32,9 @@ def runs(mask: DataFrame, key: list[str] = IMAGE) -> DataFrame:
 def component_runs(mask: DataFrame, connectivity: int = 8, key: list[str] = IMAGE) -> DataFrame:
     """Runs with the component they belong to (``comp`` = its first pixel number in row order).
 
-    Runs of neighbouring rows are joined where they touch; labels then take the minimum over neighbours and jump to
-    the label of their label, so long shapes settle in few rounds. Every round is cut with a reliable checkpoint.
+    Runs of neighbouring rows are joined where they touch. In a round all runs of one label take the smallest label
+    that any of them touches, then the label of that label, so long shapes settle in few rounds. Every round is
+    stored in the shared folder.
     """
     reach = 1 if connectivity == 8 else 0
     r = cut_lineage(runs(mask, key))
@@ -48,8 +49,11 @@ def component_runs(mask: DataFrame, connectivity: int = 8, key: list[str] = IMAG
         hooked = labels.join(near, [*key, "node"], "left").select(
             *key, "node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")
         )
-        up = hooked.select(*key, F.col("node").alias("comp"), F.col("comp").alias("up"))
-        state = cut_lineage(hooked.join(up, [*key, "comp"]).select(*key, "node", "old", F.col("up").alias("comp")))
+        # the best label any run of a label has seen, applied to the label's runs and once more to the result
+        best = hooked.groupBy(*key, "old").agg(F.min("comp").alias("best"))
+        merged = hooked.join(best, [*key, "old"]).select(*key, "node", "old", F.col("best").alias("comp"))
+        jump = best.select(*key, F.col("old").alias("comp"), F.col("best").alias("up"))
+        state = cut_lineage(merged.join(jump, [*key, "comp"], "left").select(*key, "node", "old", F.coalesce("up", "comp").alias("comp")))
         labels = state.select(*key, "node", "comp")
         if state.filter("old <> comp").isEmpty():
             return r.join(labels, [*key, "node"])
