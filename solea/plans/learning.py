@@ -8,6 +8,7 @@ from solea.operators import features as X
 from solea.operators import learners as L
 from solea.operators.neighbours import smote
 from solea.plans.registry import EXTRA_CHECK_VIEWS, Inputs, query
+from solea.plans.splits import _hash
 
 EXTRA_CHECK_VIEWS.update({
     "z_rows": """SELECT f.id, f.y, f.fold, f.feature, (f.x - m)/CASE WHEN s=0 THEN 1 ELSE s END AS z FROM features f JOIN (
@@ -35,7 +36,13 @@ def _(t):
     return X.correlation_matrix(X.widen(t.features))
 
 
-@query("correlation_filter", "feature:i kept:b")
+@query("correlation_filter", "feature:i kept:b",
+       """WITH RECURSIVE d AS (SELECT id, feature, x FROM features UNION ALL SELECT id, CAST(39 + feature/10 AS INT), x*2 + id*1e-6 FROM features WHERE feature % 10 = 0),
+          strong AS MATERIALIZED (SELECT f1, list(f2) AS hits FROM (SELECT a.feature AS f1, b.feature AS f2, corr(a.x,b.x) AS r FROM d a JOIN d b ON a.id=b.id AND b.feature>a.feature
+            GROUP BY 1, 2) WHERE abs(r) > 0.95 GROUP BY f1),
+          g(i, dropped) AS (SELECT 0, CAST([] AS INT[]) UNION ALL SELECT i+1, CASE WHEN list_contains(dropped, i) OR hits IS NULL THEN dropped ELSE list_concat(dropped, hits) END
+            FROM g LEFT JOIN strong ON f1=i WHERE i < 43)
+          SELECT DISTINCT feature, NOT list_contains(dropped, feature) AS kept FROM d, g WHERE i = 43""")
 def _(t):
     """Every tenth feature gets a near copy, so that there is something to drop."""
     twin = t.features.filter("feature % 10 = 0").withColumn("feature", (39 + F.col("feature") / 10).cast("int")).withColumn("x", F.col("x") * 2 + F.col("id") * 1e-6)
@@ -44,7 +51,19 @@ def _(t):
     return doubled.select("feature").distinct().withColumn("kept", F.col("feature").isin(kept))
 
 
-@query("smote", "id:i y:i parent:i partner:i first:f")
+_SMOTE_SQL = f"""WITH tr AS MATERIALIZED (SELECT * FROM z_rows WHERE fold <> 0), people AS (SELECT DISTINCT id, y FROM tr),
+  c AS (SELECT y, count(*) AS n FROM people GROUP BY y), m AS (SELECT y, n, (SELECT max(n) FROM c) - n AS missing FROM c ORDER BY n, y LIMIT 1),
+  small AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY {_hash('id', 42)} // 524288, id) - 1 AS pos FROM people WHERE y = (SELECT y FROM m)),
+  dist AS (SELECT a.id AS parent, b.id AS partner, sum(pow(a.z-b.z,2)) AS d FROM tr a JOIN tr b ON a.feature=b.feature AND a.id<>b.id
+    WHERE a.id IN (SELECT id FROM small) AND b.id IN (SELECT id FROM small) GROUP BY 1, 2),
+  links AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY d, partner) AS rank FROM dist),
+  plan AS (SELECT -1-k AS id, {_hash('k', 43)} % n AS pos, {_hash('k', 44)} % least(5, n-1) + 1 AS rank, {_hash('k', 45)}/2147483647.0E0 AS u FROM (SELECT unnest(range((SELECT missing FROM m))) AS k), m)
+  SELECT p.id, m.y, s.id AS parent, l.partner, a.z + (b.z-a.z)*u AS first FROM plan p JOIN small s ON s.pos=p.pos JOIN links l ON l.parent=s.id AND l.rank=p.rank
+    JOIN tr a ON a.id=s.id AND a.feature=0 JOIN tr b ON b.id=l.partner AND b.feature=0, m
+  UNION ALL SELECT id, y, NULL, NULL, z FROM tr WHERE feature=0"""
+
+
+@query("smote", "id:i y:i parent:i partner:i first:f", _SMOTE_SQL)
 def _(t):
     train, _test = parts(t)
     return smote(train).withColumn("first", F.get("x", F.lit(0)))

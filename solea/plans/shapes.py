@@ -124,7 +124,30 @@ def _(t):
     return G.footprint_indices(G.foot_bands(dense_mask(t)))
 
 
-@query("threshold_sensitivity", "image_id:i thr:i regions:i " + _IDX)
+def _leveled(text: str) -> str:
+    """The single-threshold texts with (image, level) as the key."""
+    return text.replace("image_id", "img")
+
+
+EXTRA_CHECK_VIEWS.update({
+    "ts_px": """SELECT image_id*1000 + thr AS img, row_no, col_no, v > thr AS fg FROM pixels JOIN (SELECT image_id, otsu AS thr FROM otsu_rows
+        UNION SELECT image_id, unnest([5,10,20,40,60,90,120]) FROM otsu_rows) USING (image_id)""",
+    "ts_bg": "SELECT img, row_no, col_no FROM ts_px WHERE NOT fg",
+    "ts_out": f"""SELECT img, row_no, col_no FROM ts_bg WHERE row_no IN (0,7) OR col_no IN (0,7) UNION
+        SELECT p.img, p.row_no, p.col_no FROM ts_out f JOIN ts_bg p ON p.img=f.img AND {_N4}""",
+    "ts_fill": "SELECT img, row_no, col_no FROM ts_px p ANTI JOIN ts_out o USING (img, row_no, col_no)",
+    "ts_reach": _leveled(_reach_sql("ts_fill", "ts_reach", _N4)),
+    "ts_comp": "SELECT img, row_no, col_no, min(seed) AS comp FROM ts_reach GROUP BY ALL",
+    "ts_size": "SELECT img, comp, count(*) AS size FROM ts_comp GROUP BY ALL",
+    "ts_main": """SELECT img, row_no, col_no FROM ts_comp JOIN (SELECT img, comp FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY size DESC, comp DESC) AS rn FROM ts_size)
+        WHERE rn=1) USING (img, comp)""",
+    "ts_bands": _leveled(_otsu_free_bands("ts_main")),
+})
+CHECK_ONCE.update({"ts_px", "ts_bg", "ts_fill", "ts_comp"})
+
+
+@query("threshold_sensitivity", "image_id:i thr:i regions:i " + _IDX,
+       "SELECT img // 1000 AS image_id, img % 1000 AS thr, * FROM (" + _leveled(_IDX_SQL.format(bands="ts_bands")) + ") JOIN (SELECT img, count(*) AS regions FROM ts_size GROUP BY img) USING (img)")
 def _(t):
     return G.threshold_sensitivity(t.pixels, [5, 10, 20, 40, 60, 90, 120], X.otsu_threshold(t.pixels))
 
@@ -132,7 +155,20 @@ def _(t):
 _PCTS = [4, 6, 8, 10, 12, 15, 18, 20]
 
 
-@query("dilation_sweep", "image_id:i " + " ".join(f"p{p}:s" for p in _PCTS) + " best_pct:i")
+EXTRA_CHECK_VIEWS.update({
+    "dl_px": """SELECT p.image_id, p.row_no, p.col_no FROM pixels p WHERE EXISTS (SELECT 1 FROM pixels q WHERE q.image_id=p.image_id AND q.v >= 200
+        AND q.row_no BETWEEN p.row_no-1 AND p.row_no+1 AND q.col_no BETWEEN p.col_no-2 AND p.col_no+2)""",
+    "dl_reach": _reach_sql("dl_px", "dl_reach", _N4),
+    "dl_size": "SELECT image_id, comp, count(*) AS size FROM (SELECT image_id, row_no, col_no, min(seed) AS comp FROM dl_reach GROUP BY ALL) GROUP BY ALL",
+    "dl_status": """SELECT image_id, CASE n WHEN 2 THEN 'OK' WHEN 1 THEN 'merged' WHEN 0 THEN 'failed' ELSE '>' || CAST(n AS VARCHAR) || ' regions' END AS s FROM (
+        SELECT image_id, count(size) FILTER (size >= 64*0.05) AS n FROM (SELECT DISTINCT image_id FROM pixels) LEFT JOIN dl_size USING (image_id) GROUP BY image_id)""",
+})
+CHECK_ONCE.add("dl_px")
+
+
+# an 8-pixel image gives the least kernel height, 3, at every percentage
+@query("dilation_sweep", "image_id:i " + " ".join(f"p{p}:s" for p in _PCTS) + " best_pct:i",
+       "SELECT image_id, " + ", ".join(f"s AS p{p}" for p in _PCTS) + ", CASE WHEN (SELECT bool_and(s='OK') FROM dl_status) THEN 4 END AS best_pct FROM dl_status")
 def _(t):
     table, best = G.dilation_sweep(t.pixels.select("image_id", "row_no", "col_no", (F.col("v") >= 200).alias("mask")), _PCTS)
     named = table.withColumnsRenamed({str(p): f"p{p}" for p in _PCTS})
