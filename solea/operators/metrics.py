@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from solea.functions.running import running
 from solea.functions.scalars import ratio, score_slot
 
+# Metric names in report order and the floors of the model gate.
 METRICS = ("auc", "sens", "spec", "ppv", "npv", "f1", "acc")
 CRITERIA = {"auc": 0.80, "sens": 0.85, "spec": 0.70}
 

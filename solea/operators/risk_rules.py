@@ -129,6 +129,7 @@ def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+# The column order of both exports.
 RAW_COLUMNS = (
     ["pid", "savedAt"]
     + [f"mf_{s}_{m}" for s in "LR" for m in MONOFILAMENT_SITES]

@@ -88,12 +88,13 @@ def hmrf_icm(df: DataFrame, k: int = 3, beta: float = 1.5, max_sweeps: int = 30,
     active, settled = cut_lineage(df.select(*keep)), None
     for _ in range(max_sweeps):
         swept = cut_lineage(icm_sweep(active, k, beta, key).withColumn("__moved", F.col("label") != F.col("new_label")).withColumn("label", F.col("new_label")))
-        share = swept.groupBy(*key).agg(F.avg(F.col("__moved").cast("int")).alias("share"))
+        share = cut_lineage(swept.groupBy(*key).agg(F.avg(F.col("__moved").cast("int")).alias("share")))
         rows = swept.select(*keep)
         done = rows.join(share.filter(F.col("share") < tol).select(*key), key, "left_semi")
         settled = done if settled is None else settled.unionByName(done)
-        active = rows.join(share.filter(F.col("share") >= tol).select(*key), key, "left_semi")
-        if active.isEmpty():
+        restless = share.filter(F.col("share") >= tol).select(*key)
+        active = rows.join(restless, key, "left_semi")
+        if restless.isEmpty():
             return settled
     return settled.unionByName(active)
 
