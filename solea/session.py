@@ -28,26 +28,40 @@ def local_session(cores: int | str = 8, app: str = "solea") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach. The session names it; a local one is made only where it does not."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="solea-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    """The folder every executor can reach: spark.checkpoint.dir of the session, or the context's checkpoint folder.
+
+    Only a local session without either gets a temporary folder; it is kept as the context's checkpoint folder.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="solea-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, label: str = "state") -> tuple[DataFrame, str]:
+    """Write a table to the shared folder; returns it as read back, and its folder for ``release``."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Give back the space of stored tables that nothing reads any more, by overwriting them with no rows."""
+    for path in paths:
+        spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an iterative state to the shared folder and read it back.
 
     A lost executor then replays one round only, the next plan starts small, and its joins see the true size.
     """
-    path = new_folder(df.sparkSession, "state")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return store(df)[0]
