@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from solea.llm.bpe import Vocabulary, token_digests
 from solea.llm.quality import score_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +24,16 @@ def _register(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
     return build
 
 
+@lru_cache(maxsize=2)
+def vocabulary(name: str = "word_bpe_49k.json") -> Vocabulary:
+    return Vocabulary.read(public_tokenizers.path(name))
+
+
+@_register
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 @_register
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
