@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from solea.llm.bpe import Vocabulary, token_digests
+from solea.llm.mixing import mix_order
 from solea.llm.pii import find_personal_data
 from solea.llm.quality import score_quality
 
@@ -40,6 +41,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+@_register
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_order(_table(spark, sf_dir, "documents"))
+
+
 @_register
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
