@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from solea.llm.bpe import Vocabulary, token_digests
+from solea.llm.jaccard import similar_classes
 from solea.llm.mixing import mix_order
 from solea.llm.pii import find_personal_data
 from solea.llm.quality import score_quality
@@ -36,6 +37,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+@_register
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 @_register
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents"))
