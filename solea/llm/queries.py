@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from solea.llm.bpe import Vocabulary, token_digests
+from solea.llm.html_text import extract_main_text
 from solea.llm.jaccard import similar_classes
 from solea.llm.mixing import mix_order
 from solea.llm.pii import find_personal_data
@@ -52,6 +53,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_order(_table(spark, sf_dir, "documents"))
 
 
+@_register
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 @_register
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
