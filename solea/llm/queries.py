@@ -7,11 +7,14 @@ from functools import lru_cache
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from solea.llm.bpe import Vocabulary, token_digests
 from solea.llm.html_text import extract_main_text
 from solea.llm.jaccard import similar_classes
 from solea.llm.mixing import mix_order
+from solea.llm.near_vectors import near_vectors
+from solea.llm.neighbours import nearest_neighbours
 from solea.llm.pii import find_personal_data
 from solea.llm.quality import score_quality
 
@@ -38,6 +41,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+@_register
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+@_register
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @_register
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(_table(spark, sf_dir, "documents"), width=3, percent=90)
