@@ -17,6 +17,7 @@ from solea.llm.near_vectors import near_vectors
 from solea.llm.neighbours import nearest_neighbours
 from solea.llm.pii import find_personal_data
 from solea.llm.quality import score_quality
+from solea.llm.repeats import repeat_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +67,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_order(_table(spark, sf_dir, "documents"))
 
 
+@_register
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(_table(spark, sf_dir, "documents"), length=200)
+
+
 @_register
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
