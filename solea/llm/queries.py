@@ -16,6 +16,7 @@ from solea.llm.mixing import mix_order
 from solea.llm.near_vectors import near_vectors
 from solea.llm.neighbours import nearest_neighbours
 from solea.llm.pii import find_personal_data
+from solea.llm.pseudo_likelihood import pseudo_likelihood
 from solea.llm.quality import score_quality
 from solea.llm.repeats import repeat_digests
 
@@ -72,6 +73,11 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(_table(spark, sf_dir, "documents"), length=200)
 
 
+@_register
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 @_register
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
