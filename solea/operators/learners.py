@@ -58,11 +58,11 @@ def logistic(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def forest(train: DataFrame, test: DataFrame, trees: int = 100) -> DataFrame:
-    return _fit_score(RandomForestClassifier(numTrees=trees, maxDepth=12, weightCol="weight", featureSubsetStrategy="sqrt", seed=SEED), balanced(train), test)
+    return _fit_score(RandomForestClassifier(numTrees=trees, maxDepth=30, weightCol="weight", featureSubsetStrategy="sqrt", seed=SEED), balanced(train), test)
 
 
 def extra_trees(train: DataFrame, test: DataFrame, trees: int = 100) -> DataFrame:
-    est = RandomForestClassifier(numTrees=trees, maxDepth=12, bootstrap=False, weightCol="weight", featureSubsetStrategy="sqrt", seed=SEED)
+    est = RandomForestClassifier(numTrees=trees, maxDepth=30, bootstrap=False, weightCol="weight", featureSubsetStrategy="sqrt", seed=SEED)
     return _fit_score(est, balanced(train), test)
 
 
@@ -171,9 +171,9 @@ CLASSIFIERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 def feature_ranking(train: DataFrame, method: str, trees: int = 200) -> DataFrame:
     """Importance per feature, rank 1 first; equal importances rank the higher feature number first."""
     est = {
-        "RF": lambda: RandomForestClassifier(numTrees=trees, maxDepth=12, featureSubsetStrategy="sqrt", seed=SEED),
+        "RF": lambda: RandomForestClassifier(numTrees=trees, maxDepth=30, featureSubsetStrategy="sqrt", seed=SEED),
         "XGBoost": lambda: GBTClassifier(maxIter=trees, maxDepth=6, stepSize=0.3, seed=SEED),
-        "ExtraTree": lambda: RandomForestClassifier(numTrees=trees, maxDepth=12, bootstrap=False, featureSubsetStrategy="sqrt", seed=SEED),
+        "ExtraTree": lambda: RandomForestClassifier(numTrees=trees, maxDepth=30, bootstrap=False, featureSubsetStrategy="sqrt", seed=SEED),
     }[method]()
     weights = est.fit(_vectors(train)).featureImportances.toArray()
     rows = [(method, i, float(v)) for i, v in enumerate(weights)]

@@ -173,12 +173,15 @@ def crop_squares(df: DataFrame, feet: DataFrame, channels: list[str], key: list[
 # ---------------------------------------------------------------- footprint geometry
 
 
-def toe_removal(mask: DataFrame, key: list[str] = IMAGE) -> tuple[DataFrame, DataFrame]:
-    """Fill holes, keep the largest 4-connected region and fill it again; also counts per image."""
+def toe_removal(mask: DataFrame, key: list[str] = IMAGE, later_wins: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Fill holes, keep the largest 4-connected region and fill it again; also counts per image.
+
+    Of equally large regions the later one is kept, or the first with ``later_wins=False``.
+    """
     filled = cut_lineage(fill_holes(mask, key))
     labelled = component_runs(filled, 4, key)
     boxes = component_boxes(labelled, key)
-    w = Window.partitionBy(*key).orderBy(F.col("size").desc(), F.col("comp").desc())
+    w = Window.partitionBy(*key).orderBy(F.col("size").desc(), F.col("comp").desc() if later_wins else F.col("comp"))
     chosen = boxes.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
     foot = cut_lineage(fill_holes(keep_component(filled, chosen, labelled, key), key))
     counts = boxes.groupBy(*key).agg(F.count(F.lit(1)).alias("regions"), F.sum("size").alias("filled_px"))
@@ -221,7 +224,7 @@ def threshold_sensitivity(px: DataFrame, fixed: list[int], otsu: DataFrame, key:
     levels = otsu.withColumn("thr", F.explode(F.array_distinct(F.concat(F.array(F.col("otsu").cast("int")), F.array(*map(F.lit, fixed))))))
     wide = [*key, "thr"]
     mask = px.join(levels.select(*wide), key).select(*wide, "row_no", "col_no", (F.col("v") > F.col("thr")).alias("mask"))
-    foot, counts = toe_removal(mask, wide)
+    foot, counts = toe_removal(mask, wide, later_wins=False)
     return footprint_indices(foot_bands(foot, wide), wide).join(counts.select(*wide, "regions"), wide)
 
 

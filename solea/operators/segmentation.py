@@ -15,56 +15,74 @@ from solea.session import cut_lineage
 FEATURES = ("Y", "Db", "Dr")
 
 
-def _log_density(x: np.ndarray, mean: np.ndarray, inv: np.ndarray, logdet: float) -> np.ndarray:
-    d = x - mean
-    return -0.5 * (x.shape[1] * np.log(2 * np.pi) + logdet + np.einsum("ni,ij,nj->n", d, inv, d))
-
-
-def _fit_mixture(x: np.ndarray, n: np.ndarray, k: int, max_iter: int, tol: float, seed: list[int]):
-    """EM on distinct colours ``x`` with pixel counts ``n``; the same numbers as EM on single pixels."""
-    rng, dim, total = np.random.default_rng(seed), x.shape[1], n.sum()
-    start = np.searchsorted(np.cumsum(n), rng.choice(total, size=min(k, total), replace=False), side="right")
-    means = x[np.resize(start, k)].astype(float)
-    spread = np.average((x - np.average(x, axis=0, weights=n)) ** 2, axis=0, weights=n)
-    covs = np.stack([np.diag(np.maximum(spread, 1e-6))] * k)
-    weights, last, history = np.full(k, 1.0 / k), -np.inf, []
+def _moments(x: np.ndarray, share: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mass, sum and sum of squares of every component of every image, from rows ordered by image."""
+    weighted = share[:, :, None] * x[:, None, :]
+    return np.add.reduceat(share, first), np.add.reduceat(weighted, first), np.add.reduceat(np.einsum("nkd,ne->nkde", weighted, x), first)
+
+
+def _fit_mixtures(x: np.ndarray, n: np.ndarray, first: np.ndarray, starts: np.ndarray, max_iter: int, tol: float):
+    """Mixtures of many images at once. ``x`` holds their distinct colours with pixel counts ``n``, image after image from ``first``;
+    ``starts`` (image, component) are rows of x. An image stops for itself when its likelihood settles."""
+    images, k = starts.shape
+    size = np.diff(np.append(first, len(x)))
+    image = np.repeat(np.arange(images), size)
+    pixels = np.add.reduceat(n, first)
+    centre = np.add.reduceat(n[:, None] * x, first) / pixels[:, None]
+    x = x - centre[image]  # sums of squares stay exact enough around an image's own mean
+    spread = np.maximum(np.add.reduceat(n[:, None] * x * x, first) / pixels[:, None], 1e-6)
+    weight, mean = np.full((images, k), 1.0 / k), x[starts]
+    cov = np.repeat((spread[:, :, None] * np.eye(x.shape[1]))[:, None], k, 1)
+    likelihood, running = [[] for _ in range(images)], np.ones(images, bool)
     for _ in range(max_iter):
-        inv, det = np.linalg.inv(covs), np.linalg.slogdet(covs)[1]
-        logp = np.stack([np.log(weights[j] + 1e-300) + _log_density(x, means[j], inv[j], det[j]) for j in range(k)], axis=1)
-        top = logp.max(axis=1, keepdims=True)
-        norm = top + np.log(np.exp(logp - top).sum(axis=1, keepdims=True))
-        resp = np.exp(logp - norm) * n[:, None]
-        mass = np.maximum(resp.sum(axis=0), 1e-12)
-        weights = mass / total
-        means = (resp.T @ x) / mass[:, None]
-        for j in range(k):
-            d = x - means[j]
-            covs[j] = (d * resp[:, j:j + 1]).T @ d / mass[j] + np.eye(dim) * 1e-6
-        history.append(float((norm[:, 0] * n).sum()))
-        if abs(history[-1] - last) < tol:
+        root = np.linalg.cholesky(cov)
+        white = np.linalg.solve(root[image], (x[:, None, :] - mean[image])[..., None])[..., 0]
+        log_root = np.log(np.einsum("ikdd->ikd", root)).sum(2)
+        joint = np.log(weight + 1e-300)[image] - 0.5 * (white**2).sum(2) - log_root[image] - 0.5 * x.shape[1] * np.log(2 * np.pi)
+        whole = np.logaddexp.reduce(joint, axis=1)
+        total = np.add.reduceat(whole * n, first)
+        mass, sums, squares = _moments(x, np.exp(joint - whole[:, None]) * n[:, None], first)
+        mass = np.maximum(mass, 1e-12)
+        new_mean = sums / mass[:, :, None]
+        new_cov = squares / mass[:, :, None, None] - new_mean[..., :, None] * new_mean[..., None, :] + 1e-6 * np.eye(x.shape[1])
+        for i in np.flatnonzero(running):
+            likelihood[i].append(float(total[i]))
+        weight[running], mean[running], cov[running] = (mass / pixels[:, None])[running], new_mean[running], new_cov[running]
+        running &= np.array([len(h) < 2 or abs(h[-1] - h[-2]) >= tol for h in likelihood])
+        if not running.any():
             break
-        last = history[-1]
-    return weights, means, covs, history
+    return weight, mean + centre[:, None], cov, likelihood
+
+
+IMAGES_TOGETHER = 200
 
 
 def gmm_em(px: DataFrame, k: int = 3, max_iter: int = 80, tol: float = 1e-4, seed: int = 42, key: list[str] = IMAGE) -> DataFrame:
     """Mixture parameters per image, one row per component.
 
-    Pixels are counted per distinct colour first, so one group is the colour table of one image, not its pixels.
+    Pixels are counted per distinct colour first; the colour tables of about ``IMAGES_TOGETHER`` images are fitted in one batch.
     """
     colours = px.groupBy(*key, *FEATURES).agg(F.count(F.lit(1)).alias("n"))
     types = dict(px.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in key) + ", k int, weight double, mean array<double>, inv array<double>, logdet double, loglik array<double>"
 
-    def fit(group_key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(FEATURES))
-        mark = [seed, *[zlib.crc32(str(v).encode()) for v in group_key]]
-        w, m, c, history = _fit_mixture(pdf[list(FEATURES)].to_numpy(), pdf.n.to_numpy(), k, max_iter, tol, mark)
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*key, *FEATURES])
+        keys = pdf[key].drop_duplicates().itertuples(index=False, name=None)
+        first = np.flatnonzero(~pdf.duplicated(key).to_numpy())
+        n, ends = pdf.n.to_numpy(np.float64), np.append(first[1:], len(pdf))
+        starts, keys = [], list(keys)
+        for own, a, b in zip(keys, first, ends):
+            rng = np.random.default_rng([seed, *[zlib.crc32(str(v).encode()) for v in own]])
+            drawn = np.sort(rng.uniform(0, n[a:b].sum(), k))  # pixels at random: a colour is drawn by its count
+            starts.append(a + np.searchsorted(np.cumsum(n[a:b]), drawn, side="right"))
+        w, m, c, history = _fit_mixtures(pdf[list(FEATURES)].to_numpy(np.float64), n, first, np.array(starts), max_iter, tol)
         return pd.DataFrame([
-            (*group_key, j, w[j], m[j], np.linalg.inv(c[j]).ravel(), np.linalg.slogdet(c[j])[1], history) for j in range(k)
+            (*own, j, w[i, j], m[i, j], np.linalg.inv(c[i, j]).ravel(), np.linalg.slogdet(c[i, j])[1], history[i]) for i, own in enumerate(keys) for j in range(k)
         ], columns=[*key, "k", "weight", "mean", "inv", "logdet", "loglik"])
 
-    return colours.groupBy(*key).applyInPandas(fit, schema)
+    batches = max(1, -(-px.select(*key).distinct().count() // IMAGES_TOGETHER))
+    return colours.groupBy(F.pmod(F.xxhash64(*key), F.lit(batches)).alias("__batch")).applyInPandas(lambda pdf: fit(pdf), schema)
 
 
 def likelihood_energies(px: DataFrame, params: DataFrame, k: int = 3, key: list[str] = IMAGE) -> DataFrame:

@@ -11,4 +11,10 @@ for _name in ("runs", "cases", "forms", "thermal", "splits", "pixels", "shapes",
         if missing.name != f"solea.plans.{_name}":
             raise
 
+# the survey's names of two queries
+for _name, _known in (("pipeline_progress", "run_progress"), ("preprocess_pipeline", "preprocess_steps")):
+    QUERIES[_name] = QUERIES[_known]
+    if _known in ORACLES:
+        ORACLES[_name] = ORACLES[_known]
+
 __all__ = ["ORACLES", "QUERIES"]

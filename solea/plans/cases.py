@@ -160,9 +160,12 @@ def _(t):
 @query("pending_cases", _STATUS,
        """SELECT f.research_id, nurse, cat_l, cat_r, coalesce(has_podo,false) AS has_podo, coalesce(has_thermal,false) AS has_thermal
           FROM crf_forms f LEFT JOIN (SELECT research_id, bool_or(modality='podoscope') AS has_podo, bool_or(modality='thermal') AS has_thermal
-            FROM captures WHERE event_id % 3 = 0 GROUP BY research_id) USING (research_id) WHERE NOT (coalesce(has_podo,false) AND coalesce(has_thermal,false))""")
+            FROM captures JOIN (SELECT research_id, ts AS saved FROM crf_forms) USING (research_id) WHERE ts >= saved GROUP BY research_id) USING (research_id)
+          WHERE NOT (coalesce(has_podo,false) AND coalesce(has_thermal,false))""")
 def _(t):
-    return C.pending_cases(C.case_status(cases(t), forms(t), captures(t).filter("event_id % 3 = 0")))
+    """A form saved again asks for captures taken since."""
+    since = captures(t).join(forms(t).select("research_id", F.col("ts").alias("saved")), "research_id").filter("ts >= saved").drop("saved")
+    return C.pending_cases(C.case_status(cases(t), forms(t), since))
 
 
 @query("roi_ready", _STATUS, "SELECT * FROM status_rows WHERE has_podo AND has_thermal")
@@ -182,9 +185,9 @@ def _(t):
        """SELECT c.research_id, c.event_id, CASE WHEN coalesce(has_podo,false) AND coalesce(has_thermal,false) THEN 'complete'
             WHEN coalesce(has_podo,false) OR coalesce(has_thermal,false) THEN 'partial' ELSE 'rejected' END AS status
           FROM commits c LEFT JOIN (SELECT research_id, bool_or(modality='podoscope') AS has_podo, bool_or(modality='thermal') AS has_thermal
-            FROM captures WHERE event_id % 3 = 0 GROUP BY research_id) USING (research_id)""")
+            FROM captures GROUP BY research_id) USING (research_id)""")
 def _(t):
-    return C.commit_status(commits(t), captures(t).filter("event_id % 3 = 0"))
+    return C.commit_status(commits(t), captures(t))
 
 
 @query("form_list_view", "research_id:s captured:b regions_l:i regions_r:i state_l:s state_r:s",
@@ -212,9 +215,9 @@ def _(t):
 
 
 @query("delete_guard", "research_id:s blocked:b",
-       "SELECT research_id, research_id IN (SELECT research_id FROM captures WHERE event_id % 3 = 0) AS blocked FROM crf_forms")
+       "SELECT research_id, research_id IN (SELECT research_id FROM captures) AS blocked FROM crf_forms")
 def _(t):
-    free, blocked = C.delete_guard(forms(t), captures(t).filter("event_id % 3 = 0"))
+    free, blocked = C.delete_guard(forms(t), captures(t))
     return free.withColumn("blocked", F.lit(False)).unionByName(blocked.withColumn("blocked", F.lit(True)))
 
 

@@ -37,15 +37,15 @@ def _(t):
 
 
 @query("correlation_filter", "feature:i kept:b",
-       """WITH RECURSIVE d AS (SELECT id, feature, x FROM features UNION ALL SELECT id, CAST(39 + feature/10 AS INT), x*2 + id*1e-6 FROM features WHERE feature % 10 = 0),
+       """WITH RECURSIVE d AS (SELECT id, feature, x FROM features UNION ALL SELECT id, CAST(64 + feature//10 AS INT), x*2 + id*1e-6 FROM features WHERE feature % 10 = 0),
           strong AS MATERIALIZED (SELECT f1, list(f2) AS hits FROM (SELECT a.feature AS f1, b.feature AS f2, corr(a.x,b.x) AS r FROM d a JOIN d b ON a.id=b.id AND b.feature>a.feature
             GROUP BY 1, 2) WHERE abs(r) > 0.95 GROUP BY f1),
           g(i, dropped) AS (SELECT 0, CAST([] AS INT[]) UNION ALL SELECT i+1, CASE WHEN list_contains(dropped, i) OR hits IS NULL THEN dropped ELSE list_concat(dropped, hits) END
-            FROM g LEFT JOIN strong ON f1=i WHERE i < 43)
-          SELECT DISTINCT feature, NOT list_contains(dropped, feature) AS kept FROM d, g WHERE i = 43""")
+            FROM g LEFT JOIN strong ON f1=i WHERE i < 71)
+          SELECT DISTINCT feature, NOT list_contains(dropped, feature) AS kept FROM d, g WHERE i = 71""")
 def _(t):
     """Every tenth feature gets a near copy, so that there is something to drop."""
-    twin = t.features.filter("feature % 10 = 0").withColumn("feature", (39 + F.col("feature") / 10).cast("int")).withColumn("x", F.col("x") * 2 + F.col("id") * 1e-6)
+    twin = t.features.filter("feature % 10 = 0").withColumn("feature", (64 + F.col("feature") / 10).cast("int")).withColumn("x", F.col("x") * 2 + F.col("id") * 1e-6)
     doubled = t.features.unionByName(twin)
     kept = X.correlation_filter(X.correlation_matrix(X.widen(doubled)))
     return doubled.select("feature").distinct().withColumn("kept", F.col("feature").isin(kept))
@@ -75,7 +75,7 @@ def _(t):
     filled = L.cut_lineage(smote(train).select("id", "y", "x"))
     out = None
     for m in ("RF", "XGBoost", "ExtraTree"):
-        r = L.feature_ranking(filled, m, 30)
+        r = L.feature_ranking(filled, m)
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -105,11 +105,11 @@ for _name, _fit in (
 def _(t):
     train, _test = parts(t)
     filled = L.cut_lineage(smote(train).select("id", "y", "x"))
-    ranked = [r.feature for r in L.feature_ranking(filled, "RF", 30).orderBy("rank").collect()]
+    ranked = [r.feature for r in L.feature_ranking(filled, "RF").orderBy("rank").collect()]
     return L.search_grid(train, {"RF": ranked}, ["LogisticRegression", "LDA"], [5])
 
 
 @query("final_fit_score", "classifier:s sens:f spec:f ppv:f npv:f f1:f auc:f")
 def _(t):
     train, test = parts(t)
-    return L.final_fit_score(train, test, list(range(39)), "LogisticRegression")
+    return L.final_fit_score(train, test, list(range(64)), "LogisticRegression")

@@ -139,7 +139,7 @@ EXTRA_CHECK_VIEWS.update({
     "ts_reach": _leveled(_reach_sql("ts_fill", "ts_reach", _N4)),
     "ts_comp": "SELECT img, row_no, col_no, min(seed) AS comp FROM ts_reach GROUP BY ALL",
     "ts_size": "SELECT img, comp, count(*) AS size FROM ts_comp GROUP BY ALL",
-    "ts_main": """SELECT img, row_no, col_no FROM ts_comp JOIN (SELECT img, comp FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY size DESC, comp DESC) AS rn FROM ts_size)
+    "ts_main": """SELECT img, row_no, col_no FROM ts_comp JOIN (SELECT img, comp FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY size DESC, comp) AS rn FROM ts_size)
         WHERE rn=1) USING (img, comp)""",
     "ts_bands": _leveled(_otsu_free_bands("ts_main")),
 })

@@ -105,8 +105,8 @@ FROM {events}""",
         None,
     ),
     "boxes": (
-        "part",
-        """SELECT p_partkey AS box_id, p_partkey % 500 AS image_id, CASE WHEN p_partkey % 2 = 0 THEN 'L' ELSE 'R' END AS foot,
+        "part embeddings",
+        """SELECT p_partkey AS box_id, p_partkey % (SELECT count(*) FROM {embeddings}) AS image_id, CASE WHEN p_partkey % 2 = 0 THEN 'L' ELSE 'R' END AS foot,
        p_size*3 AS x, (p_partkey*7) % 300 AS y, 20 + p_partkey % 41 AS w, 15 + p_partkey % 37 AS h,
        p_partkey % 23 AS x_min, p_partkey % 29 AS y_min, p_partkey % 11 AS pad_left, p_partkey % 13 AS pad_top,
        320 + p_partkey % 5 * 32 AS square_size, 640 AS orig_w, 480 AS orig_h
@@ -116,9 +116,9 @@ FROM {part}""",
     "features": (
         "embeddings",
         """SELECT vec_id AS id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, vec_id % 5 AS fold, i AS feature, CAST(e AS DOUBLE) AS x
-FROM (SELECT vec_id, label, posexplode(embedding) AS (i, e) FROM {embeddings}) WHERE i < 39""",
+FROM (SELECT vec_id, label, posexplode(embedding) AS (i, e) FROM {embeddings})""",
         """SELECT vec_id AS id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, vec_id % 5 AS fold, CAST(i AS INT) AS feature,
-       CAST(embedding[i+1] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(0,39)) AS i)""",
+       CAST(embedding[i+1] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(0,64)) AS i)""",
     ),
 }
 
@@ -128,10 +128,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    source, text, _ = VIEWS[name]
-    return spark.sql(text, **{source: read_table(spark, sf_dir, source)})
+    sources, text, _ = VIEWS[name]
+    return spark.sql(text, **{source: read_table(spark, sf_dir, source) for source in sources.split()})
 
 
 def check_text(name: str) -> str:
-    source, text, other = VIEWS[name]
-    return other if other is not None else text.replace("{" + source + "}", source)
+    sources, text, other = VIEWS[name]
+    if other is not None:
+        return other
+    for source in sources.split():
+        text = text.replace("{" + source + "}", source)
+    return text
