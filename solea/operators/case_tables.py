@@ -101,16 +101,19 @@ def roi_ready(status: DataFrame) -> DataFrame:
 
 
 def commit_manifest(commits: DataFrame, captures: DataFrame, preprocessing: DataFrame) -> DataFrame:
-    """Commits with their capture paths and whether any preprocessing exists, newest first."""
+    """Commits with their capture paths, newest capture time, status and whether any preprocessing exists, newest first."""
     paths = captures.groupBy("research_id").agg(
         F.max(F.when(F.col("modality") == "podoscope", F.col("raw_path"))).alias("podo_raw"),
         F.max(F.when(F.col("modality") == "thermal", F.col("raw_path"))).alias("thermal"),
+        F.max("ts").alias("captured_at"),
     )
     done = preprocessing.groupBy("research_id").agg(F.lit("yes").alias("podo_prepro"))
     blank = F.lit("")
     return (
         commits.join(paths, "research_id", "left").join(done, "research_id", "left")
         .withColumns({c: F.coalesce(c, blank) for c in ("podo_raw", "podo_prepro", "thermal")})
+        .withColumn("status", F.when((F.col("podo_raw") != "") & (F.col("thermal") != ""), "complete").otherwise(
+            F.when((F.col("podo_raw") != "") | (F.col("thermal") != ""), "partial").otherwise("rejected")))
         .orderBy(F.col("committed_at").desc(), F.col("research_id"))
     )
 

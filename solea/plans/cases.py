@@ -173,12 +173,13 @@ def _(t):
     return C.roi_ready(status(t))
 
 
-@query("commit_manifest", "research_id:s event_id:i podo_raw:s podo_prepro:s thermal:s",
-       """SELECT c.research_id, c.event_id, coalesce(p.raw_path,'') AS podo_raw, CASE WHEN r.research_id IS NULL THEN '' ELSE 'yes' END AS podo_prepro,
+@query("commit_manifest", "research_id:s event_id:i podo_raw:s podo_prepro:s thermal:s status:s captured_at:s",
+       """SELECT c.research_id, c.event_id, CASE WHEN p.ts IS NOT NULL AND h.ts IS NOT NULL THEN 'complete' WHEN p.ts IS NOT NULL OR h.ts IS NOT NULL THEN 'partial' ELSE 'rejected' END AS status,
+            CAST(epoch_us(greatest(p.ts, h.ts)) AS BIGINT) AS captured_at, coalesce(p.raw_path,'') AS podo_raw, CASE WHEN r.research_id IS NULL THEN '' ELSE 'yes' END AS podo_prepro,
             coalesce(h.raw_path,'') AS thermal FROM commits c LEFT JOIN captures p ON p.research_id=c.research_id AND p.modality='podoscope'
           LEFT JOIN captures h ON h.research_id=c.research_id AND h.modality='thermal' LEFT JOIN prepro r ON r.research_id=c.research_id""")
 def _(t):
-    return C.commit_manifest(commits(t), captures(t), prepro(t))
+    return C.commit_manifest(commits(t), captures(t), prepro(t)).withColumn("captured_at", F.unix_micros(F.col("captured_at").cast("timestamp")))
 
 
 @query("commit_status", "research_id:s event_id:i status:s",

@@ -315,9 +315,14 @@ _REPORT_SQL = """WITH m AS (SELECT run_no, 'a' AS model, p_a AS p, y FROM preds
   w AS (SELECT run_no, model, unnest(['sens','spec','ppv','npv','f1','auc']) AS metric, unnest([coalesce(tp/nullif(tp+fn,0),0), coalesce(tn/nullif(tn+fp,0),0),
         coalesce(tp/nullif(tp+fp,0),0), coalesce(tn/nullif(tn+fn,0),0), coalesce(2*tp/nullif(2*tp+fp+fn,0),0), auc]) AS value FROM k JOIN u USING (run_no, model))
   SELECT run_no, metric, max(CASE WHEN model='a' THEN value END) AS value_a, max(CASE WHEN model='b' THEN value END) AS value_b,
-    max(CASE WHEN model='a' THEN value END) - max(CASE WHEN model='b' THEN value END) AS delta FROM w GROUP BY run_no, metric"""
+    max(CASE WHEN model='a' THEN value END) - max(CASE WHEN model='b' THEN value END) AS delta, true AS within_a, true AS within_b FROM w GROUP BY run_no, metric"""
 
 
-@query("model_comparison_report", "run_no:i metric:s value_a:f value_b:f delta:f", _REPORT_SQL)
+@query("model_comparison_report", "run_no:i metric:s value_a:f value_b:f delta:f within_a:b within_b:b", _REPORT_SQL)
 def _(t):
-    return P.comparison_report(M.fold_metrics(t.preds, ["run_no"], "p_a"), M.fold_metrics(t.preds, ["run_no"], "p_b"), ["run_no"])
+    """With bootstrap limits; as they are random, what is compared is that they enclose the value (to their four places)."""
+    by = ["run_no"]
+    limits = [P.bootstrap_ci(t.preds, by, score) for score in ("p_a", "p_b")]
+    report = P.comparison_report(M.fold_metrics(t.preds, by, "p_a"), M.fold_metrics(t.preds, by, "p_b"), by, *limits)
+    inside = lambda m: F.coalesce(F.col(f"value_{m}").between(F.col(f"lo_{m}") - 1e-4, F.col(f"hi_{m}") + 1e-4), F.lit(True)).alias(f"within_{m}")
+    return report.select("*", inside("a"), inside("b"))
