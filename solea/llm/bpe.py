@@ -32,7 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD_LIMIT = 300_000
+WORD_LIMIT = 150_000
+SLICE_ROWS = 256
 BLOCK_CHARS = 1_000_000
 NEVER = 1 << 40
 # Characters of the Unicode property White_Space
@@ -386,7 +387,8 @@ def add_token_ids(documents: DataFrame, vocabulary: Vocabulary, text: str = "tex
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(vocabulary)
         for texts in batches:
-            yield pd.Series([i.astype(np.int32) for i in encoder.encode(texts.tolist())], dtype=object)
+            for first in range(0, len(texts), SLICE_ROWS):
+                yield pd.Series([i.astype(np.int32) for i in encoder.encode(texts.iloc[first : first + SLICE_ROWS].tolist())], dtype=object)
 
     return documents.withColumn(ids, encode(text))
 
@@ -403,6 +405,21 @@ def add_decoded_text(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "tok
     return encoded.withColumn(text, decode(ids))
 
 
+def add_ids_and_decoded(documents: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "token_ids", decoded: str = "decoded_text") -> DataFrame:
+    """All columns, the token ids, and the text decoded from these ids, in one Python step."""
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        for texts in batches:
+            for first in range(0, len(texts), SLICE_ROWS):
+                found = encoder.encode(texts.iloc[first : first + SLICE_ROWS].tolist())
+                yield pd.DataFrame({"ids": [i.astype(np.int32) for i in found], "decoded": [decoder.decode(i).decode() for i in found]})
+
+    hidden = "__bpe"
+    return documents.withColumn(hidden, both(text)).withColumn(ids, F.col(f"{hidden}.ids")).withColumn(decoded, F.col(f"{hidden}.decoded")).drop(hidden)
+
+
 def token_digests(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids (little-endian unsigned 32-bit) and of the text decoded from these ids."""
 
@@ -411,8 +428,8 @@ def token_digests(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
         for texts in batches:
             rows = []
-            for first in range(0, len(texts), 256):
-                for ids in encoder.encode(texts.iloc[first : first + 256].tolist()):
+            for first in range(0, len(texts), SLICE_ROWS):
+                for ids in encoder.encode(texts.iloc[first : first + SLICE_ROWS].tolist()):
                     rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoder.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
