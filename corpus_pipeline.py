@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solea.llm.bpe import Vocabulary, add_decoded_text, add_token_ids
+from solea.llm.bpe import Vocabulary, add_ids_and_decoded
 from solea.llm.jaccard import similar_classes
 from solea.llm.mixing import mixed
 from solea.llm.pii import redact
@@ -47,7 +47,7 @@ def sources_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, token ids, their number, and the text that they decode to."""
     vocabulary = Vocabulary.read(public_tokenizers.path("word_bpe_49k.json"))
-    encoded = add_decoded_text(add_token_ids(docs.select("doc_id", "source", "text"), vocabulary), vocabulary)
+    encoded = add_ids_and_decoded(docs.select("doc_id", "source", "text"), vocabulary)
     return encoded.select("doc_id", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "decoded_text")
 
 
