@@ -131,9 +131,27 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
 
 
-def _small_side(df: DataFrame) -> DataFrame:
-    """Broadcast only what has been counted as few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small_side(df: DataFrame, items: Column | None = None) -> DataFrame:
+    """Broadcast only what has been counted as few rows, or as few ``items`` where a row holds an array of them."""
+    counted = df.agg(F.coalesce(F.sum(items), F.lit(0))).first()[0] if items is not None else df.count()
+    return F.broadcast(df) if counted <= BROADCAST_ROWS else df
+
+
+def _merged(spans: str) -> Column:
+    """Maximal runs of a text's covered bytes."""
+
+    @F.pandas_udf("array<struct<first:int,end:int>>")
+    def merged(spans: pd.Series) -> pd.Series:
+        out = []
+        for own in spans:
+            first, end = np.array([(x["first"], x["end"]) for x in own]).T
+            order = np.argsort(first, kind="stable")
+            first, end = first[order], np.maximum.accumulate(end[order])
+            new = np.flatnonzero(np.append(True, first[1:] > end[:-1]))
+            out.append([{"first": int(a), "end": int(b)} for a, b in zip(first[new], end[np.append(new[1:], len(end)) - 1])])
+        return pd.Series(out, dtype=object)
+
+    return merged(spans)
 
 
 def _text_key(text: Column) -> Column:
@@ -231,6 +249,7 @@ def remove_repeats(documents: DataFrame, length: int = 200, gram: int = GRAM) ->
 
     hit = occurrences.select("d", "key", "starts").join(runs, "key").select("d", F.explode("starts").alias("low"), "run")
     spans = hit.groupBy("d").agg(F.collect_set(F.struct((F.col("low") + F.col("run.first")).alias("first"), (F.col("low") + F.col("run.last") + length).alias("end"))).alias("spans"))
+    spans = spans.select("d", _merged("spans").alias("spans"))
     spans, spans_path = store(spans, "spans")
     release(spark, occurrences_path, distinct_path, groups_path, runs_path)
 
@@ -251,7 +270,7 @@ def remove_repeats(documents: DataFrame, length: int = 200, gram: int = GRAM) ->
             rows.append((np.frombuffer(raw, np.uint8)[~covered].tobytes(), len(raw), int(covered.sum()), starts))
         return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
 
-    done = with_copies.join(_small_side(spans), "d", "left").select("doc_id", keep("text", "copies", "spans").alias("k"))
+    done = with_copies.join(_small_side(spans, F.size("spans")), "d", "left").select("doc_id", keep("text", "copies", "spans").alias("k"))
     return done.select("doc_id", "k.*")
 
 
