@@ -6,10 +6,13 @@ hash falls in a fixed share of the range come first, rarest first by their exact
 prefixes form the index. The other two are independent hash orders; a candidate must also share a prefix token under both, and
 only then are whole sets fetched and compared exactly.
 
+Every set also carries a parity sketch: 512 bits, each the parity of the number of its tokens that fall there. Two sketches differ in at most
+as many bits as their sets differ in tokens, so a pair whose sketches are too far apart is dropped inside the join, and no true pair is.
+
 Equal sets form one class and only class representatives go on. Links are looked for component by component: in each index list
-every member is compared with one hub, verified links merge components, and only pairs across components remain for the last,
-exhaustive step: within a list, members outside its largest component against all others. So a list of thousands of near copies costs as many
-comparisons as it has members, and no pair that could join two components is left out.
+every member is compared with one hub, verified links join members to groups that are surely connected, and only pairs across such groups remain
+for the last, exhaustive step: within a list, members outside its largest group against all others. So a list of thousands of near copies costs about as
+many comparisons as it has members, and no pair that could join two components is left out.
 
 Defined cases: null or wordless texts have no shingles and link with nothing; fewer words than a shingle form one token; repeated rows share a class;
 an empty table gives an empty result. Only the id and the text are read.
@@ -25,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from solea.llm.batches import slices
 from solea.llm.components import connected_components
 from solea.session import release, store
 
-SHARE = 0.16  # share of the hash range whose tokens lead the first order
 BROADCAST_ROWS = 1_000_000  # keys of a side that may be broadcast after counting; beyond it the join is shuffled
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+SKETCH = [f"s{i}" for i in range(8)]
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,6 +57,11 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(_scatter(mixed))
 
 
+def leading_share(percent: int) -> float:
+    """Share of the hash range whose tokens lead the first order: a little more than a prefix's share of its set."""
+    return 1.25 * (100 - percent) / 100 + 0.02
+
+
 def prefix_size(n: int, percent: int) -> int:
     """How many leading tokens of a set of n must meet those of any set of at least that similarity."""
     return n + percent * n // -100 + 1 if n else 0
@@ -66,67 +75,94 @@ def hash_order_prefix(tokens: np.ndarray, order: int, percent: int) -> np.ndarra
     return (first >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """512 parities as eight 64-bit integers."""
+    odd = np.bincount((tokens & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _sketches_fit(other: str, n: str, m: str, percent: int):
+    """Whether two sketches (the other one's columns have a prefix) allow the similarity."""
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(other + c))) for c in SKETCH[1:]), F.bit_count(F.col(SKETCH[0]).bitwiseXOR(F.col(other + SKETCH[0]))))
+    return differ * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent)
+
+
 def _digests(documents: DataFrame, width: int) -> DataFrame:
     @F.pandas_udf("n long, set_key binary")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in slices(batches):
             rows = [(len(s), xxhash.xxh3_128_digest(s.tobytes())) for s in (shingle_set(t, width) for t in texts)]
             yield pd.DataFrame(rows, columns=["n", "set_key"])
 
     return documents.select("doc_id", digest("text").alias("d")).select("doc_id", "d.n", "d.set_key")
 
 
+def _class_nodes(every: DataFrame) -> DataFrame:
+    """(set_key, doc_id, node): one row for each set, with its smallest document and a 64-bit name that no other set has."""
+    classes = every.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+    for salt in range(100):
+        named = classes.withColumn("node", F.xxhash64("set_key", F.lit(salt)))
+        if named.groupBy("node").count().where("count > 1").isEmpty():
+            return named
+    raise ValueError("no names without collisions")
+
+
 def _keyed_texts(documents: DataFrame, keys: DataFrame) -> DataFrame:
-    """(node, text) for wanted (doc_id, node) rows; the keys are broadcast only when counted as few."""
+    """(node, set_key, text) for wanted (doc_id, node, set_key) rows; the keys are broadcast only when counted as few.
+
+    Documents that share an id are told apart later by the key of their set.
+    """
     small = keys.count() <= BROADCAST_ROWS
-    return documents.select("doc_id", "text").join(F.broadcast(keys) if small else keys, "doc_id").select("node", "text")
+    return documents.select("doc_id", "text").join(F.broadcast(keys) if small else keys, "doc_id").select("node", "set_key", "text")
 
 
 def _index_tokens(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, n, lead, extra): tokens of the leading share, and the further ones that a short set needs to fill its prefix."""
+    """(node, n, lead, extra, sketch): tokens of the leading share, and the further ones that a short set needs to fill its prefix."""
 
-    @F.pandas_udf("n long, lead array<long>, extra array<long>")
+    @F.pandas_udf("n long, lead array<long>, extra array<long>, " + ", ".join(f"{c} long" for c in SKETCH) + ", own_key binary")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        limit = np.uint64(int(SHARE * 2**64))
-        for batch in batches:
+        limit = np.uint64(int(leading_share(percent) * 2**64))
+        for batch in slices(batches):
             rows = []
             for text in batch:
                 s = shingle_set(text, width)
                 cut = int(np.searchsorted(s, limit))
-                rows.append((len(s), s[:cut].view(np.int64), s[cut : max(cut, prefix_size(len(s), percent))].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["n", "lead", "extra"])
+                rows.append((len(s), s[:cut].view(np.int64), s[cut : max(cut, prefix_size(len(s), percent))].view(np.int64), *parity_sketch(s), xxhash.xxh3_128_digest(s.tobytes())))
+            yield pd.DataFrame(rows, columns=["n", "lead", "extra", *SKETCH, "own_key"])
 
-    return texts.select("node", tokens("text").alias("t")).select("node", "t.*")
+    found = texts.select("node", "set_key", tokens("text").alias("t")).select("node", "set_key", "t.*")
+    return found.where("set_key = own_key").drop("set_key", "own_key")
 
 
 def _prefix_lists(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n, place): the prefixes under the first order, without tokens that only one set has."""
-    lead = sets.select("node", "n", F.size("lead").alias("leading"), F.explode("lead").alias("token"), F.lit(None).cast("long").alias("fixed"))
-    extra = sets.where(F.size("extra") > 0).select("node", "n", F.size("lead").alias("leading"), F.posexplode("extra").alias("i", "token"))
-    extra = extra.select("node", "n", "leading", "token", (F.col("leading") + F.col("i")).cast("long").alias("fixed"))
-    rows = lead.union(extra)
+    """(token, node, place): the prefixes under the first order, without tokens that only one set has."""
+    lead = sets.select("node", F.explode("lead").alias("token"), F.lit(None).cast("int").alias("fixed"))
+    extra = sets.where(F.size("extra") > 0).select("node", F.size("lead").alias("leading"), F.posexplode("extra").alias("i", "token"))
+    rows = lead.union(extra.select("node", "token", (F.col("leading") + F.col("i")).alias("fixed")))
     shared = rows.groupBy("token").agg(F.count("*").alias("documents")).where("documents > 1")
-    found = rows.join(shared, "token")
+    found = rows.join(shared, "token").join(sets.select("node", "n", F.size("lead").alias("leading")), "node")
     own = Window.partitionBy("node")
     ranked = found.withColumn("rank", F.row_number().over(own.orderBy(F.col("fixed").asc_nulls_first(), "documents", "token"))).withColumn(
         "met", F.count(F.when(F.col("fixed").isNull(), 1)).over(own))
     place = F.coalesce("fixed", F.col("leading") - F.col("met") + F.col("rank") - 1)
     size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return ranked.withColumn("place", place).where(F.col("place") < size).select("token", "node", "n", "place")
+    return ranked.withColumn("place", place).where(F.col("place") < size).select("token", "node", "place")
 
 
 def _whole_sets(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    @F.pandas_udf("tokens binary, second array<int>, third array<int>")
+    @F.pandas_udf("tokens array<long>, second array<int>, third array<int>, own_key binary")
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, width) for t in batch]
             yield pd.DataFrame({
-                "tokens": [s.tobytes() for s in sets],
+                "tokens": [s.view(np.int64) for s in sets],
                 "second": [hash_order_prefix(s, 2, percent) for s in sets],
                 "third": [hash_order_prefix(s, 3, percent) for s in sets],
+                "own_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
             })
 
-    return texts.select("node", whole("text").alias("w")).select("node", "w.*")
+    found = texts.select("node", "set_key", whole("text").alias("w")).select("node", "set_key", "w.*")
+    return found.where("set_key = own_key").drop("set_key", "own_key")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -140,17 +176,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for order in orders:
         passed = passed.where(F.arrays_overlap(f"{order}_a", f"{order}_b"))
 
-    @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * common >= percent * (len(a) + len(b) - common))
-        return pd.Series(out, dtype=bool)
-
     whole = passed.select("a", "b").join(side("a", ["tokens"]), "a").join(side("b", ["tokens"]), "b")
-    return whole.where(similar("tokens_a", "tokens_b")).select("a", "b")
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return whole.where(100 * common >= percent * (F.size("tokens_a") + F.size("tokens_b") - common)).select("a", "b")
+
+
+def _hub_labels(links: DataFrame) -> DataFrame:
+    """(node, label): of a node and its neighbours the one with most links. Nodes of equal label are connected; more is not needed midway."""
+    both = links.union(links.select("b", "a")).toDF("node", "other")
+    degree = both.groupBy("node").agg(F.count("*").alias("degree"))
+    near = both.join(degree.withColumnRenamed("node", "other"), "other").select("node", F.struct("degree", "other").alias("d"))
+    own = degree.select("node", F.struct("degree", F.col("node").alias("other")).alias("d"))
+    return near.union(own).groupBy("node").agg(F.max("d").alias("d")).select("node", F.col("d.other").alias("label"))
 
 
 def _sizes_fit(n: str, m: str, percent: int):
@@ -168,53 +205,57 @@ def similar_classes(documents: DataFrame, width: int = 5, percent: int = 80) ->
     """
     spark = documents.sparkSession
     every, every_path = store(_digests(documents, width), "shingle-digests")
-    classes = every.where("n > 0").groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("doc_id"))
+    classes, classes_path = store(_class_nodes(every), "classes")
     tokens, tokens_path = store(_index_tokens(_keyed_texts(documents, classes), width, percent), "shingles")
-    lists, lists_path = store(_prefix_lists(tokens, percent), "prefixes")
-    release(spark, tokens_path)
-    shared = lists.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-    lists, old = store(lists.join(shared, "token").distinct(), "prefixes"), lists_path
-    lists, lists_path = lists
-    release(spark, old)
-    wanted = lists.select("node").distinct().join(classes, "node")
-    sets, sets_path = store(_whole_sets(_keyed_texts(documents, wanted), width, percent).dropDuplicates(["node"]), "sets")
-
-    links = spark.createDataFrame([], "a binary, b binary")
+    prefixes, prefixes_path = store(_prefix_lists(tokens, percent), "prefixes")
+    shared = prefixes.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
+    lists, lists_path = store(prefixes.join(shared, "token").join(tokens.select("node", "n", *SKETCH), "node").distinct(), "lists")
+    release(spark, prefixes_path, tokens_path)
+
+    links = spark.createDataFrame([], "a long, b long")
     tried = links
-    labels = spark.createDataFrame([], "node binary, label binary")
-    paths: list[str] = [lists_path, sets_path]
+    labels = spark.createDataFrame([], "node long, label long")
+    paths: list[str] = [lists_path]
     for step in range(HUB_ROUNDS + 1):
         labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         if step < HUB_ROUNDS:
-            mixed_up = F.xxhash64("node", F.lit(step))
-            hubs = labelled.groupBy("token").agg(F.min(F.struct(mixed_up.alias("h"), "node", "n", "label")).alias("hub")).select(
-                "token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.label").alias("hub_label"))
-            pairs = labelled.join(hubs, "token").where("label != hub_label").where(_sizes_fit("n", "hub_n", percent))
+            # first the member with the fewest tokens of its own, which is most like the others; then any
+            first = F.when(F.lit(step == 0), F.col("place")).otherwise(F.lit(0))
+            chosen = F.min(F.struct(first.alias("first"), F.xxhash64("node", F.lit(step)).alias("h"), "node", "n", "label", *SKETCH)).alias("hub")
+            hubs = labelled.groupBy("token").agg(chosen).select(
+                "token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.label").alias("hub_label"), *[F.col(f"hub.{c}").alias(f"o_{c}") for c in SKETCH])
+            pairs = labelled.join(hubs, "token").where("label != hub_label").where(_sizes_fit("n", "hub_n", percent)).where(_sketches_fit("o_", "n", "hub_n", percent))
             pairs = _ordered(pairs, "node", "hub")
         else:
             # exhaustive: members outside the largest component of their list against all members of other components
             sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("members"))
             largest = sizes.groupBy("token").agg(F.max(F.struct("members", "label")).alias("m")).select("token", F.col("m.label").alias("main"))
             outside = labelled.join(largest, "token").where("label != main").select(
-                "token", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("place").alias("x_place"))
-            left = 1 + F.least(F.col("n") - F.col("place"), F.col("x_n") - F.col("x_place")) - 1
+                "token", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("place").alias("x_place"), *[F.col(c).alias(f"o_{c}") for c in SKETCH])
+            left = F.least(F.col("n") - F.col("place"), F.col("x_n") - F.col("x_place"))
             needed = F.ceil(percent * (F.col("n") + F.col("x_n")) / (100 + percent))
-            pairs = labelled.join(outside, "token").where("label != x_label").where(_sizes_fit("n", "x_n", percent)).where(left >= needed)
+            pairs = labelled.join(outside, "token").where("label != x_label").where(_sizes_fit("n", "x_n", percent)).where(left >= needed).where(_sketches_fit("o_", "n", "x_n", percent))
             pairs = _ordered(pairs, "node", "x")
         pairs, pairs_path = store(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             paths.append(pairs_path)
             continue
-        found, found_path = store(_verified(pairs, sets, percent), "found")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
+        sets, sets_path = store(_whole_sets(_keyed_texts(documents, wanted), width, percent), "sets")
+        found, found_path = store(_verified(pairs, sets, percent).distinct(), "found")
+        release(spark, sets_path)
         paths += [pairs_path, found_path]
         if found.isEmpty():
             tried = tried.union(pairs)
             continue
         links, tried = links.union(found), tried.union(pairs)
-        labels, labels_path = store(connected_components(links), "labels")
-        paths.append(labels_path)
-    named = every.withColumn("label", F.col("set_key")).join(labels.select(F.col("node").alias("set_key"), F.col("label").alias("joined")), "set_key", "left")
-    named = named.withColumn("label", F.coalesce("joined", "label")).select("doc_id", "n", "label")
+        if step < HUB_ROUNDS:
+            labels, labels_path = store(_hub_labels(links), "labels")
+            paths.append(labels_path)
+    labels = connected_components(links)
+    release(spark, *paths)
+    joined = classes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("label"))
+    named = every.join(joined, "set_key", "left").select("doc_id", "n", "label")
     smallest = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("smallest"))
     out = named.join(smallest, "label", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
