@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from solea.llm.batches import slices
 from solea.session import release, store
 
 GRAM = 64
@@ -164,7 +165,7 @@ def _electors(texts: DataFrame, length: int, gram: int) -> DataFrame:
     @F.pandas_udf("array<struct<gram:long,place:int,low:int,high:int>>")
     def elect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         elector = Elector(length, gram)
-        for batch in batches:
+        for batch in slices(batches):
             yield pd.Series([[(int(a), int(b), int(c), int(e)) for a, b, c, e in elector.elect(t.encode("utf-8", "surrogatepass"))] for t in batch], dtype=object)
 
     return texts.where(F.octet_length("text") >= length).select("d", F.explode(elect("text")).alias("x")).select("d", "x.*")
@@ -174,17 +175,18 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
     """(d, starts, gram, anchor, key, segment): the distinct segments of every text around its shared k-grams."""
 
     @F.pandas_udf("array<struct<key:binary,gram:long,anchor:int,starts:array<int>,segment:binary>>")
-    def cut(text: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for t, places in zip(text, found):
-            raw, own = t.encode("utf-8", "surrogatepass"), {}
-            for x in places:
-                low, high, place = x["low"], x["high"], x["place"]
-                piece = raw[low : high + length]
-                key = xxhash.xxh3_128_digest(piece, seed=place - low)
-                own.setdefault(key, (int(x["gram"]), place - low, [], piece))[2].append(low)
-            out.append([{"key": k, "gram": g, "anchor": a, "starts": s, "segment": p} for k, (g, a, s, p) in own.items()])
-        return pd.Series(out, dtype=object)
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, found in slices(batches):
+            out = []
+            for t, places in zip(text, found):
+                raw, own = t.encode("utf-8", "surrogatepass"), {}
+                for x in places:
+                    low, high, place = x["low"], x["high"], x["place"]
+                    piece = raw[low : high + length]
+                    key = xxhash.xxh3_128_digest(piece, seed=place - low)
+                    own.setdefault(key, (int(x["gram"]), place - low, [], piece))[2].append(low)
+                out.append([{"key": k, "gram": g, "anchor": a, "starts": s, "segment": p} for k, (g, a, s, p) in own.items()])
+            yield pd.Series(out, dtype=object)
 
     return texts.select("d", F.explode(cut("text", "found")).alias("x")).select("d", "x.*")
 
@@ -254,21 +256,22 @@ def remove_repeats(documents: DataFrame, length: int = 200, gram: int = GRAM) ->
     release(spark, occurrences_path, distinct_path, groups_path, runs_path)
 
     @F.pandas_udf("kept binary, n_bytes long, n_removed long, n_spans long")
-    def keep(text: pd.Series, copies: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, many, own in zip(text, copies, spans):
-            raw = t.encode("utf-8", "surrogatepass")
-            edge = np.zeros(len(raw) + 1, np.int64)
-            if many == many and many is not None and len(raw) >= length:
-                edge[0], edge[-1] = 1, -1
-            elif own is not None:
-                for x in own:
-                    edge[x["first"]] += 1
-                    edge[x["end"]] -= 1
-            covered = np.cumsum(edge)[:-1] > 0
-            starts = int(np.count_nonzero(np.diff(covered.astype(np.int8), prepend=0) == 1)) if len(raw) else 0
-            rows.append((np.frombuffer(raw, np.uint8)[~covered].tobytes(), len(raw), int(covered.sum()), starts))
-        return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
+    def keep(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, copies, spans in slices(batches):
+            rows = []
+            for t, many, own in zip(text, copies, spans):
+                raw = t.encode("utf-8", "surrogatepass")
+                edge = np.zeros(len(raw) + 1, np.int64)
+                if many == many and many is not None and len(raw) >= length:
+                    edge[0], edge[-1] = 1, -1
+                elif own is not None:
+                    for x in own:
+                        edge[x["first"]] += 1
+                        edge[x["end"]] -= 1
+                covered = np.cumsum(edge)[:-1] > 0
+                starts = int(np.count_nonzero(np.diff(covered.astype(np.int8), prepend=0) == 1)) if len(raw) else 0
+                rows.append((np.frombuffer(raw, np.uint8)[~covered].tobytes(), len(raw), int(covered.sum()), starts))
+            yield pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
 
     done = with_copies.join(_small_side(spans, F.size("spans")), "d", "left").select("doc_id", keep("text", "copies", "spans").alias("k"))
     return done.select("doc_id", "k.*")
