@@ -130,7 +130,8 @@ def _index_tokens(texts: DataFrame, width: int, percent: int) -> DataFrame:
                 rows.append((len(s), s[:cut].view(np.int64), s[cut : max(cut, prefix_size(len(s), percent))].view(np.int64), *parity_sketch(s), xxhash.xxh3_128_digest(s.tobytes())))
             yield pd.DataFrame(rows, columns=["n", "lead", "extra", *SKETCH, "own_key"])
 
-    found = texts.select("node", "set_key", tokens("text").alias("t")).select("node", "set_key", "t.*")
+    # as a non-deterministic step it runs once, not again for the filter on its result
+    found = texts.select("node", "set_key", tokens.asNondeterministic()("text").alias("t")).select("node", "set_key", "t.*")
     return found.where("set_key = own_key").drop("set_key", "own_key")
 
 
@@ -161,7 +162,7 @@ def _whole_sets(texts: DataFrame, width: int, percent: int) -> DataFrame:
                 "own_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
             })
 
-    found = texts.select("node", "set_key", whole("text").alias("w")).select("node", "set_key", "w.*")
+    found = texts.select("node", "set_key", whole.asNondeterministic()("text").alias("w")).select("node", "set_key", "w.*")
     return found.where("set_key = own_key").drop("set_key", "own_key")
 
 
