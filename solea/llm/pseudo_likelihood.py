@@ -5,8 +5,8 @@ steps (a class of words, then the word in its class). A text's score is the sum
 each one hidden in turn. Words are the most frequent ones of the whole corpus and, for all others, hash buckets.
 
 All documents count. Word counts are exact over the corpus; in each training round every partition trains on windows of all its documents
-(every ``stride``-th word, another offset in each round) from the common weights, and the weights are averaged by the number of windows, chunk by
-chunk in two levels so that no task gathers all copies. What is gathered grows with the corpus; the model has a fixed size.
+(every ``rounds``-th word, another offset in each round, so that all rounds together have every word once as target) from the common weights, and the
+weights are averaged by the number of windows, chunk by chunk in two levels so that no task gathers all copies. What is gathered grows with the corpus; the model has a fixed size.
 
 Defined cases: null, empty and wordless texts have no tokens, score 0 and no mean; words outside the text are a padding token; repeated rows
 score alike; with an empty corpus nothing is returned. Only the id and the text are read.
@@ -155,7 +155,12 @@ class WindowNetwork:
         self.flat -= step * slope.flat / np.sqrt(self.slope2)
 
 
-def _averaged(ids: DataFrame, weights: np.ndarray, offset: int, stride: int, batch: int, step: float) -> np.ndarray:
+def picked(n: int, offset: int, rounds: int) -> np.ndarray:
+    """Targets of one round in a text of n words; the offsets 0 to rounds - 1 together pick every word once, however short the text."""
+    return np.arange((offset + n) % rounds, n, rounds)
+
+
+def _averaged(ids: DataFrame, weights: np.ndarray, offset: int, rounds: int, batch: int, step: float) -> np.ndarray:
     """One round: every partition trains from the common weights; the results are averaged by windows."""
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,7 +175,7 @@ def _averaged(ids: DataFrame, weights: np.ndarray, offset: int, stride: int, bat
         for frame in batches:
             for raw in frame["ids"]:
                 own = np.frombuffer(raw, "<i2").astype(np.int64)
-                pick = np.arange((offset + len(own)) % stride, len(own), stride) if len(own) else own
+                pick = picked(len(own), offset, rounds)
                 if len(pick):
                     contexts.append(WindowNetwork.windows(own)[pick])
                     targets.append(own[pick])
@@ -197,12 +202,12 @@ def _averaged(ids: DataFrame, weights: np.ndarray, offset: int, stride: int, bat
     return np.concatenate([np.frombuffer(r["weights"], "<f4") for r in found]) if found else weights
 
 
-def pseudo_likelihood(documents: DataFrame, rounds: int = 2, stride: int = 8, batch: int = 2048, step: float = 0.1) -> DataFrame:
+def pseudo_likelihood(documents: DataFrame, rounds: int = 2, batch: int = 2048, step: float = 0.1) -> DataFrame:
     """doc_id, n_tokens, score (sum of log-probabilities) and mean_score of every document."""
     ids, _ = store(_with_ids(documents, _frequent_words(documents)), "word-ids")
     weights = WindowNetwork().flat
     for n in range(rounds):
-        weights = _averaged(ids, weights, n * stride // rounds, stride, batch, step)
+        weights = _averaged(ids, weights, n, rounds, batch, step)
 
     @F.pandas_udf("n_tokens long, score double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -286,6 +286,15 @@ def test_training_helps(spark):
     assert after > 0.95 * before
 
 
+def test_every_word_is_a_target_once(spark):
+    for rounds in (1, 2, 3, 8):
+        for n in range(20):
+            assert sorted(i for k in range(rounds) for i in pseudo_likelihood.picked(n, k, rounds)) == list(range(n))
+    short = spark.createDataFrame([(k, ("alpha", "alpha beta", "alpha beta gamma")[k % 3]) for k in range(300)], "doc_id long, text string")
+    before, after = (pseudo_likelihood.pseudo_likelihood(short, **how).agg({"score": "sum"}).first()[0] for how in ({"rounds": 0}, {}))
+    assert after > 0.9 * before
+
+
 def test_scores_of_odd_rows(odd, nothing):
     found = [r for r in pseudo_likelihood.pseudo_likelihood(odd).collect()]
     empty = [r for r in found if r["doc_id"] in (1, 2)]
