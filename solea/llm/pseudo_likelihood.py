@@ -1,14 +1,16 @@
 """Masked pseudo-likelihood of texts under a bidirectional window network.
 
-The network predicts every word from its two neighbours on each side: an embedding for each of the four places, one hidden layer, and an output in two
-steps (a class of words, then the word in its class). A text's score is the sum of the log-probabilities of all its words,
-each one hidden in turn. Words are the most frequent ones of the whole corpus and, for all others, hash buckets.
+The network predicts every unit of a text from two units on each side: an embedding for each of the four places, one hidden layer, and an output in two
+steps (a class of units, then the unit in its class). The most frequent words of the whole corpus are one unit each; every other word is spelled out in
+its UTF-8 bytes and an end mark, so that no two words look alike. A text's score is the sum of the log-probabilities of all its words, each one hidden in
+turn as a whole: a byte sees what comes before it and, to its right, only what follows its word, so the product over a word's units is the
+probability of that word among all possible ones.
 
 All documents count. Word counts are exact over the corpus; in each training round every partition trains on windows of all its documents
-(every ``rounds``-th word, another offset in each round, so that all rounds together have every word once as target) from the common weights, and the
+(every ``rounds``-th unit, another offset in each round, so that all rounds together have every unit once as target) from the common weights, and the
 weights are averaged by the number of windows, chunk by chunk in two levels so that no task gathers all copies. What is gathered grows with the corpus; the model has a fixed size.
 
-Defined cases: null, empty and wordless texts have no tokens, score 0 and no mean; words outside the text are a padding token; repeated rows
+Defined cases: null, empty and wordless texts have no tokens, score 0 and no mean; places outside the text are a padding token; repeated rows
 score alike; with an empty corpus nothing is returned. Only the id and the text are read.
 """
 
@@ -25,19 +27,49 @@ from pyspark.sql import functions as F
 
 from solea.session import store
 
-FREQUENT, BUCKETS, CLASS = 768, 256, 32
-VOCABULARY = FREQUENT + BUCKETS
+FREQUENT, BYTES, CLASS = 768, 256, 32
+VOCABULARY = FREQUENT + BYTES
+END = FREQUENT + ord(" ")  # ends a spelled word; words hold no space
 PLACES = (-2, -1, 1, 2)
 HIDDEN = 32
 CHUNK = 8192
 FLUSH = 200_000
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8", "surrogatepass").split()
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    return _hashes(_words(text))
+
+
+def units(text: str | None, known: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """One id for each word whose hash is among the sorted ``known``, its rank in ``order``; the bytes and the end mark of all others."""
+    words = _words(text)
+    if not words:
+        return np.zeros(0, np.int64)
+    h = _hashes(words)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    whole = known[at] == h
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    first = np.cumsum(sizes) - sizes
+    out = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.int64) + FREQUENT
+    keep = np.repeat(~whole, sizes)
+    keep[first[whole]] = True
+    out[first[whole]] = order[at[whole]]
+    return out[keep]
+
+
+def _ends(ids: np.ndarray) -> np.ndarray:
+    """The last unit of every word."""
+    return np.flatnonzero((ids < FREQUENT) | (ids == END))
+
+
 def _frequent_words(documents: DataFrame) -> np.ndarray:
     """Hashes of the most frequent words of all documents, most frequent first."""
 
@@ -62,15 +94,7 @@ def _with_ids(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            h = word_hashes(text)
-            found = (h % np.uint64(BUCKETS)).astype(np.int64) + FREQUENT
-            if len(known):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                found = np.where(known[at] == h, order[at], found)
-            out.append(found.astype("<i2").tobytes())
-        return pd.Series(out, dtype=object)
+        return pd.Series([units(text, known, order).astype("<i2").tobytes() for text in texts], dtype=object)
 
     return documents.select("doc_id", ids("text").alias("ids"))
 
@@ -95,9 +119,11 @@ class WindowNetwork:
 
     @staticmethod
     def windows(ids: np.ndarray) -> np.ndarray:
-        """The four neighbours of every word; beyond the text stands the padding token."""
+        """Two units before every unit and two behind the end of its word; beyond the text stands the padding token."""
         padded = np.concatenate([[VOCABULARY] * 2, ids, [VOCABULARY] * 2])
-        return np.stack([padded[2 + p : len(padded) - 2 + p] for p in PLACES], 1)
+        here, ends = np.arange(len(ids)), _ends(ids)
+        last = np.append(ends, len(ids) - 1)[np.searchsorted(ends, here)]  # of the word that the unit is in
+        return np.stack([padded[2 + p + (here if p < 0 else last)] for p in PLACES], 1)
 
     def _hidden(self, context: np.ndarray) -> np.ndarray:
         total = self.embed[0][context[:, 0]] + self.hidden_bias
@@ -156,7 +182,7 @@ class WindowNetwork:
 
 
 def picked(n: int, offset: int, rounds: int) -> np.ndarray:
-    """Targets of one round in a text of n words; the offsets 0 to rounds - 1 together pick every word once, however short the text."""
+    """Targets of one round in a text of n units; the offsets 0 to rounds - 1 together pick every unit once, however short the text."""
     return np.arange((offset + n) % rounds, n, rounds)
 
 
@@ -228,7 +254,7 @@ def pseudo_likelihood(documents: DataFrame, rounds: int = 2, batch: int = 2048,
                     owner = np.repeat(np.arange(first, last), [len(t) for t in texts[first:last]])
                     totals += np.bincount(owner, found, len(texts))
                 first = last
-            yield pd.DataFrame({"n_tokens": [len(t) for t in texts], "score": totals})
+            yield pd.DataFrame({"n_tokens": [len(_ends(t)) for t in texts], "score": totals})
 
     scored = ids.select("doc_id", score("ids").alias("s")).select("doc_id", "s.n_tokens", "s.score")
     return scored.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))

@@ -295,6 +295,22 @@ def test_every_word_is_a_target_once(spark):
     assert after > 0.9 * before
 
 
+def test_rare_words_keep_their_identity(spark):
+    known, none = np.sort(pseudo_likelihood.word_hashes("the and")), np.arange(2)
+    spelled = {w: tuple(pseudo_likelihood.units(w, known, none)) for w in [f"w{k}" for k in range(5000)] + ["the", "and", "a b", "ab"]}
+    assert len(set(spelled.values())) == len(spelled) and len(spelled["the"]) == len(spelled["and"]) == 1
+    ids = pseudo_likelihood.units("the Ab and", known, none)
+    a, b, end = pseudo_likelihood.FREQUENT + ord("a"), pseudo_likelihood.FREQUENT + ord("b"), pseudo_likelihood.END
+    assert ids[1:4].tolist() == [a, b, end]
+    assert pseudo_likelihood.WindowNetwork.windows(ids)[1:4].tolist() == [[1024, ids[0], ids[4], 1024], [ids[0], a, ids[4], 1024], [a, b, ids[4], 1024]]
+    common = " ".join(f"c{k}" for k in range(pseudo_likelihood.FREQUENT))  # fills the table of frequent words
+    made = [common] * 3 + ["station nation ration notation"] * 2 + [f"{w}ation" for w in ("s", "n", "r", "c", "f")] + ["zqxjk", "qzkxw"]
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    found = as_dict(pseudo_likelihood.pseudo_likelihood(rows, batch=64))
+    assert found[3]["n_tokens"] == 4 and found[0]["n_tokens"] == pseudo_likelihood.FREQUENT
+    assert len({found[k]["score"] for k in range(5, len(made))}) == len(made) - 5
+
+
 def test_scores_of_odd_rows(odd, nothing):
     found = [r for r in pseudo_likelihood.pseudo_likelihood(odd).collect()]
     empty = [r for r in found if r["doc_id"] in (1, 2)]
