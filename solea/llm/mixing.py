@@ -4,75 +4,81 @@ Each source is cut into blocks of ``block_rows`` documents in a seeded random or
 slot floor(k / w) and due by slot ceil((k + 1) / w); every slot goes to the released block that is due first. At any slot each
 source then has had its weight times the slots so far, with a deviation of less than one block.
 
-Weights are integer parts of a frame, so the schedule repeats frame by frame: only one frame is worked out, and each block
-finds its slot from its own number. When a source runs out, one frame, shortened by the same factor for all, takes its last blocks
-and the others go on with their parts of the rest (a new phase). Every document gets exactly one place; nothing is repeated or left out.
+Weights are exact rationals, never rounded to parts of a frame. When a source has had its due of all its blocks, the others share its part by their
+weights: k / w is read as the virtual time at which each source would have had k blocks, and the slot of a virtual time is the sum of what
+all sources would have had by then. That fluid mix fills every slot, so windows of whole slots around it can always be met, and
+earliest deadlines first meets them: the deviation from it stays below one block to the end, over any number of sources that run out. Every document gets
+exactly one place; nothing is repeated or left out.
 
 Scale: a document's number in its source comes from small hash buckets and running counts over buckets, so a source holding a third of all
-rows is spread like any other. Sources are bounded by ``max_sources`` (an error beyond), which bounds the broadcast schedule.
+rows is spread like any other. One task works out the slots of blocks (one step for each ``block_rows`` documents) and holds two numbers
+and one waiting block of each source; the slots are a stored table, joined by source and block.
 
 Defined cases: a null source is a source of its own; rows of one source with equal ids are placed next to each other in any
-order; an empty table gives an empty result; sources without a given weight get one part.
+order; an empty table gives an empty result; sources without a given weight get one ``frame``-th of the sum of the given ones. ``max_sources``
+raises an error beyond that many sources.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from solea.session import store
+
 BUCKET_ROWS = 128  # expected rows of one hash bucket
 BUCKETS_TOGETHER = 512  # buckets whose counts are summed in one step
+SLOTS_TOGETHER = 65_536  # slots of the schedule in one batch
+
+
+def slots(blocks: dict[str, int], weights: dict[str, Fraction | int]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) of all blocks by earliest deadline among released blocks, slot after slot."""
+    scale = lcm(*(Fraction(w).denominator for w in weights.values()))
+    whole = {s: int(w * scale) for s, w in weights.items()}
+    ends = sorted((Fraction(n, whole[s]), s) for s, n in blocks.items())  # virtual times at which sources run out
+    times = [v for v, _ in ends]
+    had, rate = [0], [sum(whole[s] for s in blocks)]  # by number of sources that have run out: their blocks, and the weight of the others
+    for _, s in ends:
+        had.append(had[-1] + blocks[s])
+        rate.append(rate[-1] - whole[s])
+
+    def around(source: str, k: int) -> tuple[int, int]:
+        """The slots before and after the time at which the source would have had k blocks."""
+        out = bisect_right(times, Fraction(k, whole[source]))
+        at = had[out] * whole[source] + k * rate[out]
+        return at // whole[source], -(-at // whole[source])
+
+    later = [(0, source, 0) for source in sorted(blocks)]  # (release, source, block)
+    ready: list[tuple[int, str, int, int]] = []  # (deadline, source, block, release of the next)
+    for slot in range(sum(blocks.values())):
+        while later and later[0][0] <= slot:
+            _, source, k = heapq.heappop(later)
+            release, deadline = around(source, k + 1)
+            heapq.heappush(ready, (deadline, source, k, release))
+        _, source, k, release = heapq.heappop(ready)
+        yield source, k, slot
+        if k + 1 < blocks[source]:
+            heapq.heappush(later, (release, source, k + 1))
 
 
 def frame_schedule(parts: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block in the frame, slot) by earliest deadline among released blocks, for one frame of sum(parts) slots."""
-    size = sum(parts.values())
-    later = [(0, source, 0) for source in sorted(parts)]  # (release, source, block)
-    heapq.heapify(later)
-    ready: list[tuple[int, str, int]] = []  # (deadline, source, block)
-    out = []
-    for slot in range(size):
-        while later and later[0][0] <= slot:
-            _, source, k = heapq.heappop(later)
-            heapq.heappush(ready, (-(-(k + 1) * size // parts[source]), source, k))
-        _, source, k = heapq.heappop(ready)
-        out.append((source, k, slot))
-        if k + 1 < parts[source]:
-            heapq.heappush(later, ((k + 1) * size // parts[source], source, k + 1))
-    return out
-
-
-def target_parts(rows: dict[str, int], weights: dict[str, float] | None, power: float, frame: int) -> dict[str, int]:
-    """Parts of a frame for each source: given weights, or rows to the power; largest remainders, at least one part each."""
-    wanted = {s: (weights.get(s, 0.0) if weights else n**power) for s, n in rows.items()}
-    total = sum(wanted.values()) or 1.0
-    frame = max(frame, len(rows))
-    exact = {s: w / total * frame for s, w in wanted.items()}
-    parts = {s: max(1, int(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s))[: max(0, frame - sum(parts.values()))]:
-        parts[s] += 1
-    return parts
-
-
-def phases(blocks: dict[str, int], parts: dict[str, int]) -> list[dict]:
-    """Runs of equal frames: their number, first slot, and each source's parts and first block."""
-    left, done, slot, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while active := sorted(s for s, n in left.items() if n):
-        frames = min(left[s] // parts[s] for s in active)
-        now = {s: parts[s] for s in active}
-        if not frames:  # a source has less than its parts of a frame: one frame shortened to what it has
-            share = min(left[s] / parts[s] for s in active)
-            now = {s: min(left[s], max(1, round(share * parts[s]))) for s in active}
-            frames = 1
-        out.append({"phase": len(out), "frames": frames, "slot": slot, "parts": now, "first": {s: done[s] for s in active}})
-        for s, k in now.items():
-            left[s] -= frames * k
-            done[s] += frames * k
-        slot += frames * sum(now.values())
-    return out
+    """(source, block, slot) where each source has as many blocks as its weight says."""
+    return list(slots(parts, parts))
+
+
+def target_weights(rows: dict[str, int], weights: dict[str, float] | None, power: float, frame: int) -> dict[str, Fraction]:
+    """Exact weights: the given ones as they are written, or rows to the power; sources without one get a ``frame``-th of the sum."""
+    wanted = {s: Fraction(str(weights.get(s, 0) if weights else n**power)) for s, n in rows.items()}
+    least = sum(w for w in wanted.values() if w > 0) / frame or Fraction(1)
+    return {s: w if w > 0 else least for s, w in wanted.items()}
 
 
 def _source_key(source: Column) -> Column:
@@ -80,20 +86,25 @@ def _source_key(source: Column) -> Column:
 
 
 def place_in_mix(documents: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 64, power: float = 0.7,
-                 frame: int = 200, max_sources: int = 200, seed: int = 7) -> DataFrame:
+                 frame: int = 200, max_sources: int | None = 200, seed: int = 7) -> DataFrame:
     """All columns, and ``__block`` (number in its source), ``__slot`` and ``__position`` (order of documents in the mix)."""
-    spark = documents.sparkSession
     keyed = documents.withColumn("__source", _source_key(F.col("source"))).withColumn("__hash", F.xxhash64(F.col("doc_id"), F.lit(seed)))
-    counted = keyed.groupBy("__source").count().limit(max_sources + 1).collect()
-    if len(counted) > max_sources:
+    if max_sources is not None and keyed.select("__source").distinct().limit(max_sources + 1).count() > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    rows = {r["__source"]: r["count"] for r in counted}
     given = {(f"={s}" if s is not None else "null"): w for s, w in weights.items()} if weights else None
-    plan = phases({s: -(-n // block_rows) for s, n in rows.items()}, target_parts(rows, given, power, frame))
 
-    widths = spark.createDataFrame([(s, -(-n // BUCKET_ROWS)) for s, n in rows.items()], "__source string, __buckets long")
+    def schedule(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = {s: int(n) for batch in batches for s, n in zip(batch["__source"], batch["__rows"])}
+        found = slots({s: -(-n // block_rows) for s, n in rows.items()}, target_weights(rows, given, power, frame))
+        while some := list(islice(found, SLOTS_TOGETHER)):
+            yield pd.DataFrame(some, columns=["__source", "__block", "__slot"])
+
+    counted, _ = store(keyed.groupBy("__source").agg(F.count("*").alias("__rows")), "mix-sources")
+    planned, _ = store(counted.coalesce(1).mapInPandas(schedule, "__source string, __block long, __slot long"), "mix-slots")
+
+    widths = counted.select("__source", F.ceil(F.col("__rows") / BUCKET_ROWS).alias("__buckets"))
     part = (F.shiftrightunsigned("__hash", 11) / F.lit(float(1 << 53))) * F.col("__buckets")
-    keyed = keyed.join(F.broadcast(widths), "__source").withColumn("__bucket", F.floor(part)).drop("__buckets")
+    keyed = keyed.join(widths, "__source").withColumn("__bucket", F.floor(part)).drop("__buckets")
     group = ["__source", "__bucket"]
     ranked = keyed.withColumn("__in_bucket", F.row_number().over(Window.partitionBy(*group).orderBy("__hash", "doc_id")))
     counts = keyed.groupBy(*group).agg(F.count("*").alias("__n")).withColumn("__run", F.floor(F.col("__bucket") / BUCKETS_TOGETHER))
@@ -105,19 +116,7 @@ def place_in_mix(documents: DataFrame, weights: dict[str, float] | None = None,
     numbered = ranked.join(offsets, group).withColumn("__number", F.col("__first") + F.col("__in_bucket") - 1).drop("__first", "__in_bucket", "__bucket", "__hash")
     numbered = numbered.withColumn("__block", F.floor(F.col("__number") / block_rows)).withColumn("__row", F.col("__number") % block_rows).drop("__number")
 
-    told = [(p["phase"], s, k, p["first"][s], p["first"][s] + k * p["frames"], p["slot"], sum(p["parts"].values())) for p in plan for s, k in p["parts"].items()]
-    spans = spark.createDataFrame(told, "__phase int, __s string, __parts long, __from long, __to long, __start long, __size long")
-
-    def schedule(own: pd.DataFrame) -> pd.DataFrame:
-        found = frame_schedule(dict(zip(own["__s"], own["__parts"])))
-        return pd.DataFrame([(own["__phase"].iloc[0], *x) for x in found], columns=["__phase", "__s", "__k", "__at"])
-
-    frames = spans.select("__phase", "__s", "__parts").groupBy("__phase").applyInPandas(schedule, "__phase int, __s string, __k long, __at long")
-    found = numbered.join(F.broadcast(spans), (F.col("__source") == F.col("__s")) & (F.col("__block") >= F.col("__from")) & (F.col("__block") < F.col("__to"))).drop("__s")
-    found = found.withColumn("__j", F.col("__block") - F.col("__from")).withColumn("__k", F.col("__j") % F.col("__parts"))
-    found = found.join(F.broadcast(frames.withColumnRenamed("__s", "__source")), ["__phase", "__source", "__k"])
-    slot = F.col("__start") + F.floor(F.col("__j") / F.col("__parts")) * F.col("__size") + F.col("__at")
-    found = found.withColumn("__slot", slot).withColumn("__position", F.col("__slot") * block_rows + F.col("__row"))
+    found = numbered.join(planned, ["__source", "__block"]).withColumn("__position", F.col("__slot") * block_rows + F.col("__row"))
     return found.select(*documents.columns, "__block", "__slot", "__position")
 
 

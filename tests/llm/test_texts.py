@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -223,6 +224,35 @@ def test_frames_meet_all_windows():
         assert k * 19 // parts[source] <= slot < -(-(k + 1) * 19 // parts[source])
 
 
+def test_weights_are_not_rounded():
+    for weights in ({"a": 1, "b": 2}, {"a": 0.001, "b": 0.4, "c": 0.599}, {"a": 10**0.7, "b": 7**0.7, "c": 90**0.7}):
+        exact = mixing.target_weights(dict.fromkeys(weights, 1), weights, 0.7, 200)
+        total, had = sum(exact.values()), Counter()
+        for source, k, slot in mixing.slots({s: int(w / total * 6000) + 2 for s, w in exact.items()}, exact):
+            assert k == had[source]
+            had[source] += 1
+            if slot < 5900:  # no source has run out
+                assert all(abs(had[s] - w / total * (slot + 1)) < 1 for s, w in exact.items())
+
+
+def test_mix_goes_on_exactly_when_sources_run_out():
+    blocks, weights = {"a": 5, "b": 400, "c": 37, "d": 1, "e": 90}, {"a": Fraction(1, 3), "b": 2, "c": 5, "d": Fraction(1, 7), "e": 1}
+    order = list(mixing.slots(blocks, weights))
+    assert [slot for _, _, slot in order] == list(range(533)) and len({(s, k) for s, k, _ in order}) == 533
+    had, fluid = Counter(), dict.fromkeys(blocks, Fraction(0))
+    for source, _, _ in order:
+        had[source] += 1
+        left = Fraction(1)
+        while left:  # one slot is shared by weight; who has all its blocks leaves its part to the others
+            active = [s for s in blocks if fluid[s] < blocks[s]]
+            total = sum(weights[s] for s in active)
+            step = min(left, *((blocks[s] - fluid[s]) * total / weights[s] for s in active))
+            for s in active:
+                fluid[s] += step * weights[s] / total
+            left -= step
+        assert all(abs(had[s] - fluid[s]) < 1 for s in blocks)
+
+
 def test_mix_odd_rows(odd, nothing, documents):
     assert mixing.mixed(documents).columns == documents.columns
     assert sorted(map(str, mixing.mixed(odd).collect())) == sorted(map(str, odd.collect())) and mixing.mixed(nothing).count() == 0
