@@ -16,7 +16,7 @@ and one waiting block of each source; the slots are a stored table, joined by so
 
 Defined cases: a null source is a source of its own; rows of one source with equal ids are placed next to each other in any
 order; an empty table gives an empty result; sources without a given weight get one ``frame``-th of the sum of the given ones. ``max_sources``
-raises an error beyond that many sources.
+raises an error beyond that many sources; by default there is no limit.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def _source_key(source: Column) -> Column:
 
 
 def place_in_mix(documents: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 64, power: float = 0.7,
-                 frame: int = 200, max_sources: int | None = 200, seed: int = 7) -> DataFrame:
+                 frame: int = 200, max_sources: int | None = None, seed: int = 7) -> DataFrame:
     """All columns, and ``__block`` (number in its source), ``__slot`` and ``__position`` (order of documents in the mix)."""
     keyed = documents.withColumn("__source", _source_key(F.col("source"))).withColumn("__hash", F.xxhash64(F.col("doc_id"), F.lit(seed)))
     if max_sources is not None and keyed.select("__source").distinct().limit(max_sources + 1).count() > max_sources:

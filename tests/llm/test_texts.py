@@ -253,6 +253,12 @@ def test_mix_goes_on_exactly_when_sources_run_out():
         assert all(abs(had[s] - fluid[s]) < 1 for s in blocks)
 
 
+def test_mix_of_many_sources(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "concat('host', id % 700) AS source")
+    placed = mixing.mix_order(rows).collect()
+    assert sorted(r["doc_id"] for r in placed) == list(range(3000)) and {r["slot"] for r in placed} == set(range(700))
+
+
 def test_mix_odd_rows(odd, nothing, documents):
     assert mixing.mixed(documents).columns == documents.columns
     assert sorted(map(str, mixing.mixed(odd).collect())) == sorted(map(str, odd.collect())) and mixing.mixed(nothing).count() == 0
