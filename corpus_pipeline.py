@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from solea.llm.bpe import Vocabulary, add_ids_and_decoded
 from solea.llm.jaccard import similar_classes
-from solea.llm.mixing import mixed
+from solea.llm.mixing import mixed, place_in_mix
 from solea.llm.pii import redact
 from solea.llm.quality import keep_good
 from solea.session import new_folder
@@ -45,10 +45,14 @@ def sources_mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, token ids, their number, and the text that they decode to."""
+    """doc_id, source, token ids, their number, the text that they decode to, and slot and position in the mix.
+
+    Files are not read back in the order they were written in, so the place is worked out again: it depends on ids and sources only.
+    """
     vocabulary = Vocabulary.read(public_tokenizers.path("word_bpe_49k.json"))
-    encoded = add_ids_and_decoded(docs.select("doc_id", "source", "text"), vocabulary)
-    return encoded.select("doc_id", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "decoded_text")
+    encoded = add_ids_and_decoded(place_in_mix(docs.select("doc_id", "source", "text")), vocabulary)
+    place = F.col("__slot").alias("slot"), F.col("__position").alias("position")
+    return encoded.select("doc_id", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "decoded_text", *place)
 
 
 STAGES = [
@@ -61,11 +65,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages after each other; each one's documents are written to the shared folder and read again by the next."""
+    """All stages after each other; each one's documents are written to the shared folder and read again by the next. Rows are in the order of the mix."""
 
     def apply(docs: DataFrame, stage) -> DataFrame:
         path = new_folder(spark, "corpus-stage")
         stage[1](spark, docs, sf_dir).write.parquet(path)
         return spark.read.parquet(path)
 
-    return reduce(apply, STAGES, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return reduce(apply, STAGES, spark.read.parquet(f"{sf_dir}/documents.parquet")).orderBy("position")

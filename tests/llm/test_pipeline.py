@@ -1,14 +1,18 @@
 """The corpus pipeline stage by stage, and the registration of all queries."""
 
+from collections import Counter
+from itertools import groupby
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from solea.llm.jaccard import similar_classes
+from solea.llm.mixing import target_weights
 from solea.llm.quality import score_quality
 from tests.llm.conftest import DATA
-from tests.llm.test_texts import brute_components, brute_spans
+from tests.llm.test_texts import brute_components, brute_spans, largest_deviation
 
 
 def test_all_queries_are_registered():
@@ -42,6 +46,23 @@ def test_run_applies_all_stages(spark):
     assert rows and len({r["doc_id"] for r in rows}) == len(rows) and all(r["n_tokens"] == len(r["token_ids"]) for r in rows)
 
 
+def test_rows_of_run_are_mixed(spark):
+    """Over several files, whose order is not kept when they are read."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        result = corpus_pipeline.run(spark, DATA.replace("0.001", "0.01"))
+        assert len(result.inputFiles()) > 1
+        rows = result.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    places = [r["position"] for r in rows]
+    assert places == sorted(set(places)) and all(r["slot"] == r["position"] // 64 for r in rows)
+    sizes = Counter(r["source"] for r in rows)
+    order = [source for (source, _), _ in groupby(rows, key=lambda r: (r["source"], r["slot"]))]
+    blocks = {s: -(-n // 64) for s, n in sizes.items()}
+    assert Counter(order) == blocks and largest_deviation(order, blocks, target_weights(sizes, None, 0.7, 200)) < 1
+
+
 def test_odd_rows_go_through_every_stage(spark, odd, nothing):
     for rows in (odd, nothing):
         docs = rows
