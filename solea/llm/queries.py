@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from solea.llm import divergence, hard_negatives
 from solea.llm.bpe import Vocabulary, token_digests
 from solea.llm.html_text import extract_main_text
 from solea.llm.jaccard import similar_classes
@@ -19,6 +20,7 @@ from solea.llm.pii import find_personal_data
 from solea.llm.pseudo_likelihood import pseudo_likelihood
 from solea.llm.quality import score_quality
 from solea.llm.repeats import repeat_digests
+from solea.llm.token_counts import PieceModel, count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +88,27 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@lru_cache(maxsize=2)
+def piece_model(name: str = "piece_bpe_32k.model") -> PieceModel:
+    return PieceModel.read(public_tokenizers.path(name))
+
+
+@_register
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), piece_model(), limit=4096)
+
+
+@_register
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"), least_documents=3, top=200, scale=10**9)
+
+
+@_register
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+ORACLES |= {"op12_divergence": divergence.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
