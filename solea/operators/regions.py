@@ -5,64 +5,68 @@ Mask rows are ``(key..., row_no, col_no)`` with a boolean ``mask`` on a dense gr
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from solea.functions.batches import starts, whole_groups
+from solea.operators import labelling as L
 from solea.operators.pixels import IMAGE, extent
-from solea.session import cut_lineage
 
 _ROW = 1 << 20  # pixel number = row * _ROW + column
 
 
-def pixel_no(row: Column | str = "row_no", col: Column | str = "col_no") -> Column:
-    r = F.col(row) if isinstance(row, str) else row
-    c = F.col(col) if isinstance(col, str) else col
-    return r.cast("bigint") * _ROW + c
-
-
 def runs(mask: DataFrame, key: list[str] = IMAGE) -> DataFrame:
-    """Foreground as horizontal runs: one row per unbroken stretch, typically far fewer rows than pixels."""
-    fg = mask.filter("mask")
+    """Foreground as horizontal runs: one row per unbroken stretch, typically far fewer rows than pixels.
+
+    Rows without ``mask`` tell how far each image row reaches. Images are brought together by the one shuffle here; what follows stays in their partition.
+    """
     w = Window.partitionBy(*key, "row_no").orderBy("col_no")
-    island = fg.withColumn("__i", F.col("col_no") - F.row_number().over(w))
+    dealt = mask.select(*key, "row_no", "col_no", "mask").repartition(*key)
+    island = dealt.withColumn("__i", F.when(F.col("mask"), F.col("col_no") - F.count_if("mask").over(w)))
     out = island.groupBy(*key, "row_no", "__i").agg(F.min("col_no").alias("start"), F.max("col_no").alias("stop"))
-    return out.select(*key, "row_no", "start", "stop", pixel_no("row_no", "start").alias("node"))
+    return out.select(*key, "row_no", "start", "stop", F.col("__i").isNotNull().alias("mask"))
+
+
+def per_image(mask: DataFrame, key: list[str], work: Callable[[L.Runs], tuple[L.Runs, dict[str, np.ndarray]]], more: str) -> DataFrame:
+    """Runs ``(key, row_no, start, stop, more...)`` that ``work`` makes of the foreground runs of many whole images at a time."""
+    types = dict(mask.dtypes)
+    schema = "".join(f"`{c}` {types[c]}, " for c in key) + "row_no int, start int, stop int, " + more
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, key):
+            fresh = starts(pdf, key).to_numpy()
+            first, image = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+            row, start, stop = (pdf[c].to_numpy(np.int64) for c in ("row_no", "start", "stop"))
+            size = np.maximum.reduceat(row, first) + 1, np.maximum.reduceat(stop, first) + 1
+            kept = pdf["mask"].to_numpy(bool)
+            made, columns = work(L.Runs(image[kept], row[kept], start[kept], stop[kept], *size))
+            keys = pdf[key].iloc[first[made.image]].reset_index(drop=True)
+            yield keys.assign(row_no=made.row, start=made.start, stop=made.stop, **columns)
+
+    return runs(mask, key).sortWithinPartitions(*key, "row_no", "start").mapInPandas(lambda batches: step(batches), schema)
 
 
 def component_runs(mask: DataFrame, connectivity: int = 8, key: list[str] = IMAGE) -> DataFrame:
-    """Runs with the component they belong to (``comp`` = its first pixel number in row order).
+    """Runs with the component they belong to (``comp`` = its first pixel number in row order)."""
 
-    Runs of neighbouring rows are joined where they touch. In a round all runs of one label take the smallest label
-    that any of them touches, then the label of that label, so long shapes settle in few rounds. Every round is
-    stored in the shared folder.
-    """
-    reach = 1 if connectivity == 8 else 0
-    r = cut_lineage(runs(mask, key))
-    below = r.select(*key, (F.col("row_no") - 1).alias("row_no"), F.col("start").alias("s2"), F.col("stop").alias("e2"), F.col("node").alias("other"))
-    touch = r.join(below, [*key, "row_no"]).filter((F.col("start") <= F.col("e2") + reach) & (F.col("s2") <= F.col("stop") + reach))
-    pairs = touch.select(*key, F.explode(F.array(F.struct(F.col("node").alias("a"), F.col("other").alias("b")),
-                                                 F.struct(F.col("other").alias("a"), F.col("node").alias("b")))).alias("p"))
-    edges = cut_lineage(pairs.select(*key, F.col("p.a").alias("node"), F.col("p.b").alias("other")))
-    labels = r.select(*key, "node", F.col("node").alias("comp"))
-    while True:
-        near = edges.join(labels.withColumnsRenamed({"node": "other"}), [*key, "other"]).groupBy(*key, "node").agg(F.min("comp").alias("near"))
-        hooked = labels.join(near, [*key, "node"], "left").select(
-            *key, "node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")
-        )
-        # the best label any run of a label has seen, applied to the label's runs and once more to the result
-        best = hooked.groupBy(*key, "old").agg(F.min("comp").alias("best"))
-        merged = hooked.join(best, [*key, "old"]).select(*key, "node", "old", F.col("best").alias("comp"))
-        jump = best.select(*key, F.col("old").alias("comp"), F.col("best").alias("up"))
-        state = cut_lineage(merged.join(jump, [*key, "comp"], "left").select(*key, "node", "old", F.coalesce("up", "comp").alias("comp")))
-        labels = state.select(*key, "node", "comp")
-        if state.filter("old <> comp").isEmpty():
-            return r.join(labels, [*key, "node"])
+    def label(r: L.Runs):
+        root = L.components(r, connectivity)
+        return r, {"comp": r.row[root] * _ROW + r.start[root]}
+
+    return per_image(mask, key, label, "comp bigint")
+
+
+def as_pixels(found: DataFrame, key: list[str], *columns: str) -> DataFrame:
+    return found.select(*key, "row_no", F.explode(F.sequence("start", "stop")).alias("col_no"), *columns)
 
 
 def connected_components(mask: DataFrame, connectivity: int = 8, key: list[str] = IMAGE) -> DataFrame:
     """One row per foreground pixel with its component."""
-    labelled = component_runs(mask, connectivity, key)
-    return labelled.select(*key, "row_no", F.explode(F.sequence("start", "stop")).alias("col_no"), "comp")
+    return as_pixels(component_runs(mask, connectivity, key), key, "comp")
 
 
 def component_boxes(labelled_runs: DataFrame, key: list[str] = IMAGE) -> DataFrame:
@@ -79,24 +83,21 @@ def two_largest(boxes: DataFrame, key: list[str] = IMAGE, k: int = 2) -> DataFra
     return boxes.withColumn("size_rank", F.row_number().over(w)).filter(F.col("size_rank") <= k)
 
 
+def _dense(foreground: L.Runs) -> tuple[L.Runs, np.ndarray]:
+    """Runs of every pixel, and which of them are foreground."""
+    ground = L.complement(foreground)
+    whole = L.Runs(*(np.concatenate([getattr(foreground, c), getattr(ground, c)]) for c in ("image", "row", "start", "stop")), foreground.height, foreground.width)
+    return whole, np.arange(len(whole.row)) < len(foreground.row)
+
+
 def fill_holes(mask: DataFrame, key: list[str] = IMAGE) -> DataFrame:
-    """Background that is not 4-connected to the image border becomes foreground."""
-    size = extent(mask, key)
-    background = component_runs(mask.withColumn("mask", ~F.col("mask")), 4, key).join(size, key)
-    at_edge = (F.col("row_no") == 0) | (F.col("row_no") == F.col("height") - 1) | (F.col("start") == 0) | (F.col("stop") == F.col("width") - 1)
-    inner = background.groupBy(*key, "comp").agg(F.bool_or(at_edge).alias("open")).filter(~F.col("open")).select(*key, "comp")
-    holes = background.join(inner, [*key, "comp"], "left_semi").select(
-        *key, "row_no", F.explode(F.sequence("start", "stop")).alias("col_no"), F.lit(True).alias("__hole")
-    )
-    return mask.join(holes, [*key, "row_no", "col_no"], "left").withColumn("mask", F.col("mask") | F.coalesce("__hole", F.lit(False))).drop("__hole")
+    """Dense ``(key, row_no, col_no, mask)``: background that is not 4-connected to the image border becomes foreground."""
 
+    def fill(r: L.Runs):
+        whole, kept = _dense(L.filled(r))
+        return whole, {"mask": kept}
 
-def keep_component(mask: DataFrame, chosen: DataFrame, labelled: DataFrame, key: list[str]) -> DataFrame:
-    """Dense mask of the chosen components only."""
-    cells = labelled.join(chosen.select(*key, "comp"), [*key, "comp"], "left_semi").select(
-        *key, "row_no", F.explode(F.sequence("start", "stop")).alias("col_no"), F.lit(True).alias("__keep")
-    )
-    return mask.join(cells, [*key, "row_no", "col_no"], "left").withColumn("mask", F.coalesce("__keep", F.lit(False))).drop("__keep")
+    return as_pixels(per_image(mask, key, fill, "mask boolean"), key, "mask")
 
 
 def _reach(df: DataFrame, line: list[str], at: str, before: Column, after: Column, value: str) -> DataFrame:
@@ -173,23 +174,41 @@ def crop_squares(df: DataFrame, feet: DataFrame, channels: list[str], key: list[
 # ---------------------------------------------------------------- footprint geometry
 
 
+_COUNTS = ("regions", "filled_px", "foot_area", "removed_px")
+
+
+def foot_runs(mask: DataFrame, key: list[str] = IMAGE, later_wins: bool = True) -> DataFrame:
+    """Runs of every pixel with ``mask`` true on the foot, and the counts of ``toe_removal`` on each row."""
+
+    def remove(r: L.Runs):
+        images = len(r.height)
+        whole = L.filled(r)
+        root = L.components(whole, 4)
+        foot = L.filled(L.largest(whole, root, later_wins))
+        regions = np.bincount(whole.image[np.unique(root)], minlength=images)
+        dense, kept = _dense(foot)
+        area, left = whole.area(images), foot.area(images)  # outside reaches the border with and without the other regions, so the foot stays inside the filled area
+        per = {"regions": regions, "filled_px": area, "foot_area": left, "removed_px": area - left}
+        return dense, {"mask": kept, **{c: v[dense.image] for c, v in per.items()}}
+
+    return per_image(mask, key, remove, "mask boolean, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+
+
 def toe_removal(mask: DataFrame, key: list[str] = IMAGE, later_wins: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Fill holes, keep the largest 4-connected region and fill it again; also counts per image.
+    """Fill holes, keep the largest 4-connected region and fill it again; also counts per image that has a region.
 
     Of equally large regions the later one is kept, or the first with ``later_wins=False``.
     """
-    filled = cut_lineage(fill_holes(mask, key))
-    labelled = component_runs(filled, 4, key)
-    boxes = component_boxes(labelled, key)
-    w = Window.partitionBy(*key).orderBy(F.col("size").desc(), F.col("comp").desc() if later_wins else F.col("comp"))
-    chosen = boxes.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
-    foot = cut_lineage(fill_holes(keep_component(filled, chosen, labelled, key), key))
-    counts = boxes.groupBy(*key).agg(F.count(F.lit(1)).alias("regions"), F.sum("size").alias("filled_px"))
-    area = foot.groupBy(*key).agg(F.count_if("mask").alias("foot_area"))
-    overlap = filled.withColumnRenamed("mask", "f").join(foot, [*key, "row_no", "col_no"]).groupBy(*key).agg(
-        F.count_if(F.col("f") & ~F.col("mask")).alias("removed_px")
-    )
-    return foot, counts.join(area, key).join(overlap, key)
+    found = foot_runs(mask, key, later_wins)
+    return as_pixels(found, key, "mask"), found.where("row_no = 0 AND start = 0 AND regions > 0").select(*key, *_COUNTS)
+
+
+def _banded(rows: DataFrame, key: list[str]) -> DataFrame:
+    ends = Window.partitionBy(*key)  # one row per image row
+    rows = rows.withColumn("r0", F.min("row_no").over(ends)).withColumn("len", F.max("row_no").over(ends) - F.col("r0") + 1)
+    third = lambda m: F.col("r0") + F.floor(m * F.col("len") / 3)
+    band = F.when(F.col("row_no") < third(1), "C").when(F.col("row_no") < third(2), "B").otherwise("A")
+    return rows.withColumn("band", band).select(*key, "row_no", "band", "width", "area")
 
 
 def foot_bands(mask: DataFrame, key: list[str] = IMAGE) -> DataFrame:
@@ -197,10 +216,15 @@ def foot_bands(mask: DataFrame, key: list[str] = IMAGE) -> DataFrame:
     rows = mask.filter("mask").groupBy(*key, "row_no").agg(
         (F.max("col_no") - F.min("col_no") + 1).alias("width"), F.count(F.lit(1)).alias("area")
     )
-    ends = rows.groupBy(*key).agg(F.min("row_no").alias("r0"), (F.max("row_no") - F.min("row_no") + 1).alias("len"))
-    third = lambda m: F.col("r0") + F.floor(m * F.col("len") / 3)
-    band = F.when(F.col("row_no") < third(1), "C").when(F.col("row_no") < third(2), "B").otherwise("A")
-    return rows.join(ends, key).withColumn("band", band).select(*key, "row_no", "band", "width", "area")
+    return _banded(rows, key)
+
+
+def foot_bands_of_runs(found: DataFrame, key: list[str] = IMAGE) -> DataFrame:
+    """``foot_bands`` of the runs with ``mask``."""
+    rows = found.filter("mask").groupBy(*key, "row_no").agg(
+        (F.max("stop") - F.min("start") + 1).alias("width"), F.sum(F.col("stop") - F.col("start") + 1).alias("area")
+    )
+    return _banded(rows, key)
 
 
 def footprint_indices(bands: DataFrame, key: list[str] = IMAGE) -> DataFrame:
@@ -224,8 +248,8 @@ def threshold_sensitivity(px: DataFrame, fixed: list[int], otsu: DataFrame, key:
     levels = otsu.withColumn("thr", F.explode(F.array_distinct(F.concat(F.array(F.col("otsu").cast("int")), F.array(*map(F.lit, fixed))))))
     wide = [*key, "thr"]
     mask = px.join(levels.select(*wide), key).select(*wide, "row_no", "col_no", (F.col("v") > F.col("thr")).alias("mask"))
-    foot, counts = toe_removal(mask, wide, later_wins=False)
-    return footprint_indices(foot_bands(foot, wide), wide).join(counts.select(*wide, "regions"), wide)
+    counted = [*wide, "regions"]  # one number per image and level
+    return footprint_indices(foot_bands_of_runs(foot_runs(mask, wide, later_wins=False), counted), counted)
 
 
 def dilation_sweep(mask: DataFrame, percents: list[int], key: list[str] = IMAGE, min_area: float = 0.05) -> tuple[DataFrame, DataFrame]:

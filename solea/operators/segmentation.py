@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solea.operators.pixels import IMAGE, cluster_scores, icm_sweep, rgb_to_ydbdr
+from solea.functions.batches import starts, whole_groups
+from solea.operators.labelling import smooth_labels
+from solea.operators.pixels import IMAGE, cluster_scores, rgb_to_ydbdr
 from solea.session import cut_lineage
 
 FEATURES = ("Y", "Db", "Dr")
@@ -101,20 +104,24 @@ def likelihood_energies(px: DataFrame, params: DataFrame, k: int = 3, key: list[
 
 
 def hmrf_icm(df: DataFrame, k: int = 3, beta: float = 1.5, max_sweeps: int = 30, tol: float = 1e-3, key: list[str] = IMAGE) -> DataFrame:
-    """Sweep until fewer than ``tol`` of an image's pixels change; settled images leave the loop."""
-    keep = [*key, "row_no", "col_no", "label", *[f"e{j}" for j in range(k)]]
-    active, settled = cut_lineage(df.select(*keep)), None
-    for _ in range(max_sweeps):
-        swept = cut_lineage(icm_sweep(active, k, beta, key).withColumn("__moved", F.col("label") != F.col("new_label")).withColumn("label", F.col("new_label")))
-        share = cut_lineage(swept.groupBy(*key).agg(F.avg(F.col("__moved").cast("int")).alias("share")))
-        rows = swept.select(*keep)
-        done = rows.join(share.filter(F.col("share") < tol).select(*key), key, "left_semi")
-        settled = done if settled is None else settled.unionByName(done)
-        restless = share.filter(F.col("share") >= tol).select(*key)
-        active = rows.join(restless, key, "left_semi")
-        if restless.isEmpty():
-            return settled
-    return settled.unionByName(active)
+    """Sweep until fewer than ``tol`` of an image's pixels change, each image for itself: the same result as repeated ``icm_sweep``.
+
+    One shuffle brings the pixels of an image together; label planes of many images are swept in memory and nothing is stored between sweeps.
+    """
+    energy = [f"e{j}" for j in range(k)]
+    keep = [*key, "row_no", "col_no", "label", *energy]
+    types = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keep)
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, key):
+            first = np.flatnonzero(starts(pdf, key).to_numpy())
+            row, col = pdf["row_no"].to_numpy(np.int64), pdf["col_no"].to_numpy(np.int64)
+            size = np.maximum.reduceat(row, first) + 1, np.maximum.reduceat(col, first) + 1
+            yield pdf.assign(label=smooth_labels(pdf["label"].to_numpy(np.int64), pdf[energy].to_numpy(np.float64), row, col, *size, first, beta, max_sweeps, tol))
+
+    dealt = df.select(*keep).repartition(*key).sortWithinPartitions(*key, "row_no", "col_no")
+    return dealt.mapInPandas(lambda batches: step(batches), schema)
 
 
 def segment_foot(px: DataFrame, k: int = 3, beta: float = 1.5, seed: int = 42, key: list[str] = IMAGE) -> DataFrame:

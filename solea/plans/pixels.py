@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from solea.operators import pixels as X
-from solea.plans.registry import EXTRA_CHECK_VIEWS, Inputs, query
+from solea.operators.segmentation import hmrf_icm
+from solea.plans.registry import CHECK_ONCE, EXTRA_CHECK_VIEWS, Inputs, query
 
 RC = "image_id:i row_no:i col_no:i "
 _YDD = "0.299*r+0.587*g+0.114*b AS Y, -0.450*r-0.883*g+1.333*b AS Db, -1.333*r+1.116*g+0.217*b AS Dr"
@@ -132,6 +133,25 @@ def _(t):
     return X.icm_sweep(energies(labelled(t)), 3)
 
 
+def _swept(before: str) -> str:
+    """The labels after one more sweep: two steps of text like those of the single sweep."""
+    return f"""SELECT image_id, row_no, col_no, v, CASE WHEN a<=b AND a<=c THEN 0 WHEN b<=c THEN 1 ELSE 2 END AS label FROM (SELECT p.image_id, p.row_no, p.col_no, p.v,
+        (p.v-60)*(p.v-60)/800.0E0+1.5E0*(4-count(*) FILTER (q.label=0)) AS a, (p.v-128)*(p.v-128)/800.0E0+1.5E0*(4-count(*) FILTER (q.label=1)) AS b,
+        (p.v-196)*(p.v-196)/800.0E0+1.5E0*(4-count(*) FILTER (q.label=2)) AS c
+        FROM {before} p JOIN {before} q ON p.image_id=q.image_id AND abs(p.row_no-q.row_no)+abs(p.col_no-q.col_no)=1 GROUP BY p.image_id, p.row_no, p.col_no, p.v)"""
+
+
+_SWEEPS = 4
+EXTRA_CHECK_VIEWS.update({f"icm_{n + 1}": _swept(f"icm_{n}" if n else "labelled_px") for n in range(_SWEEPS)})
+CHECK_ONCE.update({f"icm_{n + 1}" for n in range(_SWEEPS)})
+
+
+# an image of 64 pixels rests only when none moves, and then further sweeps change nothing
+@query("hmrf_icm_sweeps", RC + "label:i", f"SELECT image_id, row_no, col_no, label FROM icm_{_SWEEPS}")
+def _(t):
+    return hmrf_icm(energies(labelled(t)), 3, max_sweeps=_SWEEPS)
+
+
 @query("cluster_scores", "image_id:i label:i score:f foot:b",
        f"""SELECT image_id, label, score, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, label)=1 AS foot FROM (SELECT image_id, label,
             avg(Y)*(1+sqrt(pow(avg(abs(Db)),2)+pow(avg(abs(Dr)),2))) AS score FROM (SELECT image_id, r//86 AS label, {_YDD} FROM rgb_pixels) GROUP BY image_id, label)""")

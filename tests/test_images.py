@@ -1,9 +1,11 @@
 """Region operators against brute force on small random grids, and edge cases of the image operators."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from solea.functions import batches as B
 from solea.operators import pixels as X
 from solea.operators import regions as G
 from solea.operators import segmentation as S
@@ -113,3 +115,64 @@ def test_segmentation_finds_the_bright_block(spark):
     mask = {(r.row_no, r.col_no) for r in S.segment_foot(px).filter("mask").collect()}
     inside = {(r, c) for r in range(3, 9) for c in range(2, 10)}
     assert mask <= inside and len(mask) >= 0.4 * len(inside)
+
+
+def brute_fill(img):
+    wall = np.pad(img, 1)
+    comp = brute_components(~wall, False)
+    return ~((comp == comp[0, 0]) & ~wall)[1:-1, 1:-1]
+
+
+def brute_foot(img, later):
+    whole = brute_fill(img)
+    comp = brute_components(whole, False)
+    sizes = {c: (comp == c).sum() for c in np.unique(comp[comp >= 0])}
+    if not sizes:
+        return whole, img, 0
+    best = max(sizes, key=lambda c: (sizes[c], c if later else -c))
+    return whole, brute_fill(comp == best), len(sizes)
+
+
+@pytest.mark.parametrize("later", [True, False])
+def test_feet_of_many_sizes_match_brute_force(spark, monkeypatch, later):
+    monkeypatch.setattr(B.whole_groups, "__defaults__", (40,))  # frames of a few images each
+    images = [RNG.random((int(RNG.integers(1, 12)), int(RNG.integers(1, 12)))) < d for d in (0.2, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9) for _ in range(4)] + [np.zeros((3, 4), bool), np.ones((5, 2), bool)]
+    m = masks(spark, images)
+    foot, counts = G.toe_removal(m, later_wins=later)
+    pixels = {(r.image_id, r.row_no, r.col_no): r.mask for r in foot.collect()}
+    filled = {(r.image_id, r.row_no, r.col_no): r.mask for r in G.fill_holes(m).collect()}
+    counts = {r.image_id: (r.regions, r.filled_px, r.foot_area, r.removed_px) for r in counts.collect()}
+    for i, img in enumerate(images):
+        whole, kept, regions = brute_foot(img, later)
+        assert all(pixels[i, r, c] == kept[r, c] and filled[i, r, c] == whole[r, c] for r in range(img.shape[0]) for c in range(img.shape[1]))
+        assert counts.get(i) == ((regions, whole.sum(), kept.sum(), (whole & ~kept).sum()) if regions else None)
+    assert len(pixels) == sum(img.size for img in images)
+
+
+def test_regions_need_one_shuffle_and_no_stored_rounds(spark):
+    m = masks(spark, [np.ones((2, 2), int)])
+    for df in (G.connected_components(m), G.fill_holes(m), *G.toe_removal(m)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "parquet" not in plan
+
+
+def test_smoothing_equals_repeated_sweeps(spark):
+    images = [RNG.integers(0, 256, shape) for shape in ((6, 9), (1, 7), (5, 1), (12, 12), (1, 1))]
+    px = to_px(spark, images).withColumn("label", F.pmod(F.col("v"), F.lit(3)))
+    px = px.withColumns({f"e{k}": F.abs(F.col("v") - mu) / 40.0 for k, mu in enumerate((60, 128, 196))})
+    for sweeps in (1, 3):
+        step = px
+        for _ in range(sweeps):
+            step = X.icm_sweep(step, 3).withColumn("label", F.col("new_label")).drop("new_label")
+        at = lambda df: {(r.image_id, r.row_no, r.col_no): r.label for r in df.collect()}
+        assert at(S.hmrf_icm(px, max_sweeps=sweeps, tol=0.0)) == at(step)
+
+
+def test_frames_end_where_groups_end():
+    rows = pd.DataFrame({"k": [None, None, 1, 1, 1, 1, 1, 1, 2, 3, 3], "v": range(11)}).astype({"k": "Int64"})
+    for size in (1, 2, 3, 50):
+        for limit in (1, 3, 100):
+            frames = list(B.whole_groups((rows.iloc[i : i + size] for i in range(0, 11, size)), ["k"], limit))
+            assert pd.concat(frames).v.tolist() == list(range(11))
+            assert sum(f.k.nunique(dropna=False) for f in frames) == 4
+    assert list(B.whole_groups(iter([]), ["k"])) == []
