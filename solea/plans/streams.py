@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from solea.operators.case_tables import latest
-from solea.plans import cases as cases_q
 from solea.plans.registry import Inputs, query
+from solea.session import new_folder
 from solea.streaming import case_streams as S
 
 
@@ -49,9 +49,40 @@ def _(t):
     return S.drain(S.first_seen(stream(t)).select("research_id", "ts"), "append", "dedupe")
 
 
-@query("stream_capture_gate", "event_id:i accepted:b", "SELECT event_id, research_id IN (SELECT research_id FROM crf_forms) AS accepted FROM case_events WHERE action IN ('podoscope','thermal')")
+def _slices(t: Inputs, n: int = 3):
+    """The raw events as they arrive: n parts one after the other, a row up to nine minutes after its time, so that neighbours change places."""
+    events = t.table("events").withColumn("came", F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") % 10 * 60_000_000)
+    ends = events.select(F.col("came").cast("double")).approxQuantile("came", [k / n for k in range(1, n)], 0.001)
+    for low, high in zip([None, *ends], [*ends, None]):
+        part = events if low is None else events.where(F.col("came") > low)
+        yield (part if high is None else part.where(F.col("came") <= high)).drop("came")
+
+
+def over_slices(t: Inputs, run):
+    """Add the slices to a folder one by one and run the stream after each; the last run's result counts."""
+    path = new_folder(t.spark, "arrivals")
+    for part in _slices(t):
+        part.write.mode("append").parquet(path)
+        result = run(S.event_stream(t.spark, path))
+    return result
+
+
+def drained(t: Inputs, build, mode: str, label: str):
+    out, progress = new_folder(t.spark, label), new_folder(t.spark, f"{label}-progress")
+    return over_slices(t, lambda events: S.drain(build(events), mode, label, progress, out))
+
+
+# a row is final when its time, rounded up to milliseconds, is below the watermark: the newest time less ten minutes
+_FINAL = "(epoch_us(ts) + 999) // 1000 < (SELECT epoch_us(max(ts)) // 1000 FROM {source}) - 600000"
+
+
+@query("stream_capture_gate", "event_id:i accepted:b",
+       f"""SELECT event_id, coalesce(form, false) AS accepted FROM (SELECT *, last_value(CASE action WHEN 'crf_save' THEN true WHEN 'crf_delete' THEN false END IGNORE NULLS) OVER (
+            PARTITION BY research_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS form FROM case_events WHERE action <> 'commit') WHERE action IN ('podoscope','thermal')
+            AND {_FINAL.format(source="case_events WHERE action <> 'commit'")}""")
 def _(t):
-    return S.drain(S.capture_gate(stream(t), cases_q.forms(t)).select("event_id", "accepted"), "append", "gate")
+    """A capture counts only if its case has a form at that time; the last ten minutes are not final yet."""
+    return drained(t, S.capture_gate, "append", "gate")
 
 
 @query("stream_case_state", "research_id:s has_form:b has_podo:b has_thermal:b status:s",
@@ -59,10 +90,13 @@ def _(t):
             CASE WHEN NOT c THEN 'open' WHEN p AND h THEN 'complete' WHEN p OR h THEN 'partial' ELSE 'rejected' END AS status FROM (
             SELECT research_id, bool_or(action='podoscope') AS p, bool_or(action='thermal') AS h, bool_or(action='commit') AS c FROM case_events GROUP BY research_id)""")
 def _(t):
-    return S.case_state(stream(t))
+    path = new_folder(t.spark, "case-state")
+    return over_slices(t, lambda events: S.case_state(events, path, merge_every=2))
 
 
-@query("stream_early_stop", "research_id:s stop_epoch:i best_epoch:i best_loss:f", "SELECT research_id, stop_epoch, best_epoch, best_loss FROM early_stop_rows WHERE stop_epoch IS NOT NULL")
+@query("stream_early_stop", "research_id:s stop_epoch:i best_epoch:i best_loss:f",
+       f"""SELECT research_id, stop_epoch, best_epoch, best_loss FROM early_stop_rows JOIN (SELECT research_id, epoch AS stop_epoch FROM loss_rows WHERE {_FINAL.format(source="case_events")})
+            USING (research_id, stop_epoch)""")
 def _(t):
-    losses = stream(t).select("research_id", "ts", "event_id", F.col("value").alias("loss"))
-    return S.drain(S.early_stop_events(losses, 5), "append", "stops")
+    losses = lambda events: events.select("research_id", "ts", "event_id", F.col("value").alias("loss"))
+    return drained(t, lambda events: S.early_stop_events(losses(events), 5), "append", "stops")

@@ -115,16 +115,58 @@ def _at(minute):
 def test_state_over_several_batches_equals_batch(spark, tmp_path):
     files = [[(1, _at(1), 1, "signup", 5.0, "{}"), (2, _at(2), 2, "click", 4.0, "{}")], [(3, _at(3), 1, "view", 4.0, "{}"), (4, _at(4), 1, "purchase", 4.0, "{}")],
              [(5, _at(5), 1, "click", 4.0, "{}"), (6, _at(6), 2, "purchase", 3.0, "{}"), (7, _at(7), 1, "error", 9.0, "{}")]]
-    rows = {r.research_id: r for r in S.case_state(_events(spark, tmp_path, files)).collect()}
-    assert rows["P0001"].status == "complete" and not rows["P0001"].has_form and rows["P0002"].status == "partial"
-
-
-def test_early_stop_state_survives_batches(spark, tmp_path):
-    losses = [5, 4, 4, 4, 4, 1]
-    files = [[(i, _at(i), 1, "view", float(v), "{}")] for i, v in enumerate(losses)]
-    stream = _events(spark, tmp_path, files).select("research_id", "ts", "event_id", F.col("value").alias("loss"))
-    rows = S.drain(S.early_stop_events(stream, 3), "append", "t").collect()
-    assert [(r.stop_epoch, r.best_epoch, r.best_loss) for r in rows] == [(5, 2, 4.0)]
+    for merge_every in (1, 2, 8):
+        rows = {r.research_id: r for r in S.case_state(_events(spark, tmp_path / str(merge_every), files), merge_every=merge_every).collect()}
+        assert rows["P0001"].status == "complete" and not rows["P0001"].has_form and rows["P0002"].status == "partial"
+
+
+def test_state_is_compacted_and_batches_may_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "state")
+    make = lambda n: spark.createDataFrame([(f"P{n % 3}", dt.datetime(2024, 1, 1, 0, n), n, "thermal" if n % 2 else "crf_save")], "research_id string, ts timestamp, event_id bigint, action string")
+    for n in range(7):
+        S.merge_batch(make(n), n, path, 3)
+        S.merge_batch(make(n), n, path, 3)  # again, as after a failure
+    assert S._pointer(spark, path)[:2] == (6, 5)
+    before = sorted(S._layers(spark, path, S._pointer(spark, path), 3).collect())
+    assert len(before) == 6 and len(spark.read.schema(S._STATE).parquet(f"{path}/base/{S._pointer(spark, path)[2]}").inputFiles()) >= 1
+    make(7).withColumn("kind", F.lit("thermal")).write.mode("overwrite").parquet(f"{path}/delta/{7 % 3}")  # broke off before its pointer
+    assert sorted(S._layers(spark, path, S._pointer(spark, path), 3).collect()) == before
+    S.merge_batch(make(2), 2, path, 3)  # an old batch
+    assert sorted(S._layers(spark, path, S._pointer(spark, path), 3).collect()) == before
+    assert S.read_case_state(spark, str(tmp_path / "none")).count() == 0
+
+
+def _losses(events):
+    return events.select("research_id", "ts", "event_id", F.col("value").alias("loss"))
+
+
+def test_early_stop_numbers_epochs_by_time(spark, tmp_path):
+    losses = [5, 4, 4, 4, 4, 1, 1]
+    rows = [(i, _at(i), 1, "view", float(v), "{}") for i, v in enumerate(losses)] + [(50, _at(60), 2, "view", 1.0, "{}")]
+    order = [2, 0, 1, 4, 3, 6, 5, 7]
+    stops = []
+    for n, files in enumerate(([[r] for r in rows], [[rows[i]] for i in order], [[rows[i] for i in order]])):
+        stream = _losses(_events(spark, tmp_path / str(n), files))
+        stops.append([(r.research_id, r.stop_epoch, r.best_epoch, r.best_loss) for r in S.drain(S.early_stop_events(stream, 3, "5 minutes"), "append", "t").collect()])
+    assert stops == [[("P0001", 5, 2, 4.0)]] * 3
+
+
+def test_finished_runs_are_forgotten(spark, tmp_path):
+    rows = [(i, _at(i), 1, "view", 1.0, "{}") for i in range(3)] + [(9, _at(300), 2, "view", 1.0, "{}")] + [(20 + i, _at(400 + i), 1, "view", 1.0, "{}") for i in range(3)] + [(30, _at(900), 2, "view", 1.0, "{}")]
+    found = []
+    for n, (forget, files) in enumerate((("1 hour", [[r] for r in rows]), ("1 hour", [rows]), ("365 days", [rows[:5], rows[5:]]))):
+        stream = _losses(_events(spark, tmp_path / str(n), files))
+        found.append(S.drain(S.early_stop_events(stream, 2, "1 minute", forget), "append", "t").where("research_id = 'P0001'").count())
+    assert found == [2, 2, 1]
+
+
+def test_captures_need_a_form_at_their_time(spark, tmp_path):
+    rows = [(1, _at(1), 1, "view", 0.0, "{}"), (2, _at(2), 1, "signup", 0.0, "{}"), (3, _at(3), 1, "view", 0.0, "{}"), (4, _at(4), 1, "error", 0.0, "{}"), (5, _at(5), 1, "click", 0.0, "{}"),
+            (6, _at(6), 1, "signup", 0.0, "{}"), (7, _at(6), 1, "click", 0.0, "{}"), (8, _at(3), 2, "click", 0.0, "{}"), (9, _at(99), 3, "view", 0.0, "{}")]
+    want = {1: False, 3: True, 5: False, 7: True, 8: False}
+    for n, files in enumerate(([rows], [[r] for r in rows], [[rows[i]] for i in (1, 0, 3, 2, 7, 4, 6, 5, 8)])):
+        out = S.drain(S.capture_gate(_events(spark, tmp_path / str(n), files)), "append", "t")
+        assert {r.event_id: r.accepted for r in out.collect()} == want and out.count() == len(want)
 
 
 def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
