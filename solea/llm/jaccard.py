@@ -116,12 +116,12 @@ def _keyed_texts(documents: DataFrame, keys: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").join(F.broadcast(keys) if small else keys, "doc_id").select("node", "set_key", "text")
 
 
-def _index_tokens(texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _index_tokens(texts: DataFrame, width: int, percent: int, lead: float) -> DataFrame:
     """(node, n, lead, extra, sketch): tokens of the leading share, and the further ones that a short set needs to fill its prefix."""
 
     @F.pandas_udf("n long, lead array<long>, extra array<long>, " + ", ".join(f"{c} long" for c in SKETCH) + ", own_key binary")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        limit = np.uint64(int(leading_share(percent) * 2**64))
+        limit = np.uint64(min(int(lead * 2**64), 2**64 - 1))
         for batch in slices(batches):
             rows = []
             for text in batch:
@@ -199,15 +199,18 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a != b").distinct()
 
 
-def similar_classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def similar_classes(documents: DataFrame, width: int = 5, percent: int = 80, lead: float | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document.
 
-    Links join documents with 100 * |intersection| >= percent * |union| of their sets of ``width``-word shingles.
+    Links join documents with 100 * |intersection| >= percent * |union| of their sets of ``width``-word shingles. ``lead`` is the share of the hash range
+    whose tokens are counted and lead the first order (``leading_share`` unless given): a larger one costs more counting, and its prefixes hold rarer tokens, so that
+    lists are shorter and fewer pairs are compared. It changes no result.
     """
+    lead = leading_share(percent) if lead is None else lead
     spark = documents.sparkSession
     every, every_path = store(_digests(documents, width), "shingle-digests")
     classes, classes_path = store(_class_nodes(every), "classes")
-    tokens, tokens_path = store(_index_tokens(_keyed_texts(documents, classes), width, percent), "shingles")
+    tokens, tokens_path = store(_index_tokens(_keyed_texts(documents, classes), width, percent, lead), "shingles")
     prefixes, prefixes_path = store(_prefix_lists(tokens, percent), "prefixes")
     shared = prefixes.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
     lists, lists_path = store(prefixes.join(shared, "token").join(tokens.select("node", "n", *SKETCH), "node").distinct(), "lists")

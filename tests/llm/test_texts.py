@@ -386,3 +386,9 @@ def test_pages_against_their_articles(spark):
         text = "\n".join(b for b in blocks if b)
         assert found[r["page_id"]]["text"] == text and found[r["page_id"]]["n_chars"] == len(text)
     assert html_text.extract_main_text(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("lead", [0.05, 1.0])
+def test_leading_share_changes_no_result(documents, lead):
+    at = lambda df: sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in df.collect())
+    assert at(similar_classes(documents, width=5, percent=80, lead=lead)) == at(similar_classes(documents, width=5, percent=80))
