@@ -28,7 +28,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words link with nothing and stay, and so do those without an id. Rows of equal id and text count once.
     """
-    groups = similar_classes(docs, width=5, percent=80)
+    groups = similar_classes(docs, width=5, percent=80, lead=0.45)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     once = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return once.union(docs.where("doc_id IS NULL"))
