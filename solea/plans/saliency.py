@@ -33,17 +33,34 @@ def _hits(method: str, high: str) -> str:
         THEN 1 ELSE 0 END AS hit FROM grown_boxes b WHERE b.image_id IN (SELECT image_id FROM {high})"""
 
 
+# The leading singular vector without a solver: the channels' Gram matrix squared again and again, scaled by its trace, tends to a multiple of v v'.
+_SQUARINGS = 20
+EXTRA_CHECK_VIEWS.update({
+    "act_centred": "SELECT image_id, ch, h, w, act - avg(act) OVER (PARTITION BY image_id, ch) AS a FROM activations",
+    "gram_0": "SELECT x.image_id, x.ch AS i, y.ch AS j, sum(x.a*y.a) AS g FROM act_centred x JOIN act_centred y USING (image_id, h, w) GROUP BY 1, 2, 3",
+    **{f"gram_{n + 1}": f"""SELECT x.image_id, x.i, y.j, sum(x.g*y.g)/any_value(t.t*t.t) AS g FROM gram_{n} x JOIN gram_{n} y ON x.image_id=y.image_id AND x.j=y.i
+        JOIN (SELECT image_id, sum(g) FILTER (i=j) AS t FROM gram_{n} GROUP BY image_id) t ON t.image_id=x.image_id GROUP BY x.image_id, x.i, y.j""" for n in range(_SQUARINGS)},
+    "eigen_raw": f"""SELECT image_id, h, w, sum(a*g) AS u FROM act_centred JOIN gram_{_SQUARINGS} USING (image_id) JOIN (
+        SELECT image_id, arg_max(i, g) AS best FROM gram_{_SQUARINGS} WHERE i=j GROUP BY image_id) USING (image_id) WHERE ch=i AND j=best GROUP BY image_id, h, w""",
+    "eigen_unit": "SELECT image_id, h, w, u/sqrt(sum(u*u) OVER (PARTITION BY image_id)) AS u FROM eigen_raw",
+    "eigen_signed": """SELECT e.image_id, h, w, CASE WHEN s >= 0 THEN u ELSE -u END AS u FROM eigen_unit e JOIN (
+        SELECT image_id, arg_max(u, round(abs(u), 12)) AS s FROM eigen_unit GROUP BY image_id) USING (image_id)""",
+    "eigen_rows": """SELECT image_id, h, w, (u - min(u) OVER (PARTITION BY image_id))/(max(u) OVER (PARTITION BY image_id) - min(u) OVER (PARTITION BY image_id) + 1e-8) AS cam FROM eigen_signed""",
+})
+CHECK_ONCE.update({"act_centred", "eigen_raw", "eigen_unit", "eigen_signed", "eigen_rows", *(f"gram_{n}" for n in range(_SQUARINGS + 1))})
+
 EXTRA_CHECK_VIEWS.update({
     "grad_maps": "SELECT a.*, b.act AS grad FROM activations a JOIN activations b ON b.image_id=a.image_id+1 AND b.ch=a.ch AND b.h=a.h AND b.w=a.w",
     "cam_rows": _cam("SELECT image_id, ch, avg(grad) AS weight FROM grad_maps GROUP BY ALL"),
     "campp_rows": _cam("""SELECT image_id, ch, sum(grad*grad/CASE WHEN abs(2*grad*grad+total*grad*grad*grad)>1e-8 THEN 2*grad*grad+total*grad*grad*grad ELSE 1e-8 END*greatest(grad,0)) AS weight
         FROM (SELECT *, sum(act) OVER (PARTITION BY image_id, ch) AS total FROM grad_maps) GROUP BY ALL"""),
     "cam_up": _up("cam_rows"), "campp_up": _up("campp_rows"), "cam_high": _high("cam_up"), "campp_high": _high("campp_up"),
+    "eigen_up": _up("eigen_rows"), "eigen_high": _high("eigen_up"),
     "grown_boxes": """SELECT *, greatest(0, CAST(trunc(x*8/orig_w) AS INT)-1) AS bx1, greatest(0, CAST(trunc(y*8/orig_h) AS INT)-1) AS by1,
         least(7, CAST(trunc((x+w)*8/orig_w) AS INT)+1) AS bx2, least(7, CAST(trunc((y+h)*8/orig_h) AS INT)+1) AS by2 FROM boxes""",
-    "hit_rows": _hits("GradCAM", "cam_high") + " UNION ALL " + _hits("GradCAM++", "campp_high"),
+    "hit_rows": _hits("GradCAM", "cam_high") + " UNION ALL " + _hits("GradCAM++", "campp_high") + " UNION ALL " + _hits("EigenCAM", "eigen_high"),
 })
-CHECK_ONCE.update({"cam_rows", "campp_rows", "cam_up", "campp_up", "cam_high", "campp_high"})
+CHECK_ONCE.update({"cam_rows", "campp_rows", "cam_up", "campp_up", "cam_high", "campp_high", "eigen_up", "eigen_high"})
 
 
 def maps(t: Inputs):
@@ -66,7 +83,7 @@ def _(t):
     return S.grad_cam_pp(maps(t))
 
 
-@query("eigen_cam", HW)
+@query("eigen_cam", HW, "SELECT * FROM eigen_rows")
 def _(t):
     return S.eigen_cam(t.activations)
 
@@ -83,7 +100,7 @@ def _(t):
 
 def hits(t: Inputs):
     m = maps(t)
-    return S.pointing_game({"GradCAM": S.grad_cam(m), "GradCAM++": S.grad_cam_pp(m)}, grown(t), 8)
+    return S.pointing_game({"GradCAM": S.grad_cam(m), "GradCAM++": S.grad_cam_pp(m), "EigenCAM": S.eigen_cam(t.activations)}, grown(t), 8)
 
 
 @query("pointing_game", "method:s box_id:i hit:i", "SELECT * FROM hit_rows")
