@@ -391,4 +391,4 @@ def test_pages_against_their_articles(spark):
 @pytest.mark.parametrize("lead", [0.05, 1.0])
 def test_leading_share_changes_no_result(documents, lead):
     at = lambda df: sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in df.collect())
-    assert at(similar_classes(documents, width=5, percent=80, lead=lead)) == at(similar_classes(documents, width=5, percent=80))
+    assert at(jaccard.similar_classes(documents, width=5, percent=80, lead=lead)) == at(jaccard.similar_classes(documents, width=5, percent=80))
