@@ -8,6 +8,8 @@ vector machine becomes a linear one on random Fourier features.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import (
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from solea.operators import metrics as M
 from solea.operators.features import pick
 from solea.operators.neighbours import nearest, smote
-from solea.session import cut_lineage
+from solea.session import cut_lineage, release, store
 
 SEED = 42
 
@@ -182,31 +184,70 @@ def feature_ranking(train: DataFrame, method: str, trees: int = 200) -> DataFram
     return df.withColumn("rank", F.row_number().over(order))
 
 
-def cross_validate(wide: DataFrame, features: list[int], classifier: str) -> DataFrame:
-    """Out-of-fold probabilities; the minority is filled up inside every training part only."""
-    data = cut_lineage(pick(wide, features))
-    out = None
+def filled_folds(wide: DataFrame, features: list[int]) -> tuple[list[tuple[int, DataFrame, DataFrame]], list[str]]:
+    """(fold, training part, validation part) over the chosen features, stored once for all classifiers, and the folders to release.
+
+    The minority is filled up inside every training part only.
+    """
+    data, path = store(pick(wide, features), "fold")
+    folds, paths = [], [path]
     for fold in sorted(r.fold for r in data.select("fold").distinct().collect()):
-        train, val = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
-        filled = cut_lineage(smote(train).select("id", "y", "x"))
-        scored = CLASSIFIERS[classifier](filled, val).withColumn("fold", F.lit(fold))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+        filled, path = store(smote(data.filter(F.col("fold") != fold)).select("id", "y", "x"), "filled")
+        folds.append((fold, filled, data.filter(F.col("fold") == fold)))
+        paths.append(path)
+    return folds, paths
+
 
+def _scored(folds: list[tuple[int, DataFrame, DataFrame]], classifier: str) -> DataFrame:
+    parts = [CLASSIFIERS[classifier](filled, val).withColumn("fold", F.lit(fold)) for fold, filled, val in folds]
+    return reduce(DataFrame.unionByName, parts)
 
-def search_grid(wide: DataFrame, rankings: dict[str, list[int]], classifiers: list[str], sizes: list[int]) -> DataFrame:
+
+def cross_validate(wide: DataFrame, features: list[int], classifier: str) -> DataFrame:
+    """Out-of-fold probabilities."""
+    return _scored(filled_folds(wide, features)[0], classifier)
+
+
+_SEARCHED = "loop int, ranking string, classifier string, n_features int, fold int, auc double"
+
+
+def search_folds(wide: DataFrame, rankings: dict[str, list[int]], classifiers: list[str], sizes: list[int], workers: int = 4, done: DataFrame | None = None) -> DataFrame:
+    """AUC of every fold for every ranking, classifier and number of top features, in loop order.
+
+    The folds of a feature set are filled once and shared by all classifiers, and by rankings that agree on the set's order. Fits are Spark jobs that
+    run side by side from ``workers`` threads. Only one number a fold comes back. Rows of an earlier, broken-off search are taken from ``done``
+    instead of fitted again.
+    """
+    spark = wide.sparkSession
+    grid = [(method, name, size) for method in rankings for name in classifiers for size in sizes]
+    known = {} if done is None else {(r.ranking, r.classifier, r.n_features): [] for r in done.select("ranking", "classifier", "n_features").distinct().collect()}
+    for r in () if done is None else done.collect():
+        known[r.ranking, r.classifier, r.n_features].append((r.fold, r.auc))
+    sets: dict[tuple[int, ...], list[tuple[str, str, int]]] = {}
+    for method, name, size in grid:
+        if (method, name, size) not in known:
+            sets.setdefault(tuple(rankings[method][:size]), []).append((method, name, size))
+
+    def fitted(folds, name: str) -> list[tuple[int, float]]:
+        rows = M.auc(_scored(folds, name).withColumnRenamed("prob", "p"), ["fold"]).collect()
+        return [(r.fold, 0.0 if r.auc is None else r.auc) for r in rows]
+
+    with ThreadPoolExecutor(workers) as pool:
+        for features, wanted in sets.items():
+            folds, paths = filled_folds(wide, list(features))
+            names = sorted({name for _, name, _ in wanted})
+            found = dict(zip(names, pool.map(lambda name: fitted(folds, name), names)))
+            known |= {key: found[key[1]] for key in wanted}
+            release(spark, *paths)
+    rows = [(loop, *key[:2], key[2], fold, float(auc)) for loop, key in enumerate(grid) for fold, auc in sorted(known[key])]
+    return spark.createDataFrame(rows, _SEARCHED)
+
+
+def search_grid(wide: DataFrame, rankings: dict[str, list[int]], classifiers: list[str], sizes: list[int], workers: int = 4, done: DataFrame | None = None) -> DataFrame:
     """Mean and spread of fold AUC for every ranking, classifier and number of top features, in loop order."""
-    out, n = None, 0
-    for method, ranked in rankings.items():
-        for name in classifiers:
-            for size in sizes:
-                preds = cross_validate(wide, ranked[:size], name).withColumnRenamed("prob", "p")
-                fold_auc = M.auc(preds, ["fold"]).withColumn("auc", F.coalesce("auc", F.lit(0.0)))
-                row = fold_auc.agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc")).select(
-                    F.lit(n).alias("loop"), F.lit(method).alias("ranking"), F.lit(name).alias("classifier"), F.lit(size).alias("n_features"),
-                    F.bround("mean_auc", 4).alias("mean_auc"), F.bround("std_auc", 4).alias("std_auc"))
-                out, n = (row if out is None else out.unionByName(row)), n + 1
-    return out
+    folds = search_folds(wide, rankings, classifiers, sizes, workers, done)
+    means = folds.groupBy("loop", "ranking", "classifier", "n_features").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"))
+    return means.withColumns({c: F.bround(c, 4) for c in ("mean_auc", "std_auc")})
 
 
 def final_fit_score(train: DataFrame, test: DataFrame, features: list[int], classifier: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from solea.operators import features as X
 from solea.operators import learners as L
+from solea.operators.metrics import best_combination
 from solea.operators.neighbours import smote
 from solea.plans.registry import EXTRA_CHECK_VIEWS, Inputs, query
 from solea.plans.splits import _hash
@@ -101,15 +102,23 @@ for _name, _fit in (
     _classifier(_name, _fit)
 
 
+def searched(t: Inputs):
+    """The training part's search table, with the ranking it used. The README says why it is a part of the whole grid."""
+    train, test = parts(t)
+    train = L.cut_lineage(train)
+    filled = L.cut_lineage(smote(train).select("id", "y", "x"))
+    rankings = {"RF": [r.feature for r in L.feature_ranking(filled, "RF").orderBy("rank").collect()]}
+    return train, test, rankings, L.search_grid(train, rankings, ["LogisticRegression", "LDA"], [5, 20])
+
+
 @query("search_grid", "loop:i ranking:s classifier:s n_features:i mean_auc:f std_auc:f")
 def _(t):
-    train, _test = parts(t)
-    filled = L.cut_lineage(smote(train).select("id", "y", "x"))
-    ranked = [r.feature for r in L.feature_ranking(filled, "RF").orderBy("rank").collect()]
-    return L.search_grid(train, {"RF": ranked}, ["LogisticRegression", "LDA"], [5])
+    return searched(t)[3]
 
 
 @query("final_fit_score", "classifier:s sens:f spec:f ppv:f npv:f f1:f auc:f")
 def _(t):
-    train, test = parts(t)
-    return L.final_fit_score(train, test, list(range(64)), "LogisticRegression")
+    """The best combination of the search, fitted again on the whole training part."""
+    train, test, rankings, found = searched(t)
+    best = best_combination(found, ["loop"]).first()
+    return L.final_fit_score(train, test, rankings[best.ranking][: best.n_features], best.classifier)

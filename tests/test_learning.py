@@ -70,6 +70,25 @@ def test_classifiers_separate_clear_classes(spark, name):
     assert np.mean(right) >= 0.95
 
 
+def test_search_shares_folds_and_goes_on_after_a_break(spark, monkeypatch):
+    y = np.array([0, 0, 1] * 20)
+    x = RNG.normal(size=(60, 3)) + y[:, None] * np.array([1.5, 0.5, 0.0])
+    data, rankings = wide(spark, x, y).withColumn("fold", F.pmod(F.floor(F.col("id") / 3), F.lit(2)).cast("int")), {"A": [0, 1, 2], "B": [0, 2, 1]}
+    asked = []
+    filled = L.filled_folds
+    monkeypatch.setattr(L, "filled_folds", lambda rows, features: asked.append(tuple(features)) or filled(rows, features))
+    whole = L.search_folds(data, rankings, ["LDA"], [1, 2])
+    assert asked == [(0,), (0, 1), (0, 2)]  # one set of folds where rankings agree
+    rows = [tuple(r) for r in whole.orderBy("loop", "fold").collect()]
+    assert [r[:4] for r in rows[::2]] == [(0, "A", "LDA", 1), (1, "A", "LDA", 2), (2, "B", "LDA", 1), (3, "B", "LDA", 2)] and [r[4] for r in rows] == [0, 1] * 4
+    asked.clear()
+    assert [tuple(r) for r in L.search_folds(data, rankings, ["LDA"], [1, 2], done=whole.where("loop < 3")).orderBy("loop", "fold").collect()] == rows and asked == [(0, 2)]
+    preds = L.cross_validate(data, [0, 2], "LDA").collect()
+    for fold, auc in ((r[4], r[5]) for r in rows[6:]):
+        p, n = ([q.prob for q in preds if q.fold == fold and q.y == k] for k in (1, 0))
+        assert auc == pytest.approx(np.mean([(a > b) + (a == b) / 2 for a in p for b in n]))
+
+
 def test_patients_stay_together_and_classes_spread(spark):
     rows = [(i, i // 2, int(i // 2 % 3 == 0)) for i in range(400)]
     images = spark.createDataFrame(rows, "image_id bigint, subject bigint, y int")
