@@ -12,7 +12,8 @@ as many bits as their sets differ in tokens, so a pair whose sketches are too fa
 Equal sets form one class and only class representatives go on. Links are looked for component by component: in each index list
 every member is compared with one hub, verified links join members to groups that are surely connected, and only pairs across such groups remain
 for the last, exhaustive step: within a list, members outside its largest group against all others. So a list of thousands of near copies costs about as
-many comparisons as it has members, and no pair that could join two components is left out.
+many comparisons as it has members, and no pair that could join two components is left out. The last step leaves a pair out of a list if an earlier list
+has both: each member carries the first ``EARLY`` tokens of its prefix, and two that share one of them before the list's own token met there.
 
 Defined cases: null or wordless texts have no shingles and link with nothing; fewer words than a shingle form one token; repeated rows share a class;
 an empty table gives an empty result. Only the id and the text are read.
@@ -34,6 +35,7 @@ from solea.session import release, store
 
 BROADCAST_ROWS = 1_000_000  # keys of a side that may be broadcast after counting; beyond it the join is shuffled
 HUB_ROUNDS = 2
+EARLY = 8  # first prefix tokens that the last step carries, to compare a pair once and not in each of its lists
 SKETCH = [f"s{i}" for i in range(8)]
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -182,6 +184,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.where(100 * common >= percent * (F.size("tokens_a") + F.size("tokens_b") - common)).select("a", "b")
 
 
+def _early_tokens(lists: DataFrame) -> DataFrame:
+    """(node, early): the first tokens of each prefix with their places, at most ``EARLY``; other nodes' lists are not touched."""
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("place", "token"))
+    first = lists.select("node", "place", "token", rank.alias("rank")).where(F.col("rank") <= EARLY)
+    return first.groupBy("node").agg(F.collect_list(F.struct("place", "token")).alias("early"))
+
+
 def _hub_labels(links: DataFrame) -> DataFrame:
     """(node, label): of a node and its neighbours the one with most links. Nodes of equal label are connected; more is not needed midway."""
     both = links.union(links.select("b", "a")).toDF("node", "other")
@@ -232,13 +241,16 @@ def similar_classes(documents: DataFrame, width: int = 5, percent: int = 80, lea
             pairs = _ordered(pairs, "node", "hub")
         else:
             # exhaustive: members outside the largest component of their list against all members of other components
+            before = F.transform(F.filter("early", lambda e: e["place"] < F.col("place")), lambda e: e["token"])
+            labelled = labelled.join(_early_tokens(lists), "node").withColumn("before", before).drop("early")
             sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("members"))
             largest = sizes.groupBy("token").agg(F.max(F.struct("members", "label")).alias("m")).select("token", F.col("m.label").alias("main"))
             outside = labelled.join(largest, "token").where("label != main").select(
-                "token", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("place").alias("x_place"), *[F.col(c).alias(f"o_{c}") for c in SKETCH])
+                "token", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("place").alias("x_place"), F.col("before").alias("x_before"), *[F.col(c).alias(f"o_{c}") for c in SKETCH])
             left = F.least(F.col("n") - F.col("place"), F.col("x_n") - F.col("x_place"))
             needed = F.ceil(percent * (F.col("n") + F.col("x_n")) / (100 + percent))
-            pairs = labelled.join(outside, "token").where("label != x_label").where(_sizes_fit("n", "x_n", percent)).where(left >= needed).where(_sketches_fit("o_", "n", "x_n", percent))
+            pairs = labelled.join(outside, "token").where("label != x_label").where(_sizes_fit("n", "x_n", percent)).where(left >= needed)
+            pairs = pairs.where(_sketches_fit("o_", "n", "x_n", percent)).where(~F.arrays_overlap("before", "x_before"))
             pairs = _ordered(pairs, "node", "x")
         pairs, pairs_path = store(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
