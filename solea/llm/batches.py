@@ -14,3 +14,10 @@ def slices(batches: Iterator, rows: int = SLICE_ROWS) -> Iterator:
         for first in range(0, max(1, len(columns[0])), rows):
             piece = tuple(c.iloc[first : first + rows] for c in columns)
             yield piece if isinstance(batch, tuple) else piece[0]
+
+
+def arrow_slices(batches: Iterator, rows: int = SLICE_ROWS) -> Iterator[tuple[list, ...]]:
+    """Tuples of Arrow arrays as Python lists of at most ``rows`` rows; what is not yet in a slice stays packed."""
+    for batch in batches:
+        for first in range(0, max(1, len(batch[0])), rows):
+            yield tuple(c.slice(first, rows).to_pylist() for c in batch)

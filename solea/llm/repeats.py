@@ -23,11 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solea.llm.batches import slices
+from solea.llm.batches import arrow_slices, slices
 from solea.session import release, store
 
 GRAM = 64
@@ -138,25 +140,29 @@ def _small_side(df: DataFrame, items: Column | None = None) -> DataFrame:
     return F.broadcast(df) if counted <= BROADCAST_ROWS else df
 
 
-def _merged(spans: str) -> Column:
-    """Maximal runs of a text's covered bytes."""
-
-    @F.pandas_udf("array<struct<first:int,end:int>>")
-    def merged(spans: pd.Series) -> pd.Series:
-        out = []
-        for own in spans:
-            first, end = np.array([(x["first"], x["end"]) for x in own]).T
-            order = np.argsort(first, kind="stable")
-            first, end = first[order], np.maximum.accumulate(end[order])
-            new = np.flatnonzero(np.append(True, first[1:] > end[:-1]))
-            out.append([{"first": int(a), "end": int(b)} for a, b in zip(first[new], end[np.append(new[1:], len(end)) - 1])])
-        return pd.Series(out, dtype=object)
+def _merged(spans: Column) -> Column:
+    """Maximal runs of each text's covered bytes; a batch stays in Arrow buffers, however many spans its texts have."""
+
+    @F.arrow_udf("array<struct<first:int,end:int>>")
+    def merged(spans: pa.Array) -> pa.Array:
+        text = np.repeat(np.arange(len(spans)), pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+        flat = spans.flatten()
+        first, end = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "end"))
+        order = np.lexsort((first, text))
+        text, first, end = text[order], first[order], end[order]
+        reach = np.maximum.accumulate((text << 32) + end) - (text << 32)
+        new = np.ones(len(first), bool)
+        new[1:] = (first[1:] > reach[:-1]) | (text[1:] != text[:-1])
+        at = np.flatnonzero(new)
+        runs = pa.StructArray.from_arrays([pa.array(first[at], pa.int32()), pa.array(reach[np.append(at, len(first))[1:] - 1], pa.int32())], ["first", "end"])
+        bounds = np.append(0, np.cumsum(np.bincount(text[at], minlength=len(spans))))
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), runs)
 
     return merged(spans)
 
 
 def _text_key(text: Column) -> Column:
-    return F.unhex(F.md5(text.cast("binary")))
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
 def _electors(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -174,9 +180,11 @@ def _electors(texts: DataFrame, length: int, gram: int) -> DataFrame:
 def _segments(texts: DataFrame, length: int) -> DataFrame:
     """(d, starts, gram, anchor, key, segment): the distinct segments of every text around its shared k-grams."""
 
-    @F.pandas_udf("array<struct<key:binary,gram:long,anchor:int,starts:array<int>,segment:binary>>")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for text, found in slices(batches):
+    kind = pa.list_(pa.struct({"key": pa.binary(), "gram": pa.int64(), "anchor": pa.int32(), "starts": pa.list_(pa.int32()), "segment": pa.binary()}))
+
+    @F.arrow_udf("array<struct<key:binary,gram:long,anchor:int,starts:array<int>,segment:binary>>")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, found in arrow_slices(batches):
             out = []
             for t, places in zip(text, found):
                 raw, own = t.encode("utf-8", "surrogatepass"), {}
@@ -186,7 +194,7 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
                     key = xxhash.xxh3_128_digest(piece, seed=place - low)
                     own.setdefault(key, (int(x["gram"]), place - low, [], piece))[2].append(low)
                 out.append([{"key": k, "gram": g, "anchor": a, "starts": s, "segment": p} for k, (g, a, s, p) in own.items()])
-            yield pd.Series(out, dtype=object)
+            yield pa.array(out, kind)
 
     return texts.select("d", F.explode(cut("text", "found")).alias("x")).select("d", "x.*")
 
@@ -210,9 +218,10 @@ def _ordered_runs(distinct: DataFrame, length: int, gram: int) -> DataFrame:
 def _counted_runs(distinct: DataFrame, length: int) -> DataFrame:
     """The same for k-grams with very many distinct segments: every string by its digest, without bringing a group together."""
 
-    @F.pandas_udf("array<binary>")
-    def strings(segments: pd.Series) -> pd.Series:
-        return pd.Series([[xxhash.xxh3_128_digest(s[i : i + length]) for i in range(len(s) - length + 1)] for s in segments], dtype=object)
+    @F.arrow_udf("array<binary>")
+    def strings(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for (segments,) in arrow_slices((batch,) for batch in batches):
+            yield pa.array([[xxhash.xxh3_128_digest(s[i : i + length]) for i in range(len(s) - length + 1)] for s in segments], pa.list_(pa.binary()))
 
     each = distinct.select("key", "copies", F.posexplode(strings("segment")).alias("start", "string"))
     twice = each.groupBy("string").agg(F.sum("copies").alias("met")).where("met > 1").select("string")
@@ -251,7 +260,7 @@ def remove_repeats(documents: DataFrame, length: int = 200, gram: int = GRAM) ->
 
     hit = occurrences.select("d", "key", "starts").join(runs, "key").select("d", F.explode("starts").alias("low"), "run")
     spans = hit.groupBy("d").agg(F.collect_set(F.struct((F.col("low") + F.col("run.first")).alias("first"), (F.col("low") + F.col("run.last") + length).alias("end"))).alias("spans"))
-    spans = spans.select("d", _merged("spans").alias("spans"))
+    spans = spans.select("d", _merged(F.col("spans")).alias("spans"))
     spans, spans_path = store(spans, "spans")
     release(spark, occurrences_path, distinct_path, groups_path, runs_path)
 
