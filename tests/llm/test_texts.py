@@ -8,6 +8,7 @@ from fractions import Fraction
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from solea.llm import bpe, html_text, jaccard, mixing, pii, pseudo_likelihood, quality, repeats
@@ -149,6 +150,38 @@ def test_repeats_against_all_strings(spark, monkeypatch, group_rows):
     assert [found[i] for i in range(len(texts))] == brute_repeats([(t or "").encode() for t in texts], 200)
 
 
+def test_spans_are_merged_to_maximal_runs(spark):
+    random = np.random.default_rng(8)
+    made = [[(int(a), int(a + n)) for a, n in zip(random.integers(0, 3000, k), random.integers(1, 60, k))] for k in (1, 2, 40, 300, 5)]
+    rows = spark.createDataFrame(list(enumerate(made)), "id int, spans array<struct<first:int,end:int>>")
+    found = dict(tuple(r) for r in rows.select("id", repeats._merged(F.col("spans"))).collect())
+    for i, spans in enumerate(made):
+        covered = np.zeros(4000, bool)
+        for a, b in spans:
+            covered[a:b] = True
+        edge = {a for a, _ in spans}
+        runs = [(x["first"], x["end"]) for x in found[i]]
+        assert {p for a, b in runs for p in range(a, b)} == set(np.flatnonzero(covered)) and all(b < c for (_, b), (c, _) in zip(runs, runs[1:])) and {a for a, _ in runs} <= edge
+    assert rows.where("false").select(repeats._merged(F.col("spans"))).count() == 0
+
+
+@pytest.mark.parametrize("early", [1, 8])
+def test_pairs_are_left_out_of_later_lists_only(spark, monkeypatch, early):
+    """The last step alone finds every link, however few early tokens are carried."""
+    monkeypatch.setattr(jaccard, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "EARLY", early)
+    random = np.random.default_rng(9)
+    base = [[f"w{k}" for k in random.integers(0, 400, n)] for n in (30, 80, 200)]
+    made = []
+    for words in base:
+        for _ in range(25):
+            keep = random.random(len(words)) < random.choice([0.97, 0.99, 1.0])
+            made.append(" ".join(w for w, k in zip(words, keep) if k))
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_classes(rows, 5, 80).collect()}
+    assert found == brute_components(list(enumerate(made)), 5, 80)
+
+
 def test_repeats_odd_rows(odd, nothing):
     assert repeats.repeat_digests(odd).count() == odd.count() and repeats.repeat_digests(nothing).count() == 0
 
