@@ -163,10 +163,14 @@ def training_export(scored: DataFrame) -> DataFrame:
     )
 
 
-def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
+def csv_line(columns: list[str]) -> Column:
     """Every value quoted, inner quotes doubled, nulls empty."""
     cell = lambda c: F.concat(F.lit('"'), F.replace(_text(F.col(c)), F.lit('"'), F.lit('""')), F.lit('"'))
-    return df.select(F.concat_ws(",", *[cell(c) for c in columns]).alias("value"))
+    return F.concat_ws(",", *[cell(c) for c in columns])
+
+
+def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(csv_line(columns).alias("value"))
 
 
 def abi_band(abi: Column) -> Column:

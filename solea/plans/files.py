@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from solea.operators import metrics as M
+from solea.operators import risk_rules
 from solea.plans import forms as forms_q
 from solea.plans.registry import Inputs, query
 from solea.session import new_folder
@@ -91,6 +92,79 @@ def _(t):
     return good.withColumn("category_l", F.col("derived.L.category"))
 
 
+_CSV_LINE = "concat_ws(',', " + ", ".join(f"""'"' || replace({e}, '"', '""') || '"'""" for e in (forms_q._raw_sql_columns()[c] for c in risk_rules.RAW_COLUMNS)) + ")"
+
+
+@query("export_csv_file", "value:s at_front:b",
+       f"""SELECT {_CSV_LINE} AS value, false AS at_front {forms_q._RAW_FROM}
+           UNION ALL SELECT chr(65279) || '{",".join(risk_rules.RAW_COLUMNS)}', true""")
+def _(t):
+    path = new_folder(t.spark, "export")
+    C.write_csv(risk_rules.raw_form_export(forms_q.scored(t)), risk_rules.RAW_COLUMNS, ["pid"], path)
+    lines = C.read_csv_file(t.spark, path)
+    first = lines.agg(F.min("part")).first()[0]
+    return lines.withColumn("at_front", (F.col("part") == first) & (F.col("line_no") == 0))
+
+
+def _documents(t: Inputs, doc):
+    """One document per customer; every thirteenth one is cut off."""
+    n = F.col("c_custkey")
+    text = F.to_json(doc)
+    return t.table("customer").select(F.concat(F.lit("P"), n).alias("stem"), F.when(n % 13 == 0, F.substring(text, 1, 30)).otherwise(text).alias("value"))
+
+
+@query("import_commits", "kind:s research_id:s captured_at:s item:s path:s",
+       """WITH c AS (SELECT c_custkey AS n, 'P' || CAST(c_custkey AS VARCHAR) AS rid, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'day ' || CAST(c_custkey % 28 AS VARCHAR) END AS day FROM customer)
+          SELECT 'captures' AS kind, rid AS research_id, day AS captured_at, 'podoscope' AS item, 'raw/' || rid AS path FROM c WHERE n % 13 <> 0 AND n % 4 <> 0
+          UNION ALL SELECT 'captures', rid, day, 'thermal', 'heat/' || rid FROM c WHERE n % 13 <> 0 AND n % 6 <> 0
+          UNION ALL SELECT 'preprocessing', rid, NULL, 'L', 'left/' || rid FROM c WHERE n % 13 <> 0
+          UNION ALL SELECT 'preprocessing', rid, NULL, 'R', 'right/' || rid FROM c WHERE n % 13 <> 0 AND n % 3 <> 0
+          UNION ALL SELECT 'bad', rid, NULL, NULL, NULL FROM c WHERE n % 13 = 0""")
+def _(t):
+    n, rid = F.col("c_custkey"), F.concat(F.lit("P"), "c_custkey")
+    made = lambda folder, gone: F.when(gone, "").otherwise(F.concat(F.lit(folder), rid))
+    sides = F.create_map(F.lit("L"), made("left/", F.lit(False)), F.lit("R"), made("right/", n % 3 == 0), F.lit("T"), F.lit("other"))
+    parts = C.import_commits(_documents(t, F.struct(
+        F.when(n % 10 != 0, rid).alias("research_id"), F.when(n % 7 != 0, F.concat(F.lit("day "), n % 28)).alias("captured_at"),
+        F.struct(made("raw/", n % 4 == 0).alias("raw"), sides.alias("preprocessing")).alias("podoscope"),
+        F.struct(F.when(n % 6 != 0, F.concat(F.lit("heat/"), rid)).alias("image")).alias("thermal"),
+    )))
+    none = F.lit(None).cast("string")
+    row = lambda kind, rid, at, item, path: parts[kind].select(F.lit(kind).alias("kind"), F.col(rid).alias("research_id"), at.alias("captured_at"), item.alias("item"), path.alias("path"))
+    captures = row("captures", "research_id", F.col("captured_at"), F.col("modality"), F.col("raw_path"))
+    sides = row("preprocessing", "research_id", none, F.col("side"), F.col("path"))
+    return captures.unionByName(sides).unionByName(row("bad", "stem", none, none, none))
+
+
+@query("import_manifest", "research_id:s status:s committed_at:s",
+       """SELECT 'P' || CAST(c_custkey AS VARCHAR) AS research_id, CASE WHEN c_custkey % 2 = 0 THEN 'complete' ELSE 'partial' END AS status,
+            'day ' || CAST(c_custkey % 28 AS VARCHAR) AS committed_at FROM customer WHERE c_custkey % 11 <> 0""")
+def _(t):
+    path, n = new_folder(t.spark, "manifest"), F.col("c_custkey")
+    t.table("customer").select(
+        F.when(n % 11 == 0, " ").otherwise(F.concat(F.lit(" P"), n, F.lit(" "))).alias("research_id"), F.when(n % 2 == 0, "complete").otherwise("partial").alias("status"),
+        F.concat(F.lit("day "), n % 28).alias("captured_at"),
+    ).write.option("header", "true").csv(path)
+    return C.import_manifest(t.spark, path)
+
+
+@query("import_roi", "research_id:s saved_at:s left_regions:i left_risk:s right_regions:i bad:b",
+       """SELECT 'P' || CAST(n AS VARCHAR) AS research_id, CASE WHEN n % 13 <> 0 THEN CASE WHEN n % 7 = 0 THEN '' ELSE 'day ' || CAST(n % 28 AS VARCHAR) END END AS saved_at,
+            CASE WHEN n % 13 <> 0 THEN n % 5 END AS left_regions, CASE WHEN n % 13 <> 0 THEN CASE WHEN n % 2 = 0 THEN 'yes' ELSE 'no' END END AS left_risk,
+            CASE WHEN n % 13 <> 0 AND n % 3 <> 0 THEN n % 4 END AS right_regions, n % 13 = 0 AS bad FROM (SELECT c_custkey AS n FROM customer)""")
+def _(t):
+    n = F.col("c_custkey")
+    side = lambda count, risk: F.struct(count.cast("int").alias("region_count"), risk.alias("has_risk_area"), F.lit("f").alias("filename"))
+    left, right = side(n % 5, F.when(n % 2 == 0, "yes").otherwise("no")), side(n % 4, F.lit("no"))
+    both = F.when(n % 3 == 0, F.create_map(F.lit("L"), left)).otherwise(F.create_map(F.lit("L"), left, F.lit("R"), right))
+    good, bad = C.import_roi(_documents(t, F.struct(
+        F.when(n % 10 != 0, F.concat(F.lit("P"), n)).alias("rid"), F.when(n % 7 != 0, F.concat(F.lit("day "), n % 28)).alias("savedAt"), both.alias("summary"), F.lit("{}").alias("project"),
+    )))
+    of = lambda s: F.try_element_at("summary", F.lit(s))
+    rows = good.select("research_id", "saved_at", of("L")["region_count"].alias("left_regions"), of("L")["has_risk_area"].alias("left_risk"), of("R")["region_count"].alias("right_regions"), F.lit(False).alias("bad"))
+    return rows.unionByName(bad.select(F.col("stem").alias("research_id"), F.lit(True).alias("bad")), allowMissingColumns=True)
+
+
 _LINE = """CASE action WHEN 'crf_save' THEN concat('[', {ts}, '] Epoch ', CAST(event_id % 50 + 1 AS STRING), '/50  val_loss=', CAST(value AS STRING))
   WHEN 'podoscope' THEN concat('[', {ts}, '] Phase 1 done. Best val_loss: ', CAST(value AS STRING), '  (best epoch: ', CAST(event_id % 44 AS STRING), ')')
   WHEN 'thermal' THEN concat('FOLD ', CAST(event_id % 5 + 1 AS STRING), '/5: run') WHEN 'commit' THEN concat('# COMBO: net_', CAST(event_id AS STRING))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solea.operators.boxes import shape_box
+from solea.operators.risk_rules import csv_line
 
 # Fixed value: the only accepted form of an annotated image's file name.
 SAFE_FILENAME = r"^/api/file/podo/P\d{4}/preprocessing/P\d{4}_podo_[LR]_full\.png$"
@@ -125,11 +126,22 @@ def append_audit(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def write_csv_lines(lines: DataFrame, columns: list[str], path: str) -> None:
-    """Quoted data lines into one folder; every part starts with the byte order mark and the unquoted header."""
-    lines.write.mode("overwrite").option("header", "false").text(path)
-    header = lines.sparkSession.range(1).select(F.lit("﻿" + ",".join(columns)).alias("value"))
-    header.write.mode("overwrite").text(path + "-header")
+def write_csv(df: DataFrame, columns: list[str], order: list[str], path: str) -> None:
+    """Quoted data lines in order behind one unquoted header with the byte order mark; the parts of the folder in name order are the file.
+
+    The header sorts before every row, so it opens the first part whichever rows that gets; parts are ranges of the order and none has all rows.
+    An empty table gives the header alone. Every line ends with a line feed, the last one too.
+    """
+    rows = df.select(F.lit(1).alias("after"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], csv_line(columns).alias("value"))
+    kinds = dict(rows.dtypes)
+    mark = df.sparkSession.range(1).select(*[F.lit(0 if c == "after" else None).cast(kinds[c]).alias(c) for c in rows.columns[:-1]], F.lit("\ufeff" + ",".join(columns)).alias("value"))
+    rows.unionByName(mark).orderBy(*rows.columns).select("value").write.mode("overwrite").text(path)
+
+
+def read_csv_file(spark: SparkSession, path: str) -> DataFrame:
+    """(value, part, line_no) of a folder of text parts, byte order mark included."""
+    parts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("part"), "value").where("value != ''")
+    return parts.select("part", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "value"))
 
 
 def write_oriented(px: DataFrame, width: int, path: str) -> None:

@@ -173,3 +173,12 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
     files = [[(1, _at(0), 1, "view", 1.0, "{}")], [(2, _at(600), 1, "view", 1.0, "{}")], [(3, _at(601), 1, "view", 1.0, "{}")], [(4, _at(5), 1, "view", 1.0, "{}")]]
     out = S.drain(S.audit_counts(_events(spark, tmp_path, files)), "update", "late")
     assert out.groupBy().agg(F.sum(F.when(F.hour("window.start") == 0, F.col("n")))).first()[0] == 1
+
+
+def test_csv_file_opens_with_mark_and_header(spark, tmp_path):
+    rows = spark.createDataFrame([(f"p{n:03}", 'a "b"' if n % 2 else None, n) for n in range(200)], "pid string, note string, n int").repartition(7)
+    want = '\ufeffpid,note,n\n' + "".join('"p%03d",%s,"%d"\n' % (n, '"a ""b"""' if n % 2 else '""', n) for n in range(200))
+    for name, df, text in (("all", rows, want), ("none", rows.where("false"), "\ufeffpid,note,n\n")):
+        D.write_csv(df, ["pid", "note", "n"], ["pid"], str(tmp_path / name))
+        assert b"".join(p.read_bytes() for p in sorted((tmp_path / name).glob("part-*"))).decode() == text
+    assert D.read_csv_file(spark, str(tmp_path / "all")).orderBy("part", "line_no").first().value == "\ufeffpid,note,n"
