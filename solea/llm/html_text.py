@@ -1,19 +1,26 @@
 """Main text of web pages from parser events and smoothed text-to-tag ratios.
 
 The standard library's parser streams events; block tags end a line, as no page can be trusted to break its own. Each
-line has its text, its tags and the characters inside links. The ratio of unlinked text to tags is smoothed with a
-Gaussian over neighbouring lines and split into two clusters; the high one marks content. The element that holds most of
-the marked text (an article or main element where there is one) is the content region, and all its lines that do not
-stand in menus, notices, adverts, forms, comments and the like are the text, however short they are.
-
-One pass in Arrow batches, no shuffle. Defined cases: null, empty or text-free pages give an empty text; unclosed tags end
-with the element around them; character references are decoded; repeated pages give repeated rows.
-Only page_id, url and html are read.
+line has its text, its tags and the characters inside links. The logarithm of its unlinked characters for each tag is
+smoothed with a Gaussian over neighbouring lines (those of another element count little) and split into two clusters;
+the upper one marks content. Names of elements and classes only weigh a line's ratio: an article's lines in full, those of
+elements without a telling name a little less, those of menus, notices, adverts, forms or comments next to nothing.
+
+The content region is found from the marked characters of every element: from the document downwards into the child that
+holds most of them, until an article or an element that has marked lines of its own. The text is every marked line of the
+region and, between them, the short lines that no cluster can tell apart, unless their names speak against them or, outside
+of articles, they are lists of links or hold little beside the rest. Where nothing is marked, there is no text.
+
+One pass in Arrow batches, no shuffle; time is linear in the page, also in its depth: open elements are kept as parent
+numbers with inherited marks. Defined cases: null, empty or text-free pages give an empty text; unclosed tags end with the
+element around them; character references are decoded; very long and deeply nested pages are read whole; repeated pages
+give repeated rows; an empty table gives none. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -41,23 +48,35 @@ OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dial
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+LISTS = frozenset("ul ol dl table tbody thead tfoot figure details fieldset center".split())
+# Weights of a line's ratio by its names, and the weight of a neighbour in another element
+IN_ROOT, UNNAMED, NAMED_OTHER, ELSEWHERE = 1.0, 0.8, 0.05, 0.05
+LEAST = 1.0  # of a marked line's smoothed logarithm, and of the range that two clusters need
+MOST_OF = 0.6  # share of the marked characters that leads into a child
+BESIDE = 0.3  # share of the largest child's marked characters under which a nameless child is not content
+
+
 @dataclass
 class Line:
     text: str
     tags: int
     linked: int
     other: bool  # stands in a menu, notice, advert, form, comment, page header or footer
-    heading: bool
-    holders: tuple[int, ...]
+    in_root: bool
+    home: int  # number of the innermost holder, 0 for the document
 
 
 @dataclass
 class Holder:
+    """An element that holds lines. All but ``tag``, ``root`` and ``silent`` is inherited from its parents."""
+
     number: int
+    parent: int
     tag: str
     other: bool
     header: bool
     root: bool
+    in_root: bool
     silent: bool = False
 
 
@@ -70,25 +89,24 @@ class _Open:
 
 
 class PageLines(HTMLParser):
-    """Turns parser events into lines."""
+    """Turns parser events into lines and a tree of holders, whose numbers grow downwards."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.roots: dict[int, str] = {}
-        self.holders: list[Holder] = []
-        self.count = 0
+        self.holders = [Holder(0, 0, "", False, False, False, False)]
+        self.open = [self.holders[0]]
+        self.open_tags: Counter[str] = Counter()
+        self.silent = 0
         self.in_link = 0
         self.now = _Open()
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.now.parts).split())
         if text:
-            within = self.holders
-            in_root = any(h.root for h in within)
-            header = any(h.header for h in within)
-            other = any(h.other for h in within) or (header and not (in_root and self.now.heading))
-            self.lines.append(Line(text, self.now.tags, self.now.linked, other, self.now.heading, tuple(h.number for h in within)))
+            home = self.open[-1]
+            other = home.other or (home.header and not (home.in_root and self.now.heading))
+            self.lines.append(Line(text, self.now.tags, self.now.linked, other, home.in_root, home.number))
         self.now = _Open()
 
     def _names(self, attrs: dict[str, str | None]) -> list[list[str]]:
@@ -96,13 +114,13 @@ class PageLines(HTMLParser):
         return [[p.lower() for p in _PARTS.findall(n)] for n in names]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if any(h.silent for h in self.holders):
+        if self.silent:
             if tag in SILENT and tag not in VOID:
                 self._open(tag, {}, silent=True)
             if tag != "body":
                 return
-            while self.holders and self.holders[-1].tag != "html":  # a head without an end
-                self.holders.pop()
+            while len(self.open) > 1 and self.open[-1].tag != "html":  # a head without an end
+                self._pop()
         if tag == "br":
             self.now.parts.append(" ")
         elif tag in ("td", "th"):
@@ -135,10 +153,18 @@ class PageLines(HTMLParser):
         header = tag == "header" or (named_other and all("header" in n for n in names if OTHER_NAMES.intersection(n)))
         other = tag in ASIDE or (named_other and not header) or role in OTHER_ROLES or hidden
         root = not other and not header and (tag in ROOTS or role in ("main", "article") or any("".join(n) in ROOT_NAMES for n in names))
-        self.count += 1
-        self.holders.append(Holder(self.count, tag, other, header, root, silent))
-        if root:
-            self.roots[self.count] = tag
+        up = self.open[-1]
+        holder = Holder(len(self.holders), up.number, tag, up.other or other, up.header or header, root, up.in_root or root, silent)
+        self.holders.append(holder)
+        self.open.append(holder)
+        self.open_tags[tag] += 1
+        self.silent += silent
+
+    def _pop(self) -> Holder:
+        gone = self.open.pop()
+        self.open_tags[gone.tag] -= 1
+        self.silent -= gone.silent
+        return gone
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -147,11 +173,11 @@ class PageLines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag in HOLDERS or tag in SILENT:
-            at = next((i for i in range(len(self.holders) - 1, -1, -1) if self.holders[i].tag == tag), None)
-            if at is not None:
+            if self.open_tags[tag]:
                 if tag in HOLDERS:
                     self._end_line()
-                del self.holders[at:]
+                while self._pop().tag != tag:
+                    pass
             return
         if tag in LINES:
             self._end_line()
@@ -160,7 +186,7 @@ class PageLines(HTMLParser):
         self.now.tags += 1
 
     def handle_data(self, data: str) -> None:
-        if not self.holders or not any(h.silent for h in self.holders):
+        if not self.silent:
             self.now.parts.append(data)
             if self.in_link:
                 self.now.linked += len(data)
@@ -171,23 +197,58 @@ class PageLines(HTMLParser):
 
 
 def smoothed_ratios(lines: list[Line], spread: float = 1.0) -> np.ndarray:
-    """Unlinked characters for each tag, smoothed over neighbouring lines; lines outside the content count as nothing."""
-    ratio = np.array([0.0 if x.other else max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
-    reach = int(3 * spread)
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / spread) ** 2)
-    weight = np.convolve(np.ones(len(ratio)), kernel, "full")[reach : reach + len(ratio)]
-    return np.convolve(ratio, kernel, "full")[reach : reach + len(ratio)] / weight
+    """Logarithms of unlinked characters for each tag, weighed by names and smoothed over neighbouring lines."""
+    ratio = np.array([max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines], dtype=float)
+    weight = np.array([NAMED_OTHER if x.other else IN_ROOT if x.in_root else UNNAMED for x in lines])
+    value = np.log1p(ratio) * weight
+    home = np.array([x.home for x in lines])
+    total, mass = value.copy(), np.ones(len(lines))
+    for step in range(1, min(int(3 * spread), len(lines) - 1) + 1):
+        near = np.where(home[step:] == home[:-step], 1.0, ELSEWHERE) * np.exp(-0.5 * (step / spread) ** 2)
+        total[step:] += near * value[:-step]
+        mass[step:] += near
+        total[:-step] += near * value[step:]
+        mass[:-step] += near
+    return total / mass
 
 
 def high_cluster(values: np.ndarray) -> np.ndarray:
-    """The upper one of two clusters on a line."""
+    """The upper one of two clusters on a line, as far as it reaches the least value of content; near values are one cluster."""
     low, high = float(values.min()), float(values.max())
+    if high - low < LEAST:
+        return values >= LEAST
     for _ in range(20):
         upper = values >= (low + high) / 2
         if upper.all() or not upper.any():
             break
         low, high = float(values[~upper].mean()), float(values[upper].mean())
-    return values >= (low + high) / 2
+    return (values >= (low + high) / 2) & (values >= LEAST)
+
+
+def content_region(holders: list[Holder], mass: np.ndarray, own: np.ndarray) -> int:
+    """The holder of the content: ``mass`` are marked characters below each holder, ``own`` those of its own lines.
+
+    Goes down while one child holds most of the marked characters. Text of its own, or a telling name, keeps a holder,
+    unless most of its marked characters stand in one element with a stronger name.
+    """
+    rank = [0 if not h.root else 3 if h.tag == "article" else 2 if h.tag == "main" else 1 for h in holders]
+    # marked characters of the fullest element of a rank or more at or below each holder; rank 0 is the holder itself
+    full = np.zeros((4, len(holders)))
+    full[0] = [0 if h.tag in LISTS else m for h, m in zip(holders, mass)]
+    below: list[list[int]] = [[] for _ in holders]
+    for h in reversed(holders[1:]):
+        for r in (1, 2, 3):
+            full[r, h.number] = max(full[r, h.number], mass[h.number] if rank[h.number] >= r else 0)
+            full[r, h.parent] = max(full[r, h.parent], full[r, h.number])
+        below[h.parent].append(h.number)
+    at = 0
+    while rank[at] < 3 and below[at]:
+        least = min(3, rank[at] + 1) if own[at] > 0 or rank[at] == 2 else rank[at]
+        child = max(below[at], key=lambda n: (full[least, n], -n))
+        if full[least, child] < MOST_OF * mass[at]:
+            break
+        at = child
+    return at
 
 
 def main_text(html: str | None) -> str:
@@ -195,27 +256,33 @@ def main_text(html: str | None) -> str:
     page = PageLines()
     page.feed(html or "")
     page.close()
-    lines = page.lines
-    if not any(not x.other for x in lines):
+    lines, holders = page.lines, page.holders
+    if not lines:
         return ""
-    smooth = smoothed_ratios(lines)
-    marked = high_cluster(smooth) & np.array([not x.other for x in lines])
-    mass = np.array([len(x.text) * (1.0 if m else 0.05) if not x.other else 0.0 for x, m in zip(lines, marked)])
-    held: dict[int, float] = {}
-    for x, m in zip(lines, mass):
-        for number in x.holders:
-            if number in page.roots:
-                held[number] = held.get(number, 0.0) + m
-    held = {n: m for n, m in held.items() if m > 0}
-    if held:
-        most = max(held.values())
-        root = max((n for n, m in held.items() if m >= 0.6 * most), key=lambda n: (page.roots[n] == "article", page.roots[n] == "main", n if page.roots[n] not in ROOTS else -n))
-        return "\n".join(x.text for x in lines if not x.other and root in x.holders)
+    marked = high_cluster(smoothed_ratios(lines))
     if not marked.any():
-        return "\n".join(x.text for x in lines if not x.other)
-    first, last = int(np.flatnonzero(marked)[0]), int(np.flatnonzero(marked)[-1])
-    homes = {x.holders for x, m in zip(lines, marked) if m}
-    return "\n".join(x.text for i, x in enumerate(lines) if not x.other and (first <= i <= last or x.holders in homes))
+        return ""
+    own, mass, every, linked = (np.zeros(len(holders)) for _ in range(4))
+    for x, m in zip(lines, marked):
+        own[x.home] += max(0, len(x.text) - x.linked) * m
+        every[x.home] += len(x.text)
+        linked[x.home] += x.linked
+    mass += own
+    for h in reversed(holders[1:]):  # children have greater numbers
+        for sums in (mass, every, linked):
+            sums[h.parent] += sums[h.number]
+    region = content_region(holders, mass, own)
+    largest = max((mass[h.number] for h in holders[1:] if h.parent == region), default=0.0)
+    inside = np.zeros(len(holders), dtype=bool)
+    inside[region] = True
+    for h in holders[region + 1 :]:
+        keep = inside[h.parent]
+        if keep and not h.in_root:
+            links = mass[h.number] == 0 and 2 * linked[h.number] >= every[h.number] > 0
+            aside = h.parent == region and own[region] == 0 and mass[h.number] < BESIDE * largest
+            keep = not (links or aside)
+        inside[h.number] = keep
+    return "\n".join(x.text for x, m in zip(lines, marked) if inside[x.home] and (m or not x.other))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -408,15 +408,66 @@ def test_main_text(page):
     assert html_text.main_text(page) == PAGES[page]
 
 
-def test_pages_against_their_articles(spark):
+def article_text(page: str) -> str:
     import html
 
+    article = re.search(r"<article>(.*)</article>", page, re.DOTALL)[1]
+    blocks = [" ".join(html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+    return "\n".join(b for b in blocks if b)
+
+
+def test_pages_without_names(spark):
+    """Ratios, smoothing and clusters alone find the article where no element has a telling name."""
+    pages = [r["html"] for r in spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/pages.parquet").collect()]
+    bare = [re.sub(r' (class|id|role)="[^"]*"', "", re.sub(r"<(/?)(nav|article|footer|header|aside|main)\b", r"<\1div", p)) for p in pages]
+    assert sum(html_text.main_text(b) == article_text(p) for b, p in zip(bare, pages)) >= 0.97 * len(pages)
+
+
+def test_clusters_choose_the_lines(monkeypatch):
+    story = "".join(f"<p>{'word ' * (20 + 7 * k)}</p>" for k in range(6))
+    links = "<ul>" + "".join(f'<li><a href="/{k}">somewhere else {k}</a></li>' for k in range(9)) + "</ul>"
+    page = f"<div>{links}</div><div><h2>Title</h2>{story}<p>End.</p></div><div>Short note.</div><div>{links}</div>"
+    text = "\n".join(["Title", *[("word " * (20 + 7 * k)).strip() for k in range(6)], "End."])
+    assert html_text.main_text(page) == text
+    shuffled = f"<div>{story}</div><div>{links}</div>"
+    assert "somewhere" not in html_text.main_text(shuffled)
+    noted = f'<article><h1>T</h1>{story}<div class="ad">Buy this now</div></article>'
+    assert "Buy" not in html_text.main_text(noted) and html_text.main_text(noted).startswith("T\n")
+    monkeypatch.setattr(html_text, "high_cluster", lambda v: np.zeros(len(v), dtype=bool))
+    assert html_text.main_text(page) == html_text.main_text(noted) == ""
+    monkeypatch.setattr(html_text, "high_cluster", lambda v: np.ones(len(v), dtype=bool))
+    assert "Buy" in html_text.main_text(noted)
+
+
+def test_smoothing_against_a_plain_sum():
+    line = lambda n, home: html_text.Line("x" * n, 1, 0, False, True, home)
+    lines = [line(n, h) for n, h in ((5, 1), (90, 1), (3, 2), (40, 2), (7, 2), (200, 3), (1, 1))]
+    for i, found in enumerate(html_text.smoothed_ratios(lines)):
+        near = [np.exp(-0.5 * (i - j) ** 2) * (1 if x.home == lines[i].home else html_text.ELSEWHERE) * (abs(i - j) <= 3) for j, x in enumerate(lines)]
+        assert np.isclose(found, sum(w * np.log1p(len(x.text)) for w, x in zip(near, lines)) / sum(near))
+
+
+def test_long_deep_and_repeated_pages(spark):
+    import time
+
+    took = []
+    for n in (5_000, 50_000):
+        began = time.perf_counter()
+        assert html_text.main_text("<div>" * n + "</ul>" * n + "a text without an end") == "a text without an end"
+        assert len(html_text.main_text("<div>some words of it" * n)) == 17 * n - 1
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0]  # ten times the tags; the square would be a hundred
+    long = f"<nav><a href=x>no</a></nav><article><h1>T</h1><p>{'very long text ' * 200_000}</p></article>"
+    rows = [(1, "u", long, "mine"), (2, None, "<p>same text here</p>", "a"), (2, None, "<p>same text here</p>", "a"), (None, "v", None, None)]
+    found = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in found) == [(0, 0), (1, 2 + 15 * 200_000 - 1), (2, 14), (2, 14)]
+
+
+def test_pages_against_their_articles(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     found = as_dict(html_text.extract_main_text(pages), "page_id")
     for r in pages.collect():
-        article = re.search(r"<article>(.*)</article>", r["html"], re.DOTALL)[1]
-        blocks = [" ".join(html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
-        text = "\n".join(b for b in blocks if b)
+        text = article_text(r["html"])
         assert found[r["page_id"]]["text"] == text and found[r["page_id"]]["n_chars"] == len(text)
     assert html_text.extract_main_text(pages.where("false")).count() == 0
 
