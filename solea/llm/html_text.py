@@ -7,7 +7,7 @@ the upper one marks content. Names of elements and classes only weigh a line's r
 elements without a telling name a little less, those of menus, notices, adverts, forms or comments next to nothing.
 
 The content region is found from the marked characters of every element: from the document downwards into the child that
-holds most of them, until an article or an element that has marked lines of its own. The text is every marked line of the
+holds most of them, until an article or an element that has marked lines or headings of its own. The text is every marked line of the
 region and, between them, the short lines that no cluster can tell apart, unless their names speak against them or, outside
 of articles, they are lists of links or hold little beside the rest. Where nothing is marked, there is no text.
 
@@ -63,6 +63,7 @@ class Line:
     linked: int
     other: bool  # stands in a menu, notice, advert, form, comment, page header or footer
     in_root: bool
+    heading: bool
     home: int  # number of the innermost holder, 0 for the document
 
 
@@ -106,7 +107,7 @@ class PageLines(HTMLParser):
         if text:
             home = self.open[-1]
             other = home.other or (home.header and not (home.in_root and self.now.heading))
-            self.lines.append(Line(text, self.now.tags, self.now.linked, other, home.in_root, home.number))
+            self.lines.append(Line(text, self.now.tags, self.now.linked, other, home.in_root, self.now.heading, home.number))
         self.now = _Open()
 
     def _names(self, attrs: dict[str, str | None]) -> list[list[str]]:
@@ -264,7 +265,8 @@ def main_text(html: str | None) -> str:
         return ""
     own, mass, every, linked = (np.zeros(len(holders)) for _ in range(4))
     for x, m in zip(lines, marked):
-        own[x.home] += max(0, len(x.text) - x.linked) * m
+        # a heading marks its element as one that has text of its own, however short it is
+        own[x.home] += max(0, len(x.text) - x.linked) * m or (x.heading and not x.other)
         every[x.home] += len(x.text)
         linked[x.home] += x.linked
     mass += own

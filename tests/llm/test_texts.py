@@ -431,6 +431,7 @@ def test_clusters_choose_the_lines(monkeypatch):
     assert html_text.main_text(page) == text
     shuffled = f"<div>{story}</div><div>{links}</div>"
     assert "somewhere" not in html_text.main_text(shuffled)
+    assert html_text.main_text(f'<div id="main"><div class="post"><h1>T</h1><div class="content">{story}</div></div><div class="more">{story}</div></div>').startswith("T\n")
     noted = f'<article><h1>T</h1>{story}<div class="ad">Buy this now</div></article>'
     assert "Buy" not in html_text.main_text(noted) and html_text.main_text(noted).startswith("T\n")
     monkeypatch.setattr(html_text, "high_cluster", lambda v: np.zeros(len(v), dtype=bool))
@@ -440,7 +441,7 @@ def test_clusters_choose_the_lines(monkeypatch):
 
 
 def test_smoothing_against_a_plain_sum():
-    line = lambda n, home: html_text.Line("x" * n, 1, 0, False, True, home)
+    line = lambda n, home: html_text.Line("x" * n, 1, 0, False, True, False, home)
     lines = [line(n, h) for n, h in ((5, 1), (90, 1), (3, 2), (40, 2), (7, 2), (200, 3), (1, 1))]
     for i, found in enumerate(html_text.smoothed_ratios(lines)):
         near = [np.exp(-0.5 * (i - j) ** 2) * (1 if x.home == lines[i].home else html_text.ELSEWHERE) * (abs(i - j) <= 3) for j, x in enumerate(lines)]
