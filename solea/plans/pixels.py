@@ -193,18 +193,24 @@ def _(t):
     return X.resize_bilinear(t.pixels, 5)
 
 
+# The table of a tile is a step function of its filled levels: (levels up to v, the cap of 1 leaves one of each) plus the shared excess.
+EXTRA_CHECK_VIEWS["clahe_tiles"] = """SELECT image_id, ty, tx, list(v) AS levels, CAST(sum(n-1) AS BIGINT) // 256 AS share, CAST(sum(n-1) AS BIGINT) % 256 AS rest
+    FROM (SELECT image_id, row_no//4 AS ty, col_no//4 AS tx, v, count(*) AS n FROM pixels GROUP BY ALL) GROUP BY ALL"""
+CHECK_ONCE.add("clahe_tiles")
+
+
+def _table_sql(t: str) -> str:
+    return f"""least(255, round_even((len(list_filter({t}.levels, lambda x: x <= v)) + {t}.share*(v+1)
+          + CASE WHEN {t}.rest > 0 THEN least({t}.rest, v // greatest(256//{t}.rest, 1) + 1) ELSE 0 END) * (255.0E0/16), 0))"""
+
+
 @query("clahe", RC + "v:i",
-       """WITH hc AS (SELECT image_id, row_no//4 AS ty, col_no//4 AS tx, v AS bin, count(*) AS n FROM pixels GROUP BY ALL),
-          tl AS (SELECT DISTINCT image_id, ty, tx FROM hc), ex AS (SELECT image_id, ty, tx, CAST(sum(n-1) AS BIGINT) AS excess FROM hc GROUP BY ALL),
-          d AS (SELECT t.image_id, t.ty, t.tx, b.bin, least(coalesce(n,0),1) + excess//256 + CASE WHEN excess%256 > 0 AND b.bin % greatest(256//greatest(excess%256,1),1) = 0
-                  AND b.bin // greatest(256//greatest(excess%256,1),1) < excess%256 THEN 1 ELSE 0 END AS n
-                FROM tl t JOIN ex USING (image_id,ty,tx), (SELECT unnest(range(256)) AS bin) b LEFT JOIN hc h ON h.image_id=t.image_id AND h.ty=t.ty AND h.tx=t.tx AND h.bin=b.bin),
-          lut AS (SELECT image_id, ty, tx, bin, least(255, round_even(sum(n) OVER (PARTITION BY image_id,ty,tx ORDER BY bin)*(255.0E0/16),0)) AS val FROM d),
-          p AS (SELECT *, row_no/4.0E0-0.5E0 AS fy, col_no/4.0E0-0.5E0 AS fx FROM pixels),
-          q AS (SELECT *, fy-floor(fy) AS ya, fx-floor(fx) AS xa, greatest(floor(fy),0) AS y1, least(floor(fy)+1,1) AS y2, greatest(floor(fx),0) AS x1, least(floor(fx)+1,1) AS x2 FROM p)
-          SELECT q.image_id, row_no, col_no, CAST(round_even((a.val*(1-xa)+b.val*xa)*(1-ya)+(c.val*(1-xa)+e.val*xa)*ya,0) AS INT) AS v FROM q
-          JOIN lut a ON a.image_id=q.image_id AND a.ty=y1 AND a.tx=x1 AND a.bin=v JOIN lut b ON b.image_id=q.image_id AND b.ty=y1 AND b.tx=x2 AND b.bin=v
-          JOIN lut c ON c.image_id=q.image_id AND c.ty=y2 AND c.tx=x1 AND c.bin=v JOIN lut e ON e.image_id=q.image_id AND e.ty=y2 AND e.tx=x2 AND e.bin=v""")
+       f"""WITH p AS (SELECT *, row_no/4.0E0-0.5E0 AS fy, col_no/4.0E0-0.5E0 AS fx FROM pixels),
+          q AS (SELECT *, fy-floor(fy) AS ya, fx-floor(fx) AS xa, greatest(floor(fy),0) AS y1, least(floor(fy)+1,1) AS y2, greatest(floor(fx),0) AS x1, least(floor(fx)+1,1) AS x2 FROM p),
+          m AS (SELECT q.image_id, row_no, col_no, xa, ya, {_table_sql('a')} AS av, {_table_sql('b')} AS bv, {_table_sql('c')} AS cv, {_table_sql('e')} AS ev FROM q
+            JOIN clahe_tiles a ON a.image_id=q.image_id AND a.ty=y1 AND a.tx=x1 JOIN clahe_tiles b ON b.image_id=q.image_id AND b.ty=y1 AND b.tx=x2
+            JOIN clahe_tiles c ON c.image_id=q.image_id AND c.ty=y2 AND c.tx=x1 JOIN clahe_tiles e ON e.image_id=q.image_id AND e.ty=y2 AND e.tx=x2)
+          SELECT image_id, row_no, col_no, CAST(round_even((av*(1-xa)+bv*xa)*(1-ya)+(cv*(1-xa)+ev*xa)*ya,0) AS INT) AS v FROM m""")
 def _(t):
     return X.clahe(t.pixels, 3.5, 2)
 
