@@ -9,6 +9,7 @@ from solea.operators import pixels as X
 from solea.operators import regions as G
 from solea.operators.segmentation import segment_foot
 from solea.session import cut_lineage
+from solea.sources.images import quarantine
 
 
 def prepare_feet(px: DataFrame, target: int = 224, clip: float = 3.5, tiles: int = 8, least_kernel: int = 10, kernel_width: int = 5,
@@ -17,8 +18,10 @@ def prepare_feet(px: DataFrame, target: int = 224, clip: float = 3.5, tiles: int
 
     Returns pixel rows ``(key, foot, kind, row_no, col_no, r, g, b)`` with kind ``model`` (target x target, scaled to
     [0, 1]), ``full`` (equalised, full size) and ``original`` (colour crop, same size as full), and one status row per
-    image and foot.
+    image and foot. Images that are faulty, or have fewer than two regions, have one status row with an error and no
+    pixels; they do not touch the others.
     """
+    px, faulty = quarantine(px, ["r", "g", "b"], key)
     seg = segment_foot(px, seed=seed, key=key)
     sole = cut_lineage(X.mask_image(seg, F.col("mask"), ["r", "g", "b"]).select(*key, "row_no", "col_no", "r", "g", "b"))
     lit = sole.join(X.extent(sole, key), key).withColumn("mask", F.col("r") + F.col("g") + F.col("b") > 0)
@@ -31,4 +34,4 @@ def prepare_feet(px: DataFrame, target: int = 224, clip: float = 3.5, tiles: int
     model = X.scale_255(X.resize_bilinear(full, target, wide))
     grey = lambda df, kind: df.select(*wide, F.lit(kind).alias("kind"), "row_no", "col_no", *[F.col("v").cast("double").alias(c) for c in "rgb"])
     colour = original.select(*wide, F.lit("original").alias("kind"), "row_no", "col_no", *[F.col(c).cast("double").alias(c) for c in "rgb"])
-    return grey(model, "model").unionByName(grey(full, "full")).unionByName(colour), feet
+    return grey(model, "model").unionByName(grey(full, "full")).unionByName(colour), feet.unionByName(faulty, allowMissingColumns=True)

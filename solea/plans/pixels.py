@@ -45,13 +45,23 @@ def _(t):
     return tensor_checks(X.scale_255(t.pixels), 8, 8)
 
 
+# Some images lose their last pixel, some get a value that is none, some a pixel twice
+EXTRA_CHECK_VIEWS["damaged_px"] = """SELECT image_id, row_no, col_no, CASE WHEN image_id % 13 = 0 AND row_no = 0 THEN r + 256 ELSE r END AS r FROM rgb_pixels
+    WHERE NOT (image_id % 11 = 0 AND row_no = 7 AND col_no = 7) UNION ALL SELECT image_id, row_no, col_no, r FROM rgb_pixels WHERE image_id % 17 = 0 AND row_no = 3 AND col_no = 3"""
+
+
 @query("batch_outcome", "y:i total:i ok:i failed:i",
-       """SELECT y, count(*) AS total, count(*) FILTER (m>=60) AS ok, count(*) FILTER (m<60) AS failed FROM (SELECT image_id, y, min(v) AS m FROM pixels GROUP BY image_id, y) GROUP BY y""")
+       """SELECT y, count(*) AS total, count(*) FILTER (whole) AS ok, count(*) FILTER (NOT whole) AS failed FROM (SELECT DISTINCT image_id, y FROM pixels)
+            JOIN (SELECT image_id, count(*)=64 AND count(DISTINCT row_no*8+col_no)=64 AND max(r)<=255 AS whole FROM damaged_px GROUP BY image_id) USING (image_id) GROUP BY y""")
 def _(t):
-    from solea.sources.images import batch_outcome
+    from solea.sources.images import batch_outcome, faulty_images
 
-    per = t.pixels.groupBy("image_id", "y").agg(F.min("v").alias("m"))
-    return batch_outcome(per.withColumn("error", F.when(F.col("m") < 60, "too dark")), ["y"])
+    at = lambda row, col: (F.col("row_no") == row) & (F.col("col_no") == col)
+    px = t.rgb_pixels
+    cut = px.filter(~((F.col("image_id") % 11 == 0) & at(7, 7))).unionByName(px.filter((F.col("image_id") % 17 == 0) & at(3, 3)))
+    damaged = cut.withColumn("r", F.when((F.col("image_id") % 13 == 0) & (F.col("row_no") == 0), F.col("r") + 256).otherwise(F.col("r")))
+    images = t.pixels.select("image_id", "y").distinct()
+    return batch_outcome(images.join(faulty_images(damaged, ["r", "g", "b"], X.IMAGE), "image_id", "left"), ["y"])
 
 
 @query("grayscale", RC + "v:i", "SELECT image_id, row_no, col_no, CAST(floor(0.299E0*r+0.587E0*g+0.114E0*b) AS INT) AS v FROM rgb_pixels")

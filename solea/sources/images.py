@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from solea.session import cut_lineage
+
 
 def parse_stem(df: DataFrame, column: str = "stem") -> DataFrame:
     """``{subject}_{sex}_{foot}`` to three columns."""
@@ -34,6 +36,38 @@ def batch_outcome(results: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def faulty_images(px: DataFrame, channels: list[str], key: list[str]) -> DataFrame:
+    """One row ``(key, error)`` for each image that the preparation cannot work on; whole images have none.
+
+    Counted per image with map-side sums. An image without a name, with a null or negative place, with a value that is
+    null, not a number or outside 0 to 255, with a place given twice, or with pixels missing from its rectangle is faulty;
+    the first of these is its error. An empty table has no faulty images.
+    """
+    wrong = None
+    for c in channels:
+        bad = ~F.coalesce(F.col(c).between(0, 255), F.lit(False))  # NaN is greater than any number
+        wrong = bad if wrong is None else wrong | bad
+    placed = F.coalesce((F.col("row_no") >= 0) & (F.col("col_no") >= 0), F.lit(False))
+    per = px.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("__n"), F.count_distinct("row_no", "col_no").alias("__places"), F.count_if(~placed).alias("__lost"),
+        F.count_if(wrong).alias("__wrong"), ((F.max("row_no").cast("bigint") + 1) * (F.max("col_no").cast("bigint") + 1)).alias("__area"),
+    )
+    unnamed = F.lit(False)
+    for c in key:
+        unnamed = unnamed | F.col(c).isNull()
+    error = (
+        F.when(unnamed, "image without a name").when(F.col("__lost") > 0, "pixel without a place").when(F.col("__wrong") > 0, "value outside 0 to 255")
+        .when(F.col("__places") < F.col("__n"), "place given twice").when(F.col("__n") < F.col("__area"), "pixels missing")
+    )
+    return per.select(*key, error.alias("error")).filter(F.col("error").isNotNull())
+
+
+def quarantine(px: DataFrame, channels: list[str], key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The pixels of whole images, and the stored table ``(key, error)`` of the faulty ones, so that one bad image stops no other."""
+    faulty = cut_lineage(faulty_images(px, channels, key))
+    return px.dropna(subset=key).join(faulty.select(*key), key, "left_anti"), faulty
+
+
 # group/patient_sex/...L|R.ext; a folder named key=value and a part file inside a named folder are accepted too
 _TREE = r"/(?:grp=)?([A-Za-z0-9]+)/(?:folder=)?([A-Za-z0-9]+)_([MF])/(?:file=)?(?:[^/]*_)?([LR])\.[A-Za-z]+(?:/part-[^/]*)?$"
 
@@ -47,6 +81,12 @@ def scan_image_tree(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def undecodable_images(spark: SparkSession, root: str) -> DataFrame:
+    """``(image_id, error)`` of the files that the JVM image source cannot decode; ``decode_images`` leaves them out."""
+    files = spark.read.format("image").option("recursiveFileLookup", "true").load(root).select("image.origin", "image.height")
+    return files.filter("height < 0").select(F.col("origin").alias("image_id"), F.lit("not an image").alias("error"))
+
+
 def decode_images(spark: SparkSession, root: str) -> DataFrame:
     """Pixel rows of PNG or JPEG files. The JVM image source gives one byte array per file in B, G, R order."""
     img = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(root).select("image.*")

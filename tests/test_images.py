@@ -9,6 +9,8 @@ from solea.functions import batches as B
 from solea.operators import pixels as X
 from solea.operators import regions as G
 from solea.operators import segmentation as S
+from solea.plans.foot_images import prepare_feet
+from solea.sources import images as I
 
 RNG = np.random.default_rng(3)
 
@@ -176,3 +178,63 @@ def test_frames_end_where_groups_end():
             assert pd.concat(frames).v.tolist() == list(range(11))
             assert sum(f.k.nunique(dropna=False) for f in frames) == 4
     assert list(B.whole_groups(iter([]), ["k"])) == []
+
+
+def test_faulty_images_have_one_error_each(spark):
+    whole = [(r, c, 10 * r + c) for r in range(3) for c in range(4)]
+    spoilt = {
+        0: whole, 1: whole[:-2] + whole[-1:], 2: [*whole, whole[5]], 3: [*whole[1:], (0, 0, 256)], 4: [*whole[1:], (0, 0, None)],
+        5: [*whole[1:], (0, -1, 3)], 6: [*whole, (None, 1, 3)], None: whole, 7: [*whole[1:], (0, 0, float("nan"))], 8: [(0, 0, 5)],
+    }
+    rows = [(i, r, c, None if v is None else float(v), "mine") for i, px in spoilt.items() for r, c, v in px]
+    px = spark.createDataFrame(rows, "image_id bigint, row_no int, col_no int, v double, error string")
+    good, faulty = I.quarantine(px, ["v"], ["image_id"])
+    assert {r.image_id: r.error for r in faulty.collect()} == {
+        1: "pixels missing", 2: "place given twice", 3: "value outside 0 to 255", 4: "value outside 0 to 255", 5: "pixel without a place",
+        6: "pixel without a place", None: "image without a name", 7: "value outside 0 to 255"}
+    assert good.columns == px.columns and {r.image_id: r["count"] for r in good.groupBy("image_id").count().collect()} == {0: 12, 8: 1}
+    none = I.quarantine(px.where("false"), ["v"], ["image_id"])
+    assert none[0].count() == none[1].count() == 0
+
+
+def soles(rng, height=100, width=140):
+    """A bright, coloured pair of soles of unlike size on dark ground."""
+    row, col = np.mgrid[0:height, 0:width]
+    lit = sum(((row - height * 0.5) / (height * 0.38)) ** 2 + ((col - width * at) / (width * wide)) ** 2 < 1 for at, wide in ((0.26, 0.13), (0.74, 0.15))) > 0
+    ground = rng.integers(4, 16, (height, width, 3))
+    return np.where(lit[..., None], np.array([210, 170, 120]) + rng.integers(-12, 13, (height, width, 3)), ground)
+
+
+def test_full_size_preparation_goes_on_past_a_corrupt_image(spark):
+    rng = np.random.default_rng(21)
+    images = [soles(rng) for _ in range(3)]
+    rows = pd.concat([pd.DataFrame({"image_id": i, "row_no": np.repeat(np.arange(100), 140), "col_no": np.tile(np.arange(140), 100),
+                                    **{c: img[..., k].ravel() for k, c in enumerate("rgb")}}) for i, img in enumerate(images)])
+    cut = rows[(rows.image_id != 1) | (rows.row_no * 140 + rows.col_no != 777)]
+    px, feet = prepare_feet(spark.createDataFrame(cut, "image_id bigint, row_no int, col_no int, r int, g int, b int"))
+    status = {(r.image_id, r.foot): r for r in feet.collect()}
+    assert set(status) == {(0, "L"), (0, "R"), (1, None), (2, "L"), (2, "R")} and status[1, None].error == "pixels missing"
+    assert all(r.error is None and abs(r.crop_h - 76) <= 16 for k, r in status.items() if k[0] != 1)
+    counts = {(r.image_id, r.foot, r.kind): r for r in px.groupBy("image_id", "foot", "kind").agg(
+        F.count("*").alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}
+    for at in status:
+        if at[0] != 1:
+            side = status[at].square_size
+            assert counts[*at, "model"].n == 224 * 224 and 0 <= counts[*at, "model"].lo <= counts[*at, "model"].hi <= 1
+            assert counts[*at, "full"].n == counts[*at, "original"].n == side * side and counts[*at, "original"].hi <= 222
+    assert len(counts) == 12
+
+
+def test_files_that_are_no_images(spark, tmp_path):
+    import struct
+    import zlib
+
+    part = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    lines = b"".join(b"\0" + bytes([10 * r + c, 100, 200]) for r in range(2) for c in range(1))
+    png = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 1, 2, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+    (tmp_path / "good.png").write_bytes(png)
+    (tmp_path / "bad.png").write_bytes(png[:40])
+    found = I.decode_images(spark, str(tmp_path)).orderBy("row_no").collect()
+    assert [(r.row_no, r.col_no, r.r, r.g, r.b) for r in found] == [(0, 0, 0, 100, 200), (1, 0, 10, 100, 200)]
+    bad = I.undecodable_images(spark, str(tmp_path)).collect()
+    assert [r.image_id.rsplit("/", 1)[1] for r in bad] == ["bad.png"] and bad[0].error == "not an image"
