@@ -116,13 +116,13 @@ def bootstrap_ci(preds: DataFrame, by: list[str], score: str = "p", threshold: f
 
     Drawing n samples with replacement and counting them per distinct score is a multinomial draw over the score
     histogram, so the histogram is resampled instead of the rows: first over score slots (one task per group and
-    block of repetitions, at most 2049 slots), then inside every slot that holds several scores. Work does not grow
+    block of repetitions, at most 1538 slots), then inside every slot that holds several scores. Work does not grow
     with the sample count, and no group is larger than its slots.
     """
     block = 500
     keys = dict(preds.dtypes)
     key_schema = "".join(f"{c} {keys[c]}, " for c in by)
-    hist = cut_lineage(score_histogram(preds, by, score).withColumn("slot", score_slot(F.col(score))))  # read several times
+    hist = cut_lineage(score_histogram(preds, by, score).withColumn("slot", score_slot(F.col(score), 256)))  # read several times
     slots = hist.groupBy(*by, "slot").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count(F.lit(1)).alias("scores"),
         F.max((F.col(score) >= threshold).cast("int")).alias("hit"),

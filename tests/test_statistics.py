@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from solea.functions.scalars import chi2_1_tail, normal_two_sided
+from solea.functions.scalars import chi2_1_tail, normal_two_sided, score_slot
 from solea.operators import metrics as M
 from solea.operators import paired_tests as P
 from solea.operators import training_curves as L
@@ -113,3 +113,22 @@ def test_early_stop_replay(spark):
     df = spark.createDataFrame(rows, "run string, i int, loss double, slot int")
     got = {r.run: (r.stop_epoch, r.best_epoch, r.best_loss, r.epochs_used) for r in L.early_stop(df, "run", ["i"], "loss", "slot", 3).collect()}
     assert got == {"a": (8, 5, 3.0, 8), "b": (None, 3, 1.0, 3), "c": (4, 1, 1.0, 4)}
+
+
+@pytest.mark.parametrize("low,high,most", [(0.0, 1.0, 0.01), (0.99, 1.0, 0.01), (0.0, 0.01, 0.01), (1 - 1e-6, 1.0, 0.02), (-1e-6, 1e-6, 0.02), (-8.0, 8.0, 0.01)])
+def test_crowded_scores_are_spread_over_slots(spark, low, high, most):
+    p = np.sort(RNG.uniform(low, high, 20000))
+    slots = np.array([r[0] for r in spark.createDataFrame(pd.DataFrame({"p": p})).select("p", score_slot(F.col("p")).alias("slot")).orderBy("p").select("slot").collect()])
+    assert (np.diff(slots) >= 0).all() and np.unique(slots, return_counts=True)[1].max() <= most * len(p)
+
+
+def test_slots_of_odd_scores(spark):
+    odd = [None, float("nan"), float("-inf"), -1e300, -1.0, -0.0, 0.0, 1e-300, 0.5, 1.0, 2.0, 1e300, float("inf")]
+    slots = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, p double").orderBy("i").select(score_slot(F.col("p"))).collect()]
+    assert slots[0] == slots[1] == 3 * 4096 + 1 and None not in slots and slots[5] == slots[6]
+    assert slots[2:] == sorted(slots[2:])
+    p = np.concatenate([RNG.uniform(0.99, 1, 300), RNG.choice([0.0, 0.995, 1.0], 100)])
+    y = RNG.integers(0, 2, 400)
+    df = spark.createDataFrame(pd.DataFrame({"run": "m", "y": y, "p": p}))
+    assert M.auc(df, ["run"]).first().auc == pytest.approx(brute_auc(y, p), abs=1e-12)
+    assert M.roc_curve(df, ["run"]).where("tpr = 1 AND fpr = 1").count() >= 1
