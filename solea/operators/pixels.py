@@ -288,7 +288,11 @@ def clahe(df: DataFrame, clip: Column | float = 3.5, tiles: int = 8, key: list[s
     return rows.select(*key, "row_no", F.posexplode(F.transform("__line", blend)).alias("col_no", "v"))
 
 
-def clahe_selection(df: DataFrame, clips: list[float], tiles: int, key: list[str] = IMAGE, tol: float = 0.01, sds: float = 1.0) -> DataFrame:
+# The clip limits that are tried
+CLIP_LIMITS = [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 6.0]
+
+
+def clahe_selection(df: DataFrame, clips: list[float] = CLIP_LIMITS, tiles: int = 8, key: list[str] = IMAGE, tol: float = 0.01, sds: float = 1.0) -> DataFrame:
     """Sweep clip limits: the smallest with entropy within ``tol`` of the best and noise below mean + ``sds`` SD."""
     swept = df.withColumn("clip", F.explode(F.array(*map(F.lit, clips))))
     wide = [*key, "clip"]

@@ -238,3 +238,47 @@ def test_files_that_are_no_images(spark, tmp_path):
     assert [(r.row_no, r.col_no, r.r, r.g, r.b) for r in found] == [(0, 0, 0, 100, 200), (1, 0, 10, 100, 200)]
     bad = I.undecodable_images(spark, str(tmp_path)).collect()
     assert [r.image_id.rsplit("/", 1)[1] for r in bad] == ["bad.png"] and bad[0].error == "not an image"
+
+
+def plain_clahe(img, clip, tiles):
+    size = len(img) // tiles
+    luts = np.empty((tiles, tiles, 256))
+    for y in range(tiles):
+        for x in range(tiles):
+            counts = np.bincount(img[y * size : (y + 1) * size, x * size : (x + 1) * size].ravel(), minlength=256)
+            cap = max(int(clip * size * size / 256), 1)
+            excess = np.maximum(counts - cap, 0).sum()
+            counts = np.minimum(counts, cap) + excess // 256
+            rest = excess % 256
+            if rest:
+                counts[np.arange(rest) * max(256 // rest, 1)] += 1
+            luts[y, x] = np.minimum(np.rint(counts.cumsum() * (255.0 / size**2)), 255)
+    out = np.empty_like(img)
+    for (r, c), v in np.ndenumerate(img):
+        fy, fx = r / size - 0.5, c / size - 0.5
+        ya, xa = fy - np.floor(fy), fx - np.floor(fx)
+        y1, y2, x1, x2 = max(int(np.floor(fy)), 0), min(int(np.floor(fy)) + 1, tiles - 1), max(int(np.floor(fx)), 0), min(int(np.floor(fx)) + 1, tiles - 1)
+        out[r, c] = np.rint((luts[y1, x1, v] * (1 - xa) + luts[y1, x2, v] * xa) * (1 - ya) + (luts[y2, x1, v] * (1 - xa) + luts[y2, x2, v] * xa) * ya)
+    return out
+
+
+def test_clip_limits_against_plain_loops(spark):
+    row, col = np.mgrid[0:32, 0:32]
+    images = [(40 + 3 * col + RNG.integers(0, 9, (32, 32))) % 256, np.where((row - 16) ** 2 + (col - 16) ** 2 < 150, 180 + RNG.integers(0, 30, (32, 32)), 0), RNG.integers(0, 256, (32, 32))]
+    taps = np.exp(-0.5 * (np.arange(-12, 13) / 3.0) ** 2)
+    taps /= taps.sum()
+    found = {r.image_id: r for r in X.clahe_selection(to_px(spark, images), tiles=2).collect()}
+    for i, img in enumerate(images):
+        entropies, noises = [], []
+        for clip in X.CLIP_LIMITS:
+            out = plain_clahe(img, clip, 2)
+            share = np.unique(out[img > 0], return_counts=True)[1] / (img > 0).sum()
+            entropies.append(-(share * np.log2(share)).sum())
+            blur = out.astype(float)
+            for axis in (0, 1):
+                blur = np.apply_along_axis(lambda line: np.convolve(np.pad(line, 12, "symmetric"), taps, "valid"), axis, blur)
+            noises.append(np.abs(out - blur).mean())
+        limit = np.mean(noises) + np.std(noises)
+        want = [c for c, e, n in zip(X.CLIP_LIMITS, entropies, noises) if e >= 0.99 * max(entropies) and n <= limit]
+        assert found[i].max_entropy == pytest.approx(max(entropies), abs=1e-9) and found[i].clip == (min(want) if want else None)
+    assert len(set(np.round(entropies, 6))) > 3  # the limits differ
