@@ -3,11 +3,12 @@
 The standard library's parser streams events; block tags end a line, as no page can be trusted to break its own. Each
 line has its text, its tags and the characters inside links. The logarithm of its unlinked characters for each tag is
 smoothed with a Gaussian over neighbouring lines (those of another element count little) and split into two clusters;
-the upper one marks content. Names of elements and classes only weigh a line's ratio: an article's lines in full, those of
+the upper one marks content. Names of elements and classes weigh a line's ratio: an article's lines in full, those of
 elements without a telling name a little less, those of menus, notices, adverts, forms or comments next to nothing.
 
 The content region is found from the marked characters of every element: from the document downwards into the child that
-holds most of them, until an article or an element that has marked lines or headings of its own. The text is every marked line of the
+holds most of them, until an article or an element that has marked lines or headings of its own; named content elements are
+preferred where they hold most of the marked characters. The text is every marked line of the
 region and, between them, the short lines that no cluster can tell apart, unless their names speak against them or, outside
 of articles, they are lists of links or hold little beside the rest. Where nothing is marked, there is no text.
 
