@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from solea.operators import features as X
+from solea.operators import forests as T
 from solea.operators import learners as L
 from solea.operators import neighbours as N
 from solea.operators import splits as S
@@ -98,3 +99,38 @@ def test_patients_stay_together_and_classes_spread(spark):
     test, cv = [r for r in per if r.fold == -1], [r for r in per if r.fold >= 0]
     assert test[0].n == 41 or abs(test[0].n - 40) <= 1
     assert max(r.n for r in cv) - min(r.n for r in cv) <= 2 and max(r.pos for r in cv) - min(r.pos for r in cv) <= 1
+
+
+@pytest.mark.parametrize("small", [60, 10_000])
+def test_forests_grow_whole_trees_and_leave_only_their_tops_on_the_driver(spark, monkeypatch, small):
+    monkeypatch.setattr(T, "SMALL", small)
+    y = RNG.integers(0, 2, 500)
+    x = RNG.normal(size=(500, 6))
+    x[:, 2] += y
+    train = wide(spark, x, y, start=-200).repartition(3)
+    whole = T.Forest(train, 5, bootstrap=False, balanced=True, seed=1)
+    nodes = [len(tree[0]) for tree in whole.top]
+    assert max(nodes) == 1 if small > 500 else 500 / small < min(nodes) and max(nodes) < 500 / 5  # a whole tree has far more
+    got = {r.id: r.prob for r in whole.probabilities(train).collect()}
+    assert [got[i - 200] for i in range(500)] == [float(v) for v in y]  # grown until every leaf is pure
+    share = T.Forest(train, 20, bootstrap=True, balanced=False, seed=1).importances()
+    assert share.sum() == pytest.approx(1) and share.argmax() == 2
+    again = [{r.id: r.prob for r in T.Forest(df, 4, bootstrap=True, balanced=True, seed=3).probabilities(df.limit(1000)).collect()} for df in (train, train.repartition(7))]
+    assert again[0] == again[1] and len(set(again[0].values())) > 2
+
+
+def test_forest_splits_at_the_best_gini_bin():
+    bins = RNG.integers(0, 32, (300, 4)).astype(np.uint8)
+    y, w = RNG.integers(0, 2, 300), RNG.integers(1, 4, 300).astype(float)
+    at, last, gain = T._best(T._histograms(np.zeros(300, dtype=int), 1, bins, y, w, np.array([[3, 1, 0, 2]])))
+    gini = lambda m: 2 * (w[m] @ y[m]) * (w[m] @ (1 - y[m])) / w[m].sum() if m.any() else 0.0
+    best = min((gini(bins[:, f] <= c) + gini(bins[:, f] > c), k) for k, (f, c) in enumerate((f, c) for f in (3, 1, 0, 2) for c in range(31)))
+    assert (at[0], last[0]) == divmod(best[1], 31) and 2 * gain[0] == pytest.approx(gini(y >= 0) - best[0])
+
+
+def test_forest_of_hot_rows_and_of_one_class(spark, monkeypatch):
+    monkeypatch.setattr(T, "SMALL", 20)
+    rows = wide(spark, np.ones((90, 2)), [1] * 30 + [0] * 60)  # equal rows cannot be split, however many
+    assert [r.prob for r in T.Forest(rows, 3, False, False, 1).probabilities(rows).collect()] == pytest.approx([1 / 3] * 90)
+    rows = wide(spark, RNG.normal(size=(50, 2)), [1] * 50)
+    assert [r.prob for r in L.forest(rows, rows, 3).collect()] == [1.0] * 50
