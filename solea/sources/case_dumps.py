@@ -22,8 +22,12 @@ ROI_SCHEMA = "rid STRING, savedAt STRING, summary MAP<STRING,STRUCT<region_count
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """One JSON document per file with the file's stem."""
-    files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-    stem = F.regexp_extract(F.input_file_name(), r"/(?:file=)?([^/=]+?)(?:\.json)?(?:/part-[^/]*)?$", 1)
+    return named_documents(spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).withColumn("path", F.input_file_name()))
+
+
+def named_documents(files: DataFrame) -> DataFrame:
+    """The same out of files as rows ``(path, value)``."""
+    stem = F.regexp_extract("path", r"/(?:file=)?([^/=]+?)(?:\.json)?(?:/part-[^/]*)?$", 1)
     return files.select(stem.alias("stem"), "value")
 
 

@@ -74,7 +74,11 @@ _TREE = r"/(?:grp=)?([A-Za-z0-9]+)/(?:folder=)?([A-Za-z0-9]+)_([MF])/(?:file=)?(
 
 def scan_image_tree(spark: SparkSession, root: str) -> DataFrame:
     """One row per image file of a group/patient/foot tree. Only L and R files count; file content is not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    return image_tree(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length"))
+
+
+def image_tree(files: DataFrame) -> DataFrame:
+    """The same out of a listing ``(path, length)``."""
     part = lambda i: F.regexp_extract("path", _TREE, i)
     return files.filter(F.col("path").rlike(_TREE)).select(
         "path", part(1).alias("grp"), part(2).alias("patient"), part(3).alias("sex"), part(4).alias("foot"), "length"

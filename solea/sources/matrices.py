@@ -18,6 +18,11 @@ def read_matrix_csv(spark: SparkSession, root: str) -> DataFrame:
         spark.read.option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
         .option("ignoreCorruptFiles", "true").text(root, wholetext=True).withColumn("path", F.input_file_name())
     )
+    return matrix_cells(files)
+
+
+def matrix_cells(files: DataFrame) -> DataFrame:
+    """The same cells out of files as rows ``(path, value)``."""
     part = lambda i: F.regexp_extract("path", _MATRIX, i)
     lines = F.filter(F.split("value", "\r?\n"), lambda s: F.trim(s) != "")
     cells = F.transform(lines, lambda s: F.transform(F.split(s, ","), lambda c: F.trim(c).try_cast("double")))

@@ -1,6 +1,7 @@
 """Case tables, sources and streams on small literal inputs."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +9,12 @@ from pyspark.sql import functions as F
 from solea.functions.running import next_value, running
 from solea.operators import case_tables as C
 from solea.operators import thermal as T
+from solea.plans import QUERIES
+from solea.session import shared_dir
 from solea.sources import case_dumps as D
+from solea.sources import images as I
 from solea.sources import matrices as R
+from solea.sources import packs as K
 from solea.streaming import case_streams as S
 
 
@@ -93,6 +98,28 @@ def test_matrix_files(spark, tmp_path):
     assert [(r.stem, r.zone, r.temp) for r in rows] == [("S1_F_L", "FullFoot", t) for t in (30.5, 0.0, 31.0, 32.25)]
 
 
+@pytest.mark.parametrize("name,label", [("scan_image_tree", "tree"), ("read_matrix_csv", "matrix"), ("import_cases", "forms")])
+def test_number_of_real_files_does_not_follow_the_documents(spark, name, label):
+    root = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(root.glob(f"{label}-*"))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    (made,) = set(root.glob(f"{label}-*")) - before
+    assert sum(p.suffix != ".crc" and p.name != "_SUCCESS" for p in made.rglob("*") if p.is_file()) <= 8 < spark.read.parquet(str(made)).count()
+
+
+def test_packs_read_as_their_files(spark, tmp_path):
+    files = {"DM/S1_F/L.png": "12", "DM/S1_F/notes.txt": "x", "CT/S2_M/R.png": "7", "P0001.json": '{"nurse": "a"}', "S1_F_L.csv": "30.5,0\n31,32.25\n", "S2_M_R_MCA.csv": "x,2\n"}
+    for path, value in files.items():
+        (tmp_path / "tree" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / path).write_text(value)
+    K.write_pack(spark.createDataFrame([(f"/{p}", v) for p, v in files.items()], "path string, value string"), str(tmp_path / "pack"))
+    tree, pack = str(tmp_path / "tree"), K.read_pack(spark, str(tmp_path / "pack"))
+    same = lambda a, b: sorted(a.drop("path").collect(), key=str) == sorted(b.drop("path").collect(), key=str) != []
+    assert same(I.scan_image_tree(spark, tree), I.image_tree(pack.select("path", F.octet_length("value").cast("bigint").alias("length"))))
+    assert same(R.read_matrix_csv(spark, tree), R.matrix_cells(pack))
+    assert same(D.read_documents(spark, tree), D.named_documents(pack))
+
+
 def test_log_files(spark, tmp_path):
     (tmp_path / "run.txt").write_text("[2026-01-01 10:00:00] Epoch 5/50  val_loss=0.25\nplain text\n[2026-01-01 10:00:09]   Early stopping at epoch 7")
     rows = R.read_run_logs(spark, str(tmp_path)).orderBy("line_no").collect()
