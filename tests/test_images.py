@@ -282,3 +282,9 @@ def test_clip_limits_against_plain_loops(spark):
         want = [c for c, e, n in zip(X.CLIP_LIMITS, entropies, noises) if e >= 0.99 * max(entropies) and n <= limit]
         assert found[i].max_entropy == pytest.approx(max(entropies), abs=1e-9) and found[i].clip == (min(want) if want else None)
     assert len(set(np.round(entropies, 6))) > 3  # the limits differ
+
+
+def test_frames_do_not_grow_with_the_partition():
+    px = pd.DataFrame({"k": np.arange(600_000) // 64, "v": np.uint8(0)})
+    frames = [len(f) for f in B.whole_groups((px.iloc[i : i + 10_000] for i in range(0, len(px), 10_000)), ["k"])]
+    assert sum(frames) == len(px) and max(frames) <= 120_000
