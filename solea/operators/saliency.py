@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from solea.functions.batches import starts, whole_groups
 from solea.operators.boxes import points_in_box
 from solea.operators.pixels import _both_axes
 from solea.session import cut_lineage
@@ -41,21 +44,27 @@ def grad_cam_pp(maps: DataFrame) -> DataFrame:
 def eigen_cam(maps: DataFrame) -> DataFrame:
     """First left singular vector of the channel-centred map matrix; the entry of largest size is made positive.
 
-    Channels become arrays on the JVM side; one group is the map stack of one network layer for one image.
+    The map stacks of many images are decomposed together; a stack has the same cells in every channel.
     """
-    cells = F.sort_array(F.collect_list(F.struct("h", "w", "act")))
-    rows = maps.groupBy("image_id", "ch").agg(cells.alias("cells"))
-
-    def leading(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        stack = np.array([[c["act"] for c in row] for row in pdf.sort_values("ch").cells])
-        centred = stack - stack.mean(axis=1, keepdims=True)
-        u = np.linalg.svd(centred.T, full_matrices=False)[0][:, 0]
-        u = u * (1.0 if u[np.argmax(np.abs(u).round(12))] >= 0 else -1.0)
-        u = u - u.min()
-        where = pdf.cells.iloc[0]
-        return pd.DataFrame({"image_id": key[0], "h": [c["h"] for c in where], "w": [c["w"] for c in where], "cam": u / (u.max() + _EPS)})
 
-    return rows.groupBy("image_id").applyInPandas(leading, "image_id bigint, h int, w int, cam double")
+    def leading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, ["image_id"]):
+            first = np.flatnonzero(starts(pdf, ["image_id"]).to_numpy())
+            size, channels = np.diff(np.append(first, len(pdf))), np.add.reduceat(starts(pdf, ["image_id", "ch"]).to_numpy(np.int64), first)
+            act = pdf["act"].to_numpy(np.float64)
+            for n, k in set(zip(size.tolist(), channels.tolist())):
+                own = first[(size == n) & (channels == k)]
+                stack = act[own[:, None] + np.arange(n)].reshape(len(own), k, n // k)
+                centred = stack - stack.mean(axis=2, keepdims=True)
+                u = np.linalg.svd(centred.transpose(0, 2, 1), full_matrices=False)[0][:, :, 0]
+                top = np.take_along_axis(u, np.abs(u).round(12).argmax(axis=1)[:, None], axis=1)
+                u = u * np.where(top >= 0, 1.0, -1.0)
+                u = u - u.min(axis=1, keepdims=True)
+                where = pdf.iloc[(own[:, None] + np.arange(n // k)).ravel()]
+                yield pd.DataFrame({c: where[c].to_numpy() for c in ("image_id", "h", "w")} | {"cam": (u / (u.max(axis=1, keepdims=True) + _EPS)).ravel()})
+
+    dealt = maps.select("image_id", "ch", "h", "w", "act").repartition("image_id").sortWithinPartitions("image_id", "ch", "h", "w")
+    return dealt.mapInPandas(leading, "image_id bigint, h int, w int, cam double")
 
 
 def upsample_map(cam: DataFrame, target: int = 224) -> DataFrame:
@@ -78,8 +87,8 @@ def upsample_map(cam: DataFrame, target: int = 224) -> DataFrame:
 
 def high_activation(cam: DataFrame, share: float = 0.95) -> DataFrame:
     """Pixels at or above the image's percentile. A map has a fixed number of cells, so the exact percentile is small."""
-    cut = cam.groupBy("image_id").agg(F.percentile(F.round("cam", 9), share).alias("cut"))
-    return cam.join(cut, "image_id").filter(F.round("cam", 9) >= F.col("cut"))
+    cut = F.percentile(F.round("cam", 9), F.lit(share)).over(Window.partitionBy("image_id"))
+    return cam.withColumn("cut", cut).filter(F.round("cam", 9) >= F.col("cut"))
 
 
 def pointing_game(cams: dict[str, DataFrame], boxes: DataFrame, target: int = 224) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from solea.functions import batches as B
 from solea.operators import pixels as X
 from solea.operators import regions as G
+from solea.operators import saliency as C
 from solea.operators import segmentation as S
 from solea.plans.foot_images import prepare_feet
 from solea.sources import images as I
@@ -304,3 +305,19 @@ def test_frames_do_not_grow_with_the_partition():
     px = pd.DataFrame({"k": np.arange(600_000) // 64, "v": np.uint8(0)})
     frames = [len(f) for f in B.whole_groups((px.iloc[i : i + 10_000] for i in range(0, len(px), 10_000)), ["k"])]
     assert sum(frames) == len(px) and max(frames) <= 120_000
+
+
+def test_eigen_maps_of_many_images_and_shapes_need_no_group_each(spark):
+    stacks = [RNG.normal(size=(k, h, w)) for k, h, w in ((4, 2, 3), (2, 3, 2), (4, 3, 2), (4, 2, 3), (1, 1, 4))]
+    rows = [(i, c, h, w, float(v)) for i, stack in enumerate(stacks) for (c, h, w), v in np.ndenumerate(stack)]
+    found = C.eigen_cam(spark.createDataFrame(rows, "image_id bigint, ch int, h int, w int, act double").repartition(3))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+    got = {(r.image_id, r.h, r.w): r.cam for r in found.collect()}
+    assert len(got) == sum(stack[0].size for stack in stacks)
+    for i, stack in enumerate(stacks):
+        flat = stack.reshape(len(stack), -1)
+        u = np.linalg.svd((flat - flat.mean(axis=1, keepdims=True)).T, full_matrices=False)[0][:, 0]
+        u = u * (1.0 if u[np.argmax(np.abs(u).round(12))] >= 0 else -1.0)
+        u = u - u.min()
+        assert [got[i, h, w] for h, w in np.ndindex(stack.shape[1:])] == pytest.approx(u / (u.max() + 1e-8))
