@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from solea.operators import boosting as B
 from solea.operators import features as X
 from solea.operators import forests as T
 from solea.operators import learners as L
@@ -134,3 +135,20 @@ def test_forest_of_hot_rows_and_of_one_class(spark, monkeypatch):
     assert [r.prob for r in T.Forest(rows, 3, False, False, 1).probabilities(rows).collect()] == pytest.approx([1 / 3] * 90)
     rows = wide(spark, RNG.normal(size=(50, 2)), [1] * 50)
     assert [r.prob for r in L.forest(rows, rows, 3).collect()] == [1.0] * 50
+
+
+def test_boosted_ranking_is_sparks_without_a_job_a_round(spark):
+    from pyspark.ml.classification import GBTClassifier
+
+    x = RNG.integers(0, 9, (400, 5)).astype(float)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] / 4 + RNG.normal(scale=2, size=400)) > 9).astype(int)
+    train = wide(spark, x, y)
+    for rounds, depth, near in ((1, 6, 1e-9), (10, 2, 1e-6), (30, 6, 0.02)):  # in small nodes equal splits are told apart by rounding only
+        want = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=L.SEED).fit(L._vectors(train)).featureImportances.toArray()
+        assert np.allclose(B.importances(train, rounds, depth, 0.3, L.SEED), want, atol=near)
+    context = spark.sparkContext
+    context.setJobGroup("boosted ranking", "")
+    L.feature_ranking(train, "XGBoost", trees=30).collect()
+    jobs = len(context.statusTracker().getJobIdsForGroup("boosted ranking"))
+    context.setJobGroup("after", "")
+    assert jobs < 30
