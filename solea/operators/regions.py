@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from solea.functions.batches import starts, whole_groups
 from solea.operators import labelling as L
 from solea.operators.pixels import IMAGE, extent
+from solea.session import cut_lineage
 
 _ROW = 1 << 20  # pixel number = row * _ROW + column
 
@@ -31,10 +32,10 @@ def runs(mask: DataFrame, key: list[str] = IMAGE) -> DataFrame:
     return out.select(*key, "row_no", "start", "stop", F.col("__i").isNotNull().alias("mask"))
 
 
-def per_image(mask: DataFrame, key: list[str], work: Callable[[L.Runs], tuple[L.Runs, dict[str, np.ndarray]]], more: str) -> DataFrame:
-    """Runs ``(key, row_no, start, stop, more...)`` that ``work`` makes of the foreground runs of many whole images at a time."""
+def of_images(mask: DataFrame, key: list[str], work: Callable[[L.Runs], tuple[np.ndarray, dict[str, np.ndarray]]], columns: str) -> DataFrame:
+    """Rows ``(key, columns...)`` that ``work`` makes of the foreground runs of many whole images at a time, with the image of each row."""
     types = dict(mask.dtypes)
-    schema = "".join(f"`{c}` {types[c]}, " for c in key) + "row_no int, start int, stop int, " + more
+    schema = "".join(f"`{c}` {types[c]}, " for c in key) + columns
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, key):
@@ -43,17 +44,31 @@ def per_image(mask: DataFrame, key: list[str], work: Callable[[L.Runs], tuple[L.
             row, start, stop = (pdf[c].to_numpy(np.int64) for c in ("row_no", "start", "stop"))
             size = np.maximum.reduceat(row, first) + 1, np.maximum.reduceat(stop, first) + 1
             kept = pdf["mask"].to_numpy(bool)
-            made, columns = work(L.Runs(image[kept], row[kept], start[kept], stop[kept], *size))
-            keys = pdf[key].iloc[first[made.image]].reset_index(drop=True)
-            yield keys.assign(row_no=made.row, start=made.start, stop=made.stop, **columns)
+            made, values = work(L.Runs(image[kept], row[kept], start[kept], stop[kept], *size))
+            yield pdf[key].iloc[first[made]].reset_index(drop=True).assign(**values)
 
     return runs(mask, key).sortWithinPartitions(*key, "row_no", "start").mapInPandas(lambda batches: step(batches), schema)
 
 
-def component_runs(mask: DataFrame, connectivity: int = 8, key: list[str] = IMAGE) -> DataFrame:
-    """Runs with the component they belong to (``comp`` = its first pixel number in row order)."""
+def per_image(mask: DataFrame, key: list[str], work: Callable[[L.Runs], tuple[L.Runs, dict[str, np.ndarray]]], more: str) -> DataFrame:
+    """Runs ``(key, row_no, start, stop, more...)`` that ``work`` makes of the foreground runs of many whole images at a time."""
+
+    def rows(r: L.Runs) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        made, columns = work(r)
+        return made.image, {"row_no": made.row, "start": made.start, "stop": made.stop, **columns}
+
+    return of_images(mask, key, rows, "row_no int, start int, stop int, " + more)
+
+
+def component_runs(mask: DataFrame, connectivity: int = 8, key: list[str] = IMAGE, kernel: tuple[Callable[[np.ndarray], np.ndarray], int] | None = None) -> DataFrame:
+    """Runs with the component they belong to (``comp`` = its first pixel number in row order).
+
+    With ``kernel`` the foreground is dilated first: its height as a function of the images' heights, and its width.
+    """
 
     def label(r: L.Runs):
+        if kernel:
+            r = L.dilated(r, kernel[0](r.height), kernel[1])
         root = L.components(r, connectivity)
         return r, {"comp": r.row[root] * _ROW + r.start[root]}
 
@@ -125,8 +140,8 @@ def dilate_rect(mask: DataFrame, height: Column | int, width: Column | int = 5,
     return df.drop("__h", "__w")
 
 
-def kernel_height(height: Column, percent: int = 12, least: int = 10) -> Column:
-    return F.greatest(F.lit(least), F.floor(height * percent / 100).cast("int"))
+def kernel_height(height: np.ndarray, percent: int = 12, least: int = 10) -> np.ndarray:
+    return np.maximum(height * percent // 100, least)
 
 
 def pad_offsets(h: Column, w: Column) -> dict[str, Column]:
@@ -254,20 +269,23 @@ def threshold_sensitivity(px: DataFrame, fixed: list[int], otsu: DataFrame, key:
 
 def dilation_sweep(mask: DataFrame, percents: list[int], key: list[str] = IMAGE, min_area: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Status per image and kernel size (one column each), and the smallest size that is OK for every image."""
-    wide = [*key, "pct"]
-    size = extent(mask, key)
-    swept = mask.join(size, key).withColumn("pct", F.explode(F.array(*map(F.lit, percents))))
-    kernel = F.greatest(F.lit(3), F.floor(F.col("height") * F.col("pct") / 100).cast("int"))
-    grown = dilate_rect(swept, kernel, 5, wide)
-    boxes = component_boxes(component_runs(grown.select(*wide, "row_no", "col_no", "mask"), 4, wide), wide)
-    grid = size.withColumn("pct", F.explode(F.array(*map(F.lit, percents))))
-    big = grid.join(boxes, wide, "left").groupBy(*wide).agg(
-        F.count_if(F.col("size") >= F.col("height") * F.col("width") * min_area).alias("n")
-    )
-    status = F.when(F.col("n") == 2, "OK").when(F.col("n") == 1, "merged").when(F.col("n") == 0, "failed").otherwise(
-        F.concat(F.lit(">"), F.col("n").cast("string"), F.lit(" regions"))
+    names = [str(p) for p in percents]
+
+    def count(r: L.Runs):
+        """Components of at least the wanted share of the image, per image and kernel; no pixel is copied for a kernel."""
+        images, found = len(r.height), {}
+        for name, percent in zip(names, percents):
+            grown = L.dilated(r, kernel_height(r.height, percent, 3), 5)
+            root = L.components(grown, 4)
+            size = np.bincount(root, grown.stop - grown.start + 1, len(root))
+            big = np.flatnonzero((size > 0) & (size >= (r.height * r.width * min_area)[grown.image]))
+            found[name] = np.bincount(grown.image[big], minlength=images)
+        return np.arange(images), found
+
+    counts = cut_lineage(of_images(mask, key, count, ", ".join(f"`{n}` int" for n in names)))  # read twice, one row per image
+    status = lambda n: F.when(F.col(n) == 2, "OK").when(F.col(n) == 1, "merged").when(F.col(n) == 0, "failed").otherwise(
+        F.concat(F.lit(">"), F.col(n).cast("string"), F.lit(" regions"))
     )
-    judged = big.withColumn("status", status)
-    table = judged.groupBy(*key).pivot("pct", percents).agg(F.first("status"))
-    all_ok = judged.groupBy("pct").agg(F.bool_and(F.col("status") == "OK").alias("ok")).agg(F.min(F.when(F.col("ok"), F.col("pct"))).alias("best_pct"))
-    return table, all_ok
+    table = counts.select(*key, *[status(n).alias(n) for n in names])
+    ok = counts.agg(*[F.bool_and(F.col(n) == 2).alias(n) for n in names])
+    return table, ok.select(F.array_min(F.array(*[F.when(F.col(n), F.lit(p)) for n, p in zip(names, percents)])).alias("best_pct"))

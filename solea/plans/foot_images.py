@@ -24,10 +24,9 @@ def prepare_feet(px: DataFrame, target: int = 224, clip: float = 3.5, tiles: int
     px, faulty = quarantine(px, ["r", "g", "b"], key)
     seg = segment_foot(px, seed=seed, key=key)
     sole = cut_lineage(X.mask_image(seg, F.col("mask"), ["r", "g", "b"]).select(*key, "row_no", "col_no", "r", "g", "b"))
-    lit = sole.join(X.extent(sole, key), key).withColumn("mask", F.col("r") + F.col("g") + F.col("b") > 0)
-    grown = G.dilate_rect(lit, G.kernel_height(F.col("height"), least=least_kernel), kernel_width, key)
-    boxes = G.component_boxes(G.component_runs(grown, 8, key), key)
-    feet = G.split_feet(boxes, sole, key)
+    lit = sole.withColumn("mask", F.col("r") + F.col("g") + F.col("b") > 0)
+    boxes = G.component_boxes(G.component_runs(lit, 8, key, (lambda height: G.kernel_height(height, least=least_kernel), kernel_width)), key)
+    feet = cut_lineage(G.split_feet(boxes, sole, key))  # a few rows per image, read by the crops and the status rows
     wide = [*key, "foot"]
     original = cut_lineage(G.crop_squares(sole, feet, ["r", "g", "b"], key))
     full = cut_lineage(X.clahe(X.grayscale(original).select(*wide, "row_no", "col_no", "v"), clip, tiles, wide))

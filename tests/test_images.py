@@ -321,3 +321,34 @@ def test_eigen_maps_of_many_images_and_shapes_need_no_group_each(spark):
         u = u * (1.0 if u[np.argmax(np.abs(u).round(12))] >= 0 else -1.0)
         u = u - u.min()
         assert [got[i, h, w] for h, w in np.ndindex(stack.shape[1:])] == pytest.approx(u / (u.max() + 1e-8))
+
+
+def test_dilation_sweep_of_uneven_images_copies_no_pixel_for_a_kernel(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    images = [(rng.random((h, w)) < share).astype(int) for h, w, share in ((40, 33, 0.01), (67, 30, 0.02), (25, 51, 0.004), (9, 9, 0.0), (1, 1, 1.0))]
+    plans = []
+    monkeypatch.setattr(G, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().toString()) or df)
+    percents = [4, 12, 30]
+    table, best = G.dilation_sweep(masks(spark, images), percents)
+    assert plans and not any("explode" in plan for plan in plans)
+    got = {r.image_id: [r[str(p)] for p in percents] for r in table.collect()}
+    for i, img in enumerate(images):
+        for p, status in zip(percents, got[i]):
+            h, grown = max(3, img.shape[0] * p // 100), np.zeros_like(img)
+            for y, x in zip(*np.nonzero(img)):
+                grown[max(y - h // 2, 0) : y + (h - 1) // 2 + 1, max(x - 2, 0) : x + 3] = 1
+            whole = G.dilate_rect(masks(spark, [img]), h, 5) if i == 1 else None
+            if whole is not None:
+                assert {(r.row_no, r.col_no) for r in whole.filter("mask").collect()} == set(zip(*map(list, np.nonzero(grown))))
+            seen, n = np.zeros_like(grown), 0
+            for start in zip(*np.nonzero(grown)):
+                stack, size = [start], 0
+                while stack:
+                    y, x = stack.pop()
+                    if 0 <= y < img.shape[0] and 0 <= x < img.shape[1] and grown[y, x] and not seen[y, x]:
+                        seen[y, x], size = 1, size + 1
+                        stack += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+                n += size > 0 and size >= img.size * 0.05
+            assert status == {0: "failed", 1: "merged", 2: "OK"}.get(n, f">{n} regions")
+    assert best.first().best_pct is None
+    assert G.dilation_sweep(masks(spark, [np.eye(1, 40, dtype=int) + np.eye(1, 40, 30, dtype=int)]), [50, 4])[1].first().best_pct == 4
