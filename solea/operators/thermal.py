@@ -76,9 +76,21 @@ def zone_features(temps: DataFrame, by: list[str]) -> DataFrame:
     return per.withColumn("hse", F.abs(F.col("hottest") - F.col("et")))
 
 
+def class_counts(temps: DataFrame, by: list[str]) -> DataFrame:
+    """Hottest non-zero pixel and pixels per nearest class, out of one grouping: tasks hold one row per zone, not one per temperature."""
+    near = nonzero_pixels(temps).withColumn("__cls", nearest_class(F.col("temp")))
+    counts = F.array(*[F.count_if(F.col("__cls") == i) for i in range(len(CLASS_TEMPS))])
+    return near.groupBy(*by).agg(F.max("temp").alias("hottest"), counts.alias("__counts"))
+
+
 def estimated_temp(temps: DataFrame, by: list[str]) -> DataFrame:
-    per = temp_counts(temps, by).groupBy(*by).agg(_class_counts().alias("__counts"))
-    return per.select(*by, _estimate(F.col("__counts")).alias("et"))
+    return class_counts(temps, by).select(*by, _estimate(F.col("__counts")).alias("et"))
+
+
+def hottest_deviation(temps: DataFrame, by: list[str]) -> DataFrame:
+    """Maximum and HSE, its distance to ET."""
+    per = class_counts(temps, by).select(*by, "hottest", _estimate(F.col("__counts")).alias("et"))
+    return per.withColumn("hse", F.abs(F.col("hottest") - F.col("et")))
 
 
 def opposite_foot(et: DataFrame, subject: list[str], foot: str = "foot", zone: str = "zone") -> DataFrame:

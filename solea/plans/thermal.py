@@ -56,7 +56,7 @@ def _(t):
 
 @query("hottest_dev", "image_id:i zone:s hottest:f hse:f", "SELECT image_id, zone, hottest, abs(hottest - et) AS hse FROM zone_rows JOIN ets USING (image_id, zone)")
 def _(t):
-    return T.zone_features(t.zone_temps, ["image_id", "zone"])
+    return T.hottest_deviation(t.zone_temps, ["image_id", "zone"])
 
 
 @query("opposite_foot", "image_id:i zone:s etd:f",

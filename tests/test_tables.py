@@ -209,3 +209,12 @@ def test_csv_file_opens_with_mark_and_header(spark, tmp_path):
         D.write_csv(df, ["pid", "note", "n"], ["pid"], str(tmp_path / name))
         assert b"".join(p.read_bytes() for p in sorted((tmp_path / name).glob("part-*"))).decode() == text
     assert D.read_csv_file(spark, str(tmp_path / "all")).orderBy("part", "line_no").first().value == "\ufeffpid,note,n"
+
+
+@pytest.mark.parametrize("name", ["hottest_dev", "estimated_temp"])
+def test_hottest_and_et_hold_one_row_per_zone(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
+    temps = spark.createDataFrame([(1, "A", t) for t in (0.0, 26.0, 28.6, 28.6, 30.0, 40.0)] + [(1, "B", 0.0), (2, "A", 33.0)], "image_id int, zone string, temp double")
+    row = lambda df: sorted((r.image_id, r.zone, r.hottest, round(r.et, 9), round(r.hse, 9)) for r in df.collect())
+    assert row(T.hottest_deviation(temps, ["image_id", "zone"])) == row(T.zone_features(temps, ["image_id", "zone"]))
