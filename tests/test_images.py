@@ -352,3 +352,41 @@ def test_dilation_sweep_of_uneven_images_copies_no_pixel_for_a_kernel(spark, mon
             assert status == {0: "failed", 1: "merged", 2: "OK"}.get(n, f">{n} regions")
     assert best.first().best_pct is None
     assert G.dilation_sweep(masks(spark, [np.eye(1, 40, dtype=int) + np.eye(1, 40, 30, dtype=int)]), [50, 4])[1].first().best_pct == 4
+
+
+def test_resizing_uneven_images_takes_one_shuffle(spark):
+    rng = np.random.default_rng(4)
+    images = [rng.integers(0, 256, size) for size in ((3, 7), (7, 3), (12, 12), (1, 5), (3, 7))]
+    rows = [(i, y, x, int(v)) for i, img in enumerate(images) for (y, x), v in np.ndenumerate(img)]
+    rows[4] = (*rows[4][:3], None)
+    out = X.resize_bilinear(spark.createDataFrame(rows, "image_id int, row_no int, col_no int, v int"), 5)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r.image_id, r.row_no, r.col_no): r.v for r in out.collect()}
+    assert len(got) == 5 * 25
+
+    def line(values):
+        scale, made = len(values) / 5, []
+        support = max(scale, 1.0)
+        for o in range(5):
+            centre = (o + 0.5) * scale
+            taps = [(max(0.0, 1 - abs((j - centre + 0.5) / support)), values[j]) for j in range(max(int(centre - support + 0.5), 0), min(int(centre + support + 0.5), len(values)))]
+            made.append(int(sum(w * v for w, v in taps) / sum(w for w, _ in taps) + 0.5 + 1e-9))
+        return made
+
+    for i, img in enumerate(images[1:], 1):
+        want = np.array([line(c) for c in np.array([line(r) for r in img]).T]).T
+        assert all(got[i, y, x] == v for (y, x), v in np.ndenumerate(want))
+    assert any(got[0, y, x] is None for y in range(5) for x in range(5)) and got[0, 4, 0] is not None
+
+
+def test_settled_mixtures_rest_while_others_go_on(monkeypatch):
+    rng = np.random.default_rng(2)
+    parts = [rng.normal(size=(30, 3)) * 0.01 + np.repeat(np.eye(3) * 5, 10, 0), rng.normal(size=(200, 3))]
+    first, picked = np.array([0, 30]), np.array([[0, 10, 20], [30, 31, 32]])
+    joint, worked = S._joint, []
+    monkeypatch.setattr(S, "_joint", lambda x, *more: worked.append(len(x)) or joint(x, *more))
+    together = S._fit_mixtures(np.concatenate(parts), np.ones(230), first, picked, 80, 1e-4)
+    alone = [S._fit_mixtures(x, np.ones(len(x)), np.array([0]), p[None] - f, 80, 1e-4) for x, p, f in zip(parts, picked, first)]
+    assert worked[0] == 230 and 200 in worked
+    for i in range(2):
+        assert all(np.allclose(a[i], b[0]) for a, b in zip(together[:3], alone[i][:3])) and np.allclose(together[3][i], alone[i][3][0])
