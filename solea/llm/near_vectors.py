@@ -3,8 +3,8 @@
 A coarse k-means over a bounded sample gives inverted lists; residuals to a list's centroid are coded subspace by subspace. Every distinct vector
 is indexed. Two unit vectors with cosine >= t are at most r = sqrt(2 - 2t) apart. So a vector needs to look only into lists whose
 border with its own list is within r and whose radius plus r reaches it: those probes are sufficient. Inside a list the
-table-lookup distance to a member's code, less the member's own coding error, is a lower bound of the true distance; it is
-taken over the first quarter of the subspaces, then over all. What passes both bounds is reranked by the exact cosine.
+distance to a member's decoded code, less the member's own coding error, is a lower bound of the true distance; a block of probes meets a
+shard's decoded codes in one product of matrices. What passes the bound is reranked by the exact cosine.
 Nothing that is linked can fail a bound, so the result does not depend on the sample.
 
 Work is dealt out as (shard of members, block of probing vectors): shards hold whole lists or, for a list beyond ``SHARD_ROWS``, an even part of
@@ -97,37 +97,20 @@ def _shard_links(own: pd.DataFrame, probes: pd.DataFrame, model: Quantiser, dims
     raw, asked_raw = matrix(own["v"], dims), matrix(probes["v"], dims)
     lists = own["list"].to_numpy()
     unit = unit_rows(raw)
-    codes, rebuilt = model.encode(unit, lists)
-    quarter = max(1, len(model.spaces) // 4)
-    cut = model.spaces[quarter - 1].stop
-    error, error_cut = np.sqrt(((unit - rebuilt) ** 2).sum(1)), np.sqrt(((unit - rebuilt)[:, :cut] ** 2).sum(1))
-    size, size_cut = ((rebuilt**2).sum(1)).astype(np.float32), ((rebuilt[:, :cut] ** 2).sum(1)).astype(np.float32)
-    limit_cut = ((reach + error_cut) ** 2 + SLACK).astype(np.float32)
+    rebuilt = model.encode(unit, lists)[1]
+    error = np.sqrt(((unit - rebuilt) ** 2).sum(1))
+    # x and a member are unit vectors apart by at least |x - rebuilt| - error; |x - rebuilt|^2 = 1 + |rebuilt|^2 - 2 x.rebuilt
+    least = ((1.0 + (rebuilt**2).sum(1) - (reach + error) ** 2) / 2 - 5 * SLACK).astype(np.float32)
+    decoded = np.ascontiguousarray(rebuilt.T, dtype=np.float32)
     nodes, weight = own["node"].to_numpy(), own["copies"].to_numpy()
     asked, asked_weight = probes["node"].to_numpy(), probes["copies"].to_numpy()
     home = probes["home"].to_numpy(bool)
     found_x, found_y = [], []
-    by_list = [np.flatnonzero(lists == k) for k in np.unique(lists)]
     for first in range(0, len(probes), BATCH):
         q = unit_rows(asked_raw[first : first + BATCH])
-        allowed = np.zeros((len(q), len(own)), bool)
         open_lists = _open_lists(q, model, reach, None)
-        for rows in by_list:
-            allowed[:, rows] = open_lists[:, lists[rows[0]]][:, None]
-        # x.rebuilt = x.centroid + sum over subspaces of the table entries of the codes; distance^2 = |x|^2 + |rebuilt|^2 - 2 x.rebuilt
-        tables = [(q[:, s] @ w.T).astype(np.float32) for s, w in zip(model.spaces, model.words)]
-        at_centre = (q[:, :cut] @ model.centroids[:, :cut].T).astype(np.float32)
-        dot = at_centre[:, lists]
-        for m in range(quarter):
-            dot += np.take(tables[m], codes[:, m], axis=1)
-        near = size_cut + (q[:, :cut] ** 2).sum(1)[:, None].astype(np.float32) - 2 * dot <= limit_cut
-        x, y = np.nonzero(near & allowed)
-        if not len(x):
-            continue
-        dot = np.einsum("ij,ij->i", q[x, :], model.centroids[lists[y]])
-        for m, table in enumerate(tables):
-            dot += table[x, codes[y, m]]
-        keep = size[y] + 1.0 - 2 * dot <= (reach + error[y]) ** 2 + 10 * SLACK
+        x, y = np.nonzero(q.astype(np.float32) @ decoded >= least)
+        keep = open_lists[x, lists[y]]
         x, y = x[keep] + first, y[keep]
         once = ~home[x] | (asked[x] < nodes[y])  # inside a shard each pair is counted once, and nothing with itself
         x, y = x[once], y[once]

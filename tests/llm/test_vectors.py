@@ -1,6 +1,7 @@
 """Operators on vectors against all pairs, with copies, ties and rows that take no part."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,20 @@ def test_components_of_chains_and_stars(spark):
     pairs = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(1000, 1100)] + [(3, 3), (None, 5), (9, 8), (8, 9)]
     found = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert {found[k] for k in range(100, 161)} == {100} and {found[k] for k in range(1000, 1100)} == {7} and found[9] == 8
+
+
+def test_a_block_of_probes_meets_a_shard_without_gathering_vectors_for_pairs():
+    import tracemalloc
+
+    x = near_vectors.unit_rows(np.random.default_rng(3).normal(size=(4096, 64)))
+    x[1::8] = near_vectors.unit_rows(x[0::8] + 0.01 * np.random.default_rng(4).normal(size=(512, 64)))
+    model = near_vectors.fit_quantiser(x[::4], 16, codewords=32)
+    own = pd.DataFrame({"node": np.arange(4096), "copies": 1, "v": [r.tobytes() for r in x], "list": model.nearest(x)[1], "home": True})
+    tracemalloc.start()
+    got = near_vectors._shard_links(own, own, model, 64, 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert dict(zip(got["node"], got["links"])) == {i: n for i, n in enumerate(near.sum(1)) if n}
+    assert peak < 24e6
