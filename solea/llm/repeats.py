@@ -8,7 +8,7 @@ of neighbours. Where a neighbour shares ``length`` symbols the string starting i
 temporary file of the task that is read once, in order, and removed with the task.
 
 Stages: count elected k-grams; keep occurrences of those met twice; cut their segments; make equal segments one (a segment met
-twice is repeated throughout); order the distinct ones; send the runs back to the texts. Equal texts form one class that is
+twice is repeated throughout); order the distinct ones; send the runs back to the texts. Equal texts (by a 128-bit digest) form one class that is
 processed once. A k-gram with more than ``GROUP_ROWS`` distinct segments does not meet in one task: its strings are counted by a
 128-bit digest instead, which also is exact up to that digest. k-gram hashes only propose; symbols decide.
 
@@ -162,7 +162,8 @@ def _merged(spans: Column) -> Column:
 
 
 def _text_key(text: Column) -> Column:
-    return F.unhex(F.sha2(text.cast("binary"), 256))
+    """128 bits of a digest: the key is shuffled with every place and segment."""
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
 def _electors(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -241,10 +242,10 @@ def remove_repeats(documents: DataFrame, length: int = 200, gram: int = GRAM) ->
 
     elected, elected_path = store(_electors(texts, length, gram), "elected")
     shared, shared_path = store(elected.groupBy("gram").agg(F.count("*").alias("met")).where("met > 1").select("gram"), "shared")
-    places = elected.join(_small_side(shared), "gram").groupBy("d").agg(F.collect_list(F.struct("gram", "place", "low", "high")).alias("found"))
-    places, places_path = store(places, "places")
+    places, places_path = store(elected.join(_small_side(shared), "gram"), "places")
     release(spark, elected_path, shared_path)
-    involved = texts.join(_small_side(places.select("d")), "d", "left_semi").dropDuplicates(["d"]).join(places, "d")
+    found = places.groupBy("d").agg(F.collect_list(F.struct("gram", "place", "low", "high")).alias("found"))  # meets its text in the same shuffle
+    involved = texts.join(_small_side(places.select("d").distinct()), "d", "left_semi").dropDuplicates(["d"]).join(found, "d")
     occurrences, occurrences_path = store(_segments(involved, length), "segments")
     release(spark, places_path)
 

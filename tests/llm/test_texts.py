@@ -477,3 +477,13 @@ def test_pages_against_their_articles(spark):
 def test_leading_share_changes_no_result(documents, lead):
     at = lambda df: sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in df.collect())
     assert at(jaccard.similar_classes(documents, width=5, percent=80, lead=lead)) == at(jaccard.similar_classes(documents, width=5, percent=80))
+
+
+def test_places_of_shared_grams_are_shuffled_once(spark, monkeypatch):
+    plans, stored = {}, repeats.store
+    monkeypatch.setattr(repeats, "store", lambda df, label="state": plans.__setitem__(label, df._jdf.queryExecution().executedPlan().toString()) or stored(df, label))
+    text = "".join(chr(97 + i * i % 23) for i in range(260))
+    docs = spark.createDataFrame([(1, "x" + text), (2, text + "y"), (3, text + "y"), (4, "short"), (None, text[:230])], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs).collect()}
+    assert got == {1: 260, 2: 261, 3: 261, 4: 0, None: 230}
+    assert "Exchange hashpartitioning" not in plans["places"] and plans["segments"].count("Exchange hashpartitioning") <= 3
