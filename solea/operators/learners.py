@@ -17,7 +17,6 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
@@ -29,6 +28,7 @@ from solea.operators.boosting import importances as boosted_importances
 from solea.operators.features import pick
 from solea.operators.forests import Forest
 from solea.operators.neighbours import nearest, smote
+from solea.operators.perceptron import fit_perceptron
 from solea.session import cut_lineage, release, store
 
 SEED = 42
@@ -48,12 +48,15 @@ def _vectors(df: DataFrame) -> DataFrame:
     return df.withColumns({"features": array_to_vector("x"), "label": F.col("y").cast("double")})
 
 
-def _fit_score(estimator, train: DataFrame, test: DataFrame) -> DataFrame:
-    model = estimator.fit(_vectors(train))
+def _scored_by(model, test: DataFrame) -> DataFrame:
     scored = model.transform(_vectors(test))
     return scored.select("id", "y", vector_to_array("probability")[1].alias("prob"))
 
 
+def _fit_score(estimator, train: DataFrame, test: DataFrame) -> DataFrame:
+    return _scored_by(estimator.fit(_vectors(train)), test)
+
+
 def logistic(train: DataFrame, test: DataFrame) -> DataFrame:
     n = train.count()
     # an L2 penalty of 1/n is the same objective as C = 1 on the summed loss
@@ -77,8 +80,7 @@ def boosted_second(train: DataFrame, test: DataFrame, rounds: int = 100) -> Data
 
 
 def perceptron(train: DataFrame, test: DataFrame, width: int = 100, iterations: int = 500) -> DataFrame:
-    size = len(train.first().x)
-    return _fit_score(MultilayerPerceptronClassifier(layers=[size, width, 2], maxIter=iterations, seed=SEED), train, test)
+    return _scored_by(fit_perceptron(train, width, iterations, SEED), test)
 
 
 def discriminant(train: DataFrame, test: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import functions as F
 
 from solea.operators import boosting as B
@@ -10,6 +11,7 @@ from solea.operators import forests as T
 from solea.operators import learners as L
 from solea.operators import neighbours as N
 from solea.operators import splits as S
+from solea.operators.perceptron import fit_perceptron, loss_and_slope, minimised
 
 RNG = np.random.default_rng(11)
 
@@ -152,3 +154,25 @@ def test_boosted_ranking_is_sparks_without_a_job_a_round(spark):
     jobs = len(context.statusTracker().getJobIdsForGroup("boosted ranking"))
     context.setJobGroup("after", "")
     assert jobs < 30
+
+
+def test_perceptron_over_partitions(spark):
+    """The same start as Spark's own and as low a loss; the gradient comes from blocks of all partitions, odd sizes and an empty one among them."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2100, 6))
+    y = ((x[:, 0] * x[:, 1] + x[:, 2]) > 0).astype(int)
+    rows = [(i, int(b), a.tolist()) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id long, y int, x array<double>")
+    train = df.where("id < 1500").repartition(3).union(df.where("id >= 1500").coalesce(1)).union(df.where("false"))
+
+    def loss(weights):
+        return loss_and_slope(weights, x, y, 10)[0] / len(y)
+
+    own = {n: MultilayerPerceptronClassifier(layers=[6, 10, 2], maxIter=n, seed=L.SEED).fit(L._vectors(df.coalesce(1))).weights.toArray() for n in (0, 60)}
+    whole = minimised(lambda w: tuple(v / len(y) for v in loss_and_slope(w, x, y, 10)), own[0], 4)
+    for n, weights in ((0, own[0]), (4, whole)):
+        assert np.allclose(fit_perceptron(train, 10, n, L.SEED).weights.toArray(), weights, atol=1e-6)
+    assert loss(fit_perceptron(train, 10, 60, L.SEED).weights.toArray()) < max(2 * loss(own[60]), 0.01)
+    slope, at = loss_and_slope(whole, x, y, 10)[1], np.eye(len(whole)) * 1e-6
+    for k in (0, 41, 62, 72, 75, 91):
+        assert np.isclose((loss(whole + at[k]) - loss(whole - at[k])) / 2e-6 * len(y), slope[k], rtol=1e-3, atol=1e-3)
