@@ -201,10 +201,13 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _ordered_runs(distinct: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, runs): first and last repeated start in each distinct segment, for groups that fit a task."""
+    """(key, runs): first and last repeated start in each distinct segment, for groups that fit a task. Segments alone in their group have none."""
     tasks = max(1, -(-distinct.count() // TASK_ROWS))
 
     def order(own: pd.DataFrame) -> pd.DataFrame:
+        own = own[own["gram"].duplicated(keep=False)]
+        if own.empty:
+            return pd.DataFrame({"key": [], "runs": []})
         flags = repeated_starts(own["segment"].tolist(), pd.factorize(own["gram"])[0], own["anchor"].to_numpy(np.int64), length, gram)
         rows = []
         for key, anchor, flag in zip(own["key"], own["anchor"], flags):
@@ -216,6 +219,20 @@ def _ordered_runs(distinct: DataFrame, length: int, gram: int) -> DataFrame:
     return dealt.groupBy("task").applyInPandas(order, "key binary, runs array<struct<first:int,last:int>>")
 
 
+def _dealt(distinct: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct segments of the groups that fit a task, and of the larger ones, without shuffling segments for it.
+
+    ``groups(gram, members)`` has the k-grams with several segments. If they are too many to broadcast, only the larger ones are (each stands for more than
+    ``GROUP_ROWS`` segments), and segments alone in their group stay among the first ones.
+    """
+    larger = groups.where(F.col("members") > GROUP_ROWS).select("gram")
+    if groups.count() <= BROADCAST_ROWS:
+        first = distinct.join(F.broadcast(groups.where(F.col("members") <= GROUP_ROWS).select("gram")), "gram", "left_semi")
+    else:
+        first = distinct.join(_small_side(larger), "gram", "left_anti")
+    return first, distinct.join(_small_side(larger), "gram", "left_semi")
+
+
 def _counted_runs(distinct: DataFrame, length: int) -> DataFrame:
     """The same for k-grams with very many distinct segments: every string by its digest, without bringing a group together."""
 
@@ -253,9 +270,8 @@ def remove_repeats(documents: DataFrame, length: int = 200, gram: int = GRAM) ->
         F.sum(F.size("starts")).alias("copies"), F.first("gram").alias("gram"), F.first("anchor").alias("anchor"), F.first("segment").alias("segment"))
     distinct, distinct_path = store(distinct, "distinct")
     groups, groups_path = store(distinct.groupBy("gram").agg(F.count("*").alias("members")).where("members > 1"), "groups")
-    grouped = distinct.join(groups, "gram")
-    small = _ordered_runs(grouped.where(F.col("members") <= GROUP_ROWS), length, gram)
-    large = _counted_runs(grouped.where(F.col("members") > GROUP_ROWS), length)
+    fitting, larger = _dealt(distinct, groups)
+    small, large = _ordered_runs(fitting, length, gram), _counted_runs(larger, length)
     whole = distinct.where("copies > 1").select("key", F.array(F.struct(F.lit(0).alias("first"), (F.octet_length("segment") - length).alias("last"))).alias("runs"))
     runs, runs_path = store(small.union(large).union(whole).select("key", F.explode("runs").alias("run")), "runs")
 

@@ -150,6 +150,25 @@ def test_repeats_against_all_strings(spark, monkeypatch, group_rows):
     assert [found[i] for i in range(len(texts))] == brute_repeats([(t or "").encode() for t in texts], 200)
 
 
+@pytest.mark.parametrize(("group_rows", "broadcast_rows"), [(4096, 1_000_000), (4096, 0), (2, 0)])
+def test_segments_are_not_shuffled_to_find_their_groups(spark, monkeypatch, group_rows, broadcast_rows):
+    monkeypatch.setattr(repeats, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", broadcast_rows)
+    plans, stored = {}, repeats.store
+    monkeypatch.setattr(repeats, "store", lambda df, label="state": plans.__setitem__(label, df._jdf.queryExecution().executedPlan().toString()) or stored(df, label))
+    random = np.random.default_rng(6)
+    passage = "".join(random.choice(list("abcd"), 420))
+    texts = [passage[a:] + "".join(random.choice(list("xyz"), m)) + passage[: 420 - b] for a, m, b in random.integers(0, 200, (30, 3))] + [passage, passage, "y" * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables above it
+    try:
+        found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.remove_repeats(rows).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [found[i] for i in range(len(texts))] == brute_repeats([t.encode() for t in texts], 200)
+    assert broadcast_rows == 0 or plans["runs"].count("SortMergeJoin") == 1  # counted strings only
+
+
 def test_spans_are_merged_to_maximal_runs(spark):
     random = np.random.default_rng(8)
     made = [[(int(a), int(a + n)) for a, n in zip(random.integers(0, 3000, k), random.integers(1, 60, k))] for k in (1, 2, 40, 300, 5)]
