@@ -112,9 +112,10 @@ class WindowNetwork:
         total = sum(sizes.values())
         self.flat = np.random.default_rng(9).normal(0, 0.05, total).astype(np.float32) if flat is None else flat.copy()
         self.slope2 = np.full(total, 1e-3, np.float32)
-        at = 0
+        self.slopes2, at = {}, 0
         for name, shape in self.SHAPES.items():
             setattr(self, name, self.flat[at : at + sizes[name]].reshape(shape))
+            self.slopes2[name] = self.slope2[at : at + sizes[name]].reshape(shape)
             at += sizes[name]
 
     @staticmethod
@@ -126,59 +127,81 @@ class WindowNetwork:
         return np.stack([padded[2 + p + (here if p < 0 else last)] for p in PLACES], 1)
 
     def _hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.embed[0][context[:, 0]] + self.hidden_bias
+        total = self.hidden_bias + np.take(self.embed[0], context[:, 0], 0, mode="clip")  # all are in range; unchecked is faster
         for k in range(1, len(PLACES)):
-            total += self.embed[k][context[:, k]]
-        return np.tanh(total)
+            total += np.take(self.embed[k], context[:, k], 0, mode="clip")
+        return np.tanh(total, out=total)
 
     @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
+    def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """The order that brings targets of a class together, their classes in it, and (class, first, end) of each."""
+        kind = (target // CLASS).astype(np.uint8)  # short keys are sorted in linear time
+        order = np.argsort(kind, kind="stable")
+        kind = kind[order]
+        edges = np.searchsorted(kind, np.arange(VOCABULARY // CLASS + 1)).tolist()
+        return order, kind.astype(np.int64), [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+
+    def _word_logits(self, hidden: np.ndarray, kind: np.ndarray, own: list[tuple[int, int, int]]) -> np.ndarray:
+        out = np.empty((len(hidden), CLASS), np.float32)
+        for c, a, b in own:
+            np.matmul(hidden[a:b], self.to_word[c], out=out[a:b])
+        out += self.word_bias[kind]
+        return out
+
+    @staticmethod
+    def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of logits less their row's largest, and their sums; the logits are overwritten by those differences."""
         x -= x.max(1, keepdims=True)
-        x -= np.log(np.exp(x).sum(1, keepdims=True))
-        return x
+        e = np.exp(x)
+        return e, e @ np.ones(x.shape[1], np.float32)
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        hidden = self._hidden(context)
-        kind, word = target // CLASS, target % CLASS
-        out = self._log_softmax(hidden @ self.to_class + self.class_bias)[np.arange(len(target)), kind].astype(np.float64)
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(VOCABULARY // CLASS + 1))
-        for c, (a, b) in enumerate(zip(edges, edges[1:])):
-            if a < b:
-                rows = order[a:b]
-                out[rows] += self._log_softmax(hidden[rows] @ self.to_word[c] + self.word_bias[c])[np.arange(b - a), word[rows]]
+        order, kind, own = self._by_class(target)
+        rows, hidden = np.arange(len(target)), self._hidden(context[order])
+        found = np.zeros(len(target))
+        for logits, wanted in ((hidden @ self.to_class + self.class_bias, kind), (self._word_logits(hidden, kind, own), target[order] % CLASS)):
+            _, total = self._exponentials(logits)
+            found += logits[rows, wanted] - np.log(total)
+        out = np.empty(len(target))
+        out[order] = found
         return out
 
     def train(self, context: np.ndarray, target: np.ndarray, step: float) -> None:
-        """One step of adaptive gradient descent on the mean log-probability."""
-        n = len(target)
-        hidden = self._hidden(context)
-        kind, word = target // CLASS, target % CLASS
-        slope = WindowNetwork(np.zeros_like(self.flat))
-        p = np.exp(self._log_softmax(hidden @ self.to_class + self.class_bias))
-        p[np.arange(n), kind] -= 1
-        p /= n
-        slope.to_class[:], slope.class_bias[:] = hidden.T @ p, p.sum(0)
+        """One step of adaptive gradient descent on the mean log-probability; embeddings of units outside the batch have no slope and stay."""
+        order, kind, own = self._by_class(target)
+        context, word, n = context[order], target[order] % CLASS, len(target)
+        rows, hidden = np.arange(n), self._hidden(context)
+
+        def misses(logits: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+            e, total = self._exponentials(logits)
+            e /= total[:, None] * np.float32(n)
+            e[rows, wanted] -= np.float32(1 / n)
+            return e
+
+        p = misses(hidden @ self.to_class + self.class_bias, kind)
+        q = misses(self._word_logits(hidden, kind, own), word)
         back = p @ self.to_class.T
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(VOCABULARY // CLASS + 1))
-        for c, (a, b) in enumerate(zip(edges, edges[1:])):
-            if a < b:
-                rows = order[a:b]
-                q = np.exp(self._log_softmax(hidden[rows] @ self.to_word[c] + self.word_bias[c]))
-                q[np.arange(b - a), word[rows]] -= 1
-                q /= n
-                slope.to_word[c], slope.word_bias[c] = hidden[rows].T @ q, q.sum(0)
-                back[rows] += q @ self.to_word[c].T
+        to_word = np.empty((len(own), HIDDEN, CLASS), np.float32)
+        for i, (c, a, b) in enumerate(own):
+            np.matmul(hidden[a:b].T, q[a:b], out=to_word[i])
+            back[a:b] += q[a:b] @ self.to_word[c].T
         back *= 1 - hidden**2
-        slope.hidden_bias[:] = back.sum(0)
+        some = np.array([c for c, _, _ in own])
+        self._move("to_class", slice(None), hidden.T @ p, step)
+        self._move("class_bias", slice(None), p.sum(0), step)
+        self._move("to_word", some, to_word, step)
+        self._move("word_bias", some, np.add.reduceat(q, [a for _, a, _ in own]), step)
+        self._move("hidden_bias", slice(None), back.sum(0), step)
         for k in range(len(PLACES)):
-            by_word = np.argsort(context[:, k], kind="stable")
+            by_word = np.argsort(context[:, k].astype(np.uint16), kind="stable")
             words = context[by_word, k]
             first = np.flatnonzero(np.diff(words, prepend=-1))
-            slope.embed[k][words[first]] = np.add.reduceat(back[by_word], first)
-        self.slope2 += slope.flat**2
-        self.flat -= step * slope.flat / np.sqrt(self.slope2)
+            self._move("embed", (k, words[first]), np.add.reduceat(back[by_word], first), step)
+
+    def _move(self, name: str, at, slope: np.ndarray, step: float) -> None:
+        squares = self.slopes2[name][at] + slope**2
+        self.slopes2[name][at] = squares
+        getattr(self, name)[at] -= step * slope / np.sqrt(squares)
 
 
 def picked(n: int, offset: int, rounds: int) -> np.ndarray:

@@ -412,6 +412,29 @@ def test_scores_of_odd_rows(odd, nothing):
     assert len({r["score"] for r in found if r["doc_id"] in (3, 4)}) == 1 and pseudo_likelihood.pseudo_likelihood(nothing).count() == 0
 
 
+
+def test_a_training_step_follows_the_slope():
+    """One step against slopes of the mean log-probability by differences; what has no slope stays, to the last bit."""
+    random = np.random.default_rng(12)
+    net = pseudo_likelihood.WindowNetwork(random.normal(0, 0.3, len(pseudo_likelihood.WindowNetwork().flat)).astype(np.float32))
+    context, target = random.choice([0, 3, 770, 1000, 1024], (50, 4)), random.choice([1, 2, 33, 800, 1023], 50)
+    order, kind, own = net._by_class(target)
+    assert sorted(order) == list(range(50)) and kind.tolist() == sorted(target // 32) and [c for c, _, _ in own] == sorted(set(target // 32))
+    start = net.flat.copy()
+    net.train(context, target, 0.1)
+    slope = np.sqrt(net.slope2 - np.float32(1e-3)) * np.sign(net.flat - start)
+    touched = np.flatnonzero(net.flat != start)
+    for at in random.choice(touched[np.abs(slope[touched]) > 0.01], 20):
+        ends = []
+        for by in (0.01, -0.01):
+            moved = start.copy()
+            moved[at] += by
+            ends.append(pseudo_likelihood.WindowNetwork(moved).log_probability(context, target).mean())
+        assert np.isclose((ends[0] - ends[1]) / 0.02, slope[at], rtol=0.02, atol=1e-3)
+    unseen = net.embed[0][np.setdiff1d(np.arange(1025), context[:, 0])]
+    assert np.array_equal(unseen, pseudo_likelihood.WindowNetwork(start).embed[0][np.setdiff1d(np.arange(1025), context[:, 0])])
+
+
 # Pages
 
 PAGES = {
