@@ -435,6 +435,52 @@ def test_a_training_step_follows_the_slope():
     assert np.array_equal(unseen, pseudo_likelihood.WindowNetwork(start).embed[0][np.setdiff1d(np.arange(1025), context[:, 0])])
 
 
+def test_pieces_spell_words_in_few_units(documents):
+    """Against the longest piece found byte by byte; a word had nearly five units when all but 768 words were spelled in single bytes."""
+    texts = [r["text"] for r in documents.select("text").collect()] + [None, "", " \t\n", "b " + "ab" * 300 + "x", "\x00 a\x00", "É ñ\tx\x0by  "]
+    counts = Counter(w for text in texts for w in pseudo_likelihood._words(text))
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    common, rest = ranked[: pseudo_likelihood.FREQUENT], ranked[pseudo_likelihood.FREQUENT :]
+    pieces = pseudo_likelihood.learned_pieces(rest, [counts[w] for w in rest], pseudo_likelihood.PIECES)
+    assert len(set(pieces)) == len(pieces) == pseudo_likelihood.PIECES and all(2 <= len(p) <= pseudo_likelihood.LONGEST and b" " not in p[:-1] for p in pieces)
+    number = {bytes([b]): pseudo_likelihood.FREQUENT + b for b in range(256)} | {p: pseudo_likelihood.VOCABULARY + k for k, p in enumerate(pieces)}
+
+    def spelled(word):
+        out = []
+        while word:
+            size = max(n for n in range(1, pseudo_likelihood.LONGEST + 1) if word[:n] in number)
+            out.append(number[word[:size]])
+            word = word[size:]
+        return out
+
+    whole = {w: k for k, w in enumerate(common)}
+    spell, last = pseudo_likelihood.Units(whole, pieces), pseudo_likelihood.lasts(pieces)
+    found = spell(texts)
+    assert [f.tolist() for f in found] == [[u for w in pseudo_likelihood._words(t) for u in ([whole[w]] if w in whole else spelled(w + b" "))] for t in texts]
+    assert [int(last[f].sum()) for f in found] == [len(pseudo_likelihood._words(t)) for t in texts]
+    assert sum(map(len, found)) < 2.5 * sum(counts.values())
+    alone = [pseudo_likelihood.windows_of([f], last) for f in found]
+    assert np.array_equal(pseudo_likelihood.windows_of(found, last), np.concatenate(alone, 1))
+
+
+def test_pieces_are_merged_by_count():
+    assert pseudo_likelihood.learned_pieces([b"aaab", b"ab"], [5, 4], 3) == [b"aa", b"ab", b"ab "]
+    assert pseudo_likelihood.learned_pieces([], [], 3) == [] and pseudo_likelihood.learned_pieces([b"x"], [1], 9) == [b"x "]
+
+
+def test_network_on_more_units():
+    """A network with units beside the bytes, the last class not full: probabilities add up to 1; sums of runs agree with adding one by one."""
+    random, size = np.random.default_rng(5), pseudo_likelihood.VOCABULARY + 77
+    net = pseudo_likelihood.WindowNetwork(None, size)
+    net.train(random.integers(0, size + 1, (500, 4)), random.integers(0, size, 500), 0.1)
+    every = net.log_probability(np.tile([1, size, 1030, 2], (size, 1)), np.arange(size))
+    assert np.isclose(np.exp(every).sum(), 1, atol=1e-4)
+    back, runs = random.normal(0, 1, (50, 32)).astype(np.float32), [1, 40, 3, 1, 12, 13, 2]
+    row, first = random.integers(0, 50, sum(runs)), np.cumsum([0] + runs[:-1])
+    got = {int(k): total for some, totals in net._sums(back, row, first) for k, total in zip(some, totals)}
+    assert all(np.allclose(got[k], back[row[a : a + n]].sum(0), atol=1e-5) for k, (a, n) in enumerate(zip(first, runs)))
+
+
 # Pages
 
 PAGES = {
