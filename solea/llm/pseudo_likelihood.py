@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solea.session import store
+from solea.session import release, store
 
 FREQUENT, BYTES, CLASS = 768, 256, 32
 VOCABULARY = FREQUENT + BYTES
@@ -217,7 +217,15 @@ def _vocabulary(documents: DataFrame) -> tuple[list[bytes], list[bytes]]:
                 yield pa.RecordBatch.from_arrays([distinct, pa.array(np.bincount(index, minlength=len(distinct)), pa.int64())], ["word", "n"])
 
     counts = documents.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT + EXAMPLES).collect()  # a fixed number of rows
+    counted, folder = store(counts, "word-counts")
+    level, least, words = F.floor(8 * F.log2("n")), 0, 0
+    for least, some in sorted(counted.groupBy(level).count().collect(), reverse=True):  # at most 8 rows for each binary digit of a count
+        words += some
+        if words >= FREQUENT + EXAMPLES:
+            break
+    often = counted.where(level >= least)  # without it, every partition would send that many words to the driver
+    top = often.orderBy(F.desc("n"), "word").limit(FREQUENT + EXAMPLES).collect()  # a fixed number of rows
+    release(documents.sparkSession, folder)
     words, times = [bytes(r["word"])[:-1] for r in top], [r["n"] for r in top]
     return words[:FREQUENT], learned_pieces(words[FREQUENT:], times[FREQUENT:], PIECES)
 

@@ -463,6 +463,17 @@ def test_pieces_spell_words_in_few_units(documents):
     assert np.array_equal(pseudo_likelihood.windows_of(found, last), np.concatenate(alone, 1))
 
 
+def test_vocabulary_is_counted_over_all_documents(documents, nothing, monkeypatch):
+    counts = Counter(w for r in documents.select("text").collect() for w in pseudo_likelihood._words(r["text"]))
+    ranked = sorted(counts, key=lambda w: (-counts[w], w + b" "))
+    for frequent, examples in ((pseudo_likelihood.FREQUENT, 200), (5, 3), (len(ranked), 10)):
+        monkeypatch.setattr(pseudo_likelihood, "FREQUENT", frequent)
+        monkeypatch.setattr(pseudo_likelihood, "EXAMPLES", examples)
+        some = ranked[frequent : frequent + examples]
+        assert pseudo_likelihood._vocabulary(documents) == (ranked[:frequent], pseudo_likelihood.learned_pieces(some, [counts[w] for w in some], pseudo_likelihood.PIECES))
+    assert pseudo_likelihood._vocabulary(nothing) == ([], [])
+
+
 def test_pieces_are_merged_by_count():
     assert pseudo_likelihood.learned_pieces([b"aaab", b"ab"], [5, 4], 3) == [b"aa", b"ab", b"ab "]
     assert pseudo_likelihood.learned_pieces([], [], 3) == [] and pseudo_likelihood.learned_pieces([b"x"], [1], 9) == [b"x "]
