@@ -12,6 +12,7 @@ from solea.operators import learners as L
 from solea.operators import neighbours as N
 from solea.operators import splits as S
 from solea.operators.perceptron import fit_perceptron, loss_and_slope, minimised
+from solea.plans import learning as P
 
 RNG = np.random.default_rng(11)
 
@@ -93,6 +94,27 @@ def test_search_shares_folds_and_goes_on_after_a_break(spark, monkeypatch):
         assert auc == pytest.approx(np.mean([(a > b) + (a == b) / 2 for a in p for b in n]))
 
 
+def test_registered_search_covers_the_whole_grid(spark, monkeypatch):
+    """Every ranking with every classifier and every number of features, in the loop order of the work this follows."""
+    y = np.array([0, 0, 1] * 20)
+    x = RNG.normal(size=(60, 3)) + y[:, None] * np.array([1.5, 0.5, 0.0])
+    rows = [(i, int(y[i]), i // 3 % 3, f, float(x[i, f])) for i in range(60) for f in range(3)]
+    t = type("Rows", (), {"features": spark.createDataFrame(rows, "id bigint, y int, fold int, feature int, x double")})
+    order = {"RF": [0, 1, 2], "XGBoost": [0, 1, 2], "ExtraTree": [0, 2, 1]}
+    monkeypatch.setattr(L, "feature_ranking", lambda train, method: spark.createDataFrame([(f, r) for r, f in enumerate(order[method], 1)], "feature int, rank int"))
+    assert len(L.CLASSIFIERS) == 10
+    asked = []
+    monkeypatch.setattr(L, "search_grid", lambda train, *grid: asked.append(grid))
+    P.searched(t)
+    assert asked == [(order, list(L.CLASSIFIERS), [1, 2, 3])]
+    monkeypatch.undo()
+    monkeypatch.setattr(L, "feature_ranking", lambda train, method: spark.createDataFrame([(f, r) for r, f in enumerate(order[method], 1)], "feature int, rank int"))
+    monkeypatch.setattr(L, "CLASSIFIERS", {"LDA": L.discriminant, "LogisticRegression": L.logistic})
+    found = [tuple(r)[:4] for r in P.searched(t)[3].orderBy("loop").collect()]
+    grid = [(m, c, n) for m in order for c in ("LDA", "LogisticRegression") for n in (1, 2, 3)]
+    assert found == [(i, *key) for i, key in enumerate(grid)]
+
+
 def test_patients_stay_together_and_classes_spread(spark):
     rows = [(i, i // 2, int(i // 2 % 3 == 0)) for i in range(400)]
     images = spark.createDataFrame(rows, "image_id bigint, subject bigint, y int")
