@@ -97,7 +97,7 @@ def test_search_shares_folds_and_goes_on_after_a_break(spark, monkeypatch):
 def test_registered_search_covers_the_whole_grid(spark, monkeypatch):
     """Every ranking with every classifier and every number of features, in the loop order of the work this follows."""
     y = np.array([0, 0, 1] * 20)
-    x = RNG.normal(size=(60, 3)) + y[:, None] * np.array([1.5, 0.5, 0.0])
+    x = np.random.default_rng(3).normal(size=(60, 3)) + y[:, None] * np.array([1.5, 0.5, 0.0])
     rows = [(i, int(y[i]), i // 3 % 3, f, float(x[i, f])) for i in range(60) for f in range(3)]
     t = type("Rows", (), {"features": spark.createDataFrame(rows, "id bigint, y int, fold int, feature int, x double")})
     order = {"RF": [0, 1, 2], "XGBoost": [0, 1, 2], "ExtraTree": [0, 2, 1]}
